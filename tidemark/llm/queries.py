@@ -9,9 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import ann, bpe, mixing, pii, quality, secrets, simhash, substring, tokencount, toxicity
 from tidemark.llm.common import table
 
+#: Production parameters. The key would come from a secret store; it is a parameter of the operator.
+PII_KEY, MIX_SEED = "surrogate-key-1", "mix-1"
+
 
 def _tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -19,25 +24,68 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    from tidemark.llm import tokencount
+def tokenizer_text(path: str | None = None) -> str:
+    with open(path or _tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=2)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), PII_KEY, count=True)
+
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), seed=MIX_SEED)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     with open(model_path or _tokenizer_file("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), model, limit=4096)
 
 
-def op10_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    from tidemark.llm import bpe
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"), length=20)
 
-    with open(tokenizer_path or _tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
-        spec = f.read()
-    return bpe.digest(table(spark, sf_dir, "documents"), spec)
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_text(tokenizer_path))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_token_counts": op8_token_counts,
-    "op10_bpe_codec": op10_bpe_codec,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_quality_rules,
+        op3_toxicity,
+        op4_pii_surrogates,
+        op5_source_mixing,
+        op6_secret_scan,
+        op7_nearest_neighbours,
+        op8_token_counts,
+        op9_substring_dedup,
+        op10_bpe_codec,
+    )
 }
 
 SQL: dict[str, str] = {}
