@@ -121,10 +121,8 @@ def _spelt(m: Column, n: Column, keep: int = 0) -> Column:
 def _luhn(d: Column) -> Column:
     """Luhn sum of a digit string, whose last digit is not doubled."""
     size = F.char_length(d)
-    part = F.transform(
-        F.split(d, "(?!^)"),
-        lambda c, i: F.when((size - i) % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")),
-    )
+    each = F.transform(F.split(d, "(?!^)"), lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))
+    part = F.transform(each, lambda c, i: F.when((size - i) % 2 == 0, F.when(c > 4, c * 2 - 9).otherwise(c * 2)).otherwise(c))
     return F.aggregate(part, F.lit(0), lambda s, x: s + x)
 
 
@@ -256,6 +254,7 @@ def replace_entities(docs: DataFrame, key: str, count: bool = False) -> DataFram
     d = d.withColumn("_new", F.when(F.size("_found") > 0, whole).otherwise(F.col("_text")))
     out = [F.col("_new").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
     if count:
-        by_kind = [F.size(F.filter("_kinds", lambda x, k=k: x == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+        of_kind = lambda k: F.size(F.filter("_kinds", lambda x: x == k))
+        by_kind = [of_kind(k).cast("bigint").alias(f"n_{k}") for k in KINDS]
         out += [F.size("_found").cast("bigint").alias("n_entities"), *by_kind]
     return d.select(*out)

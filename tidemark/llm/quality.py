@@ -25,7 +25,7 @@ BUCKETS = 4096
 #: Least words for the word rule, least characters for the character rule.
 LEAST_WORDS, LEAST_CHARS = 50, 200
 #: Limits of the two distances for long texts, and how they widen: limit + SLACK / sqrt(length).
-WORD_LIMIT, CHAR_LIMIT = 0.45, 0.30
+WORD_LIMIT, CHAR_LIMIT = 0.20, 0.21
 WORD_SLACK, CHAR_SLACK = 1.2, 1.5
 #: Few repeated windows are looked up one by one; more are found by sorting. Both ways are exact.
 FEW = 64

@@ -163,7 +163,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     postings = low.select(F.explode(held).alias("gram"), "doc_id", "k1", "k2")
 
     words = range((len(grams) + 61) // 62)
-    bit = lambda w: F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.shiftleft(F.lit(1).cast("bigint"), (F.col("gram") % 62).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("gram") % 62).cast("int"))).otherwise(F.lit(0).cast("bigint")))
     found = postings.groupBy("doc_id", "k1", "k2").agg(*[bit(w).alias(f"m{w}") for w in words])
 
     def holds(query) -> Column:

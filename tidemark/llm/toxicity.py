@@ -1,10 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
+Terms are the different lower-case words of a text and the beginnings of longer words.
+
 score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>) over the different hashed terms of a text,
-so two terms can weigh more (or less) together than the sum of both. Terms are first judged over all
-labelled rows by their association with the label (G-test); the machine is fitted on those that
-matter. Which labelled rows fit it is bounded by MAX_ROWS, chosen by a hash of doc_id; term counts
-cover all of them. A score sees nothing but the text.
+so two terms can weigh more (or less) together than the sum of both. Terms are first judged by their
+association with the label (G-test); the machine is fitted on those that matter. It is fitted on a
+bounded sample of the labelled rows, MAX_ROWS of them chosen by a hash of doc_id; scoring covers all
+rows and whole texts and sees nothing but the text.
 
 Null and empty texts have no terms and get the machine's base score. Rows of labels without a label
 are ignored; a doc_id labelled more than once counts with its largest label. Without any labelled row
@@ -24,36 +26,47 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, cut, map_batches, only
 
-#: Hash space of terms, most terms that the machine keeps, least association, length of a pair vector.
-SPACE, TERMS, LEAST_G, RANK = 1 << 20, 8192, 12.0, 8
-#: Bound of the labelled rows that the machine is fitted on.
-MAX_ROWS = 200_000
+#: Most terms that the machine keeps, least association, length of a pair vector.
+TERMS, LEAST_G, RANK = 8192, 12.0, 8
+#: Bound of the labelled rows that the machine is fitted on; 12 bytes each when sent to all executors.
+MAX_ROWS = 120_000
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters in the beginnings of words that are terms as well.
+BEGIN = (4, 6)
+#: Words kept per Python worker; the table is emptied when full, which costs time only.
+CACHE = 300_000
+
+
+def terms_of(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings, 31 bits each."""
+    parts = [word, *[word[:n] + "*" for n in BEGIN if len(word) > n]]
+    return tuple(zlib.crc32(p.encode()) & 0x7FFFFFFF for p in parts)
 
 
 def hashed_terms(docs: DataFrame) -> DataFrame:
-    """doc_id and the different hashed lower-case words of each whole text."""
+    """doc_id, toxic and the different hashed terms of each whole text."""
 
     def make():
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, texts = columns(batch, "doc_id", "text")
+            ids, texts, toxic = columns(batch, "doc_id", "text", "toxic")
             out = []
             for t in texts:
                 words = set(WORD.findall(t.lower())) if t else ()
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > 300_000:
+                if len(known) > CACHE:
                     known.clear()
-                    new = words
-                for w in new:
-                    known[w] = zlib.crc32(w.encode()) % SPACE
-                out.append(sorted({known[w] for w in words}))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "terms"])
+                for w in words:
+                    if w not in known:
+                        known[w] = terms_of(w)
+                out.append(sorted({x for w in words for x in known[w]}))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(toxic, pa.int32())], names=["doc_id", "terms", "toxic"]
+            )
 
         return step
 
-    return map_batches(only(docs, "doc_id", "text"), "doc_id bigint, terms array<int>", make)
+    return map_batches(only(docs, "doc_id", "text", "toxic"), "doc_id bigint, terms array<int>, toxic int", make)
 
 
 @dataclass
@@ -61,7 +74,7 @@ class Machine:
     """w0, and for each kept term its weight w and pair vector v."""
 
     w0: float
-    slot: np.ndarray  # term -> row of w and v, or -1
+    slot: dict[int, int]  # term -> row of w and v
     w: np.ndarray
     v: np.ndarray
 
@@ -74,25 +87,22 @@ class Machine:
             pairs += np.bincount(rows, x, minlength=n) ** 2 - np.bincount(rows, x * x, minlength=n)
         return self.w0 + linear + pairs / 2
 
-    def score(self, texts: list[list[int]]) -> np.ndarray:
-        n = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = self.slot[np.fromiter((x for t in texts for x in t), dtype=np.int64, count=int(n.sum()))]
-        rows = np.repeat(np.arange(len(texts)), n)
-        keep = flat >= 0
-        return 1 / (1 + np.exp(-np.clip(self.raw(rows[keep], flat[keep], len(texts)), -30, 30)))
+    def score(self, slots: list[set[int]]) -> np.ndarray:
+        """Scores of texts, each given by the rows of its kept terms."""
+        n = np.array([len(t) for t in slots], dtype=np.int64)
+        flat = np.fromiter((x for t in slots for x in t), dtype=np.int64, count=int(n.sum()))
+        return 1 / (1 + np.exp(-np.clip(self.raw(np.repeat(np.arange(len(slots)), n), flat, len(slots)), -30, 30)))
 
 
 def fit(texts: list[list[int]], labels: np.ndarray, kept: list[int], epochs: int = 30, rate: float = 0.1, decay: float = 1e-4) -> Machine:
     """Adagrad on the logistic loss, in batches, from a fixed seed."""
     rng = np.random.default_rng(3)
-    slot = np.full(SPACE, -1, dtype=np.int64)
-    slot[kept] = np.arange(len(kept))
+    slot = {t: i for i, t in enumerate(kept)}
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
     m = Machine(float(np.log(share / (1 - share))), slot, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), RANK)))
     if not len(kept) or not len(labels):
         return m
-    rows = [slot[np.array(t, dtype=np.int64)] for t in texts]
-    rows = [r[r >= 0] for r in rows]
+    rows = [np.array([slot[x] for x in t if x in slot], dtype=np.int64) for t in texts]
     g0, gw, gv = 1e-6, np.full(len(kept), 1e-6), np.full(m.v.shape, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -140,25 +150,53 @@ def associated(known: DataFrame) -> list[int]:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs, learnt from the labels that are not held out."""
-    terms = cut(hashed_terms(docs), "toxicity-terms")
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = cut(terms.join(given, "doc_id"), "toxicity-known")
+    given = cut(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS), "toxicity-labels")
+    labelled = only(docs, "doc_id", "text").join(F.broadcast(given), "doc_id")  # at most MAX_ROWS rows
+    known = cut(hashed_terms(labelled), "toxicity-known")
     kept = associated(known)
-    wanted = F.array_intersect("terms", F.array(*map(F.lit, kept)).cast("array<int>")) if kept else F.array().cast("array<int>")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).select(wanted.alias("terms"), "toxic").toArrow()
+
+    def keep():
+        mine = set(kept)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, terms, toxic = columns(batch, "doc_id", "terms", "toxic")
+            few = [[x for x in t if x in mine] for t in terms]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(few, pa.list_(pa.int32())), pa.array(toxic, pa.int32())], names=["doc_id", "terms", "toxic"])
+
+        return step
+
+    few = map_batches(known.select("doc_id", "terms", "toxic"), "doc_id bigint, terms array<int>, toxic int", keep)
+    rows = few.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(MAX_ROWS).select("terms", "toxic").toArrow()
     machine = fit(rows.column("terms").to_pylist(), rows.column("toxic").to_numpy().astype(float), kept)
     base = 0.0 if not rows.num_rows else None
 
     def make():
+        slots: dict[str, tuple[int, ...]] = {}
+        slot = machine.slot
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, ts = columns(batch, "doc_id", "terms")
-            s = np.zeros(len(ts)) if base is not None else machine.score(ts)
+            ids, texts = columns(batch, "doc_id", "text")
+            found = []
+            for t in texts:
+                words = set(WORD.findall(t.lower())) if t else ()
+                if len(slots) > CACHE:
+                    slots.clear()
+                mine: set[int] = set()
+                for w in words:
+                    got = slots.get(w)
+                    if got is None:
+                        got = slots[w] = tuple(slot[x] for x in terms_of(w) if x in slot)
+                    if got:
+                        mine.update(got)
+                found.append(mine)
+            s = np.zeros(len(texts)) if base is not None else machine.score(found)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
 
         return step
 
-    scored = map_batches(terms, "doc_id bigint, score double, predicted int", make)
+    scored = map_batches(only(docs, "doc_id", "text"), "doc_id bigint, score double, predicted int", make)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
