@@ -56,6 +56,7 @@ M15 = f"""r0 AS (SELECT o_orderpriority || '/' || o_orderstatus AS phrase, CAST(
   FROM orders WHERE o_orderdate < DATE '{BEFORE}' GROUP BY 1, 2),
 g0 AS (SELECT phrase, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT phrase, min(period) AS a, max(period) AS b FROM r0 GROUP BY 1)),
 m AS (SELECT g0.phrase, g0.period, CAST(coalesce(c, 0) AS BIGINT) AS queries FROM g0 LEFT JOIN r0 USING (phrase, period))"""
+M5 = M15.replace("o_orderpriority || '/' || o_orderstatus AS phrase", "o_orderpriority AS phrase")
 C15 = "cl AS (SELECT DISTINCT o_orderstatus AS topic, o_orderpriority || '/' || o_orderstatus AS phrase FROM orders)"
 D = "d AS (SELECT event_type AS phrase, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS count FROM events GROUP BY 1, 2)"
 PROFILE = "prof AS (SELECT phrase, CAST(month(period) AS INT) AS month, avg(CAST(queries AS DOUBLE)) AS mean FROM m GROUP BY 1, 2)"
@@ -266,19 +267,19 @@ UNION ALL SELECT phrase, 1, period, queries + CASE WHEN left(phrase, 1) = '3' AN
 
 
 def windows(spark, sf) -> DataFrame:
-    m = orders_monthly(spark, sf)
+    m = series.fill_months(orders_monthly(spark, sf))
     a = m.where("period < DATE '1998-06-01'").select("phrase", F.lit(0).alias("window_id"), "period", "queries")
     odd = F.when(F.col("phrase").startswith("3") & (F.col("period") == F.lit("1998-04-01").cast("date")), 1).otherwise(0)
     return a.union(m.where("period >= DATE '1998-03-01'").select("phrase", F.lit(1), "period", F.col("queries") + odd))
 
 
-@query(_with(M, W) + "SELECT phrase, period, min(queries) AS lo, max(queries) AS hi FROM w GROUP BY 1, 2 HAVING min(queries) <> max(queries)")
+@query(_with(M5, W) + "SELECT phrase, period, min(queries) AS lo, max(queries) AS hi FROM w GROUP BY 1, 2 HAVING min(queries) <> max(queries)")
 def overlap_mismatch(spark, sf):
     return stitch.overlap_mismatch(windows(spark, sf))
 
 
 @query(
-    _with(M, W)
+    _with(M5, W)
     + """SELECT phrase, period, min(queries) AS queries, CAST(NULL AS VARCHAR) AS error FROM w WHERE left(phrase, 1) <> '3' GROUP BY 1, 2
 UNION ALL SELECT DISTINCT phrase, CAST(NULL AS DATE), CAST(NULL AS BIGINT), 'mismatch' FROM w WHERE left(phrase, 1) = '3'"""
 )

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 def weekly_counts(events: DataFrame, key: str = "event_type", ts: str = "ts", late: str = "2 days") -> DataFrame:
     """key, week, n per Monday-to-Sunday block, with a watermark; works on batch and streaming input."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    e = e.withWatermark(ts, late) if e.isStreaming else e
     week = F.window(ts, "7 days", "7 days", "4 days")  # the epoch is a Thursday
     return e.groupBy(F.col(key).alias("phrase"), week.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("phrase", F.col("w.start").cast("date").alias("week"), "n")
 
 
 def daily_counts(events: DataFrame, key: str = "event_type", ts: str = "ts", late: str = "1 day") -> DataFrame:
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    e = e.withWatermark(ts, late) if e.isStreaming else e
     return e.groupBy(F.col(key).alias("phrase"), F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).cast("double").alias("count")).select("phrase", F.col("w.start").cast("date").alias("day"), "count")
 
 
