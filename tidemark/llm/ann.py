@@ -8,8 +8,10 @@ leaves a query visits is widened, on sample queries against brute force, until t
 for is reached.
 
 Equal vectors are filed once with their smallest ids, as no more of them can be in an answer, so
-any number of copies is no burden; leaves with many different vectors or queries are split into
-chunks of bounded size. Scores are inner products of the original vectors in double precision.
+any number of copies is no burden. Neighbouring leaves share a block of bounded size, a larger leaf
+is split into chunks; a query is sent once to each block with the leaves that it visits there, so
+what moves does not grow with the number of leaves visited. Queries of a block are split into chunks
+as well. Scores are inner products of the original vectors in double precision.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, neither do those
 whose length is not the most frequent one. Equal scores go to the smaller vec_id. Rows that repeat
@@ -152,22 +154,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query row, id, score) of each query's k best, ties to smaller ids, scores summed in one fixed order."""
-    rough = q @ x.T
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query row, id, score) of each query's k best of the seen vectors, ties to smaller ids, scores summed in one fixed order."""
+    rough = np.where(seen, q @ x.T, -np.inf)
     out = []
     for i, row in enumerate(rough):
-        if len(row) > k:
+        rows = np.nonzero(seen[i])[0]
+        if len(rows) > k:
             kth = np.partition(row, len(row) - k)[len(row) - k]
             rows = np.nonzero(row >= kth - 1e-9 * (1 + abs(kth)))[0]
-        else:
-            rows = np.arange(len(row))
         exact = (x[rows] * q[i]).sum(axis=1)
         for j in np.lexsort((ids[rows], -exact))[:k].tolist():
             out.append((i, int(ids[rows[j]]), float(exact[j])))
     return out
 
 
+def _blocks(count: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """leaf -> block and block -> chunks: neighbouring leaves together up to CHUNK_VECTORS; a larger leaf alone, in chunks."""
+    block, chunks, open_size, b = {}, {}, 0, 0
+    for leaf in sorted(count):
+        if open_size and open_size + count[leaf] > CHUNK_VECTORS:
+            b, open_size = b + 1, 0
+        block[leaf] = b
+        open_size += count[leaf]
+        chunks[b] = max(1, math.ceil(open_size / CHUNK_VECTORS))
+    return block, chunks
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k nearest; a query is no answer to itself.
 
@@ -195,67 +208,91 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
 
     index = cut(distinct.mapInArrow(filed, "vec_id bigint, embedding array<double>, leaf bigint"), "ann-index")
+    # one count for each leaf of the tree: bounded by the sample
+    size = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    block_of, chunks = _blocks(size)
 
     asked = usable(queries).distinct()
     asked = cut(asked.withColumn("twin", F.min("vec_id").over(Window.partitionBy("embedding"))), "ann-queries")
 
     def walks(batches):
-        for b in batches:
-            if b.num_rows:
-                leaves = tree.visits(_matrix(b.column("embedding")), many)
-                n = np.array([len(x) for x in leaves])
-                at = np.repeat(np.arange(b.num_rows), n)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                b = whole.slice(a, 512)
+                at, blocks, leaves = [], [], []
+                for i, ls in enumerate(tree.visits(_matrix(b.column("embedding")), many)):
+                    by: dict[int, list[int]] = {}
+                    for leaf in ls:
+                        if leaf in block_of:
+                            by.setdefault(block_of[leaf], []).append(leaf)
+                    at += [i] * len(by)
+                    blocks += by.keys()
+                    leaves += by.values()
+                take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("twin").take(pa.array(at)), b.column("embedding").take(pa.array(at)), pa.array(np.concatenate(leaves).astype(np.int64))],
-                    names=["twin", "embedding", "leaf"],
+                    [b.column("twin").take(take), b.column("embedding").take(take), pa.array(blocks, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))],
+                    names=["twin", "embedding", "block", "leaves"],
                 )
 
-    paths = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, leaf bigint")
+    paths = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, block bigint, leaves array<bigint>")
     paths = cut(paths, "ann-paths")
+    asks = {r["block"]: r["count"] for r in paths.groupBy("block").count().collect()}  # no more than leaves
 
-    # one count for each leaf of the tree: bounded by the sample
-    size = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    asks = {r["leaf"]: r["count"] for r in paths.groupBy("leaf").count().collect()}
-
-    def spread(key, count: dict, other: dict, mine: int, theirs: int):
-        """Own chunk by hash, and all chunks of the other side."""
-
-        def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                leaf = b.column("leaf").to_numpy()
-                own = np.array([max(1, math.ceil(count.get(x, 0) / mine)) for x in leaf.tolist()])
-                rest = np.array([math.ceil(other.get(x, 0) / theirs) for x in leaf.tolist()])  # 0: nobody comes here
-                chunk = (b.column(key).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % own
-                at = np.repeat(np.arange(b.num_rows), rest)
-                again = np.concatenate([np.arange(r) for r in rest]) if len(at) else np.empty(0, np.int64)
+    def hashed(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+    def deal_vectors(batches):
+        """Each vector into its chunk, once for each chunk of queries."""
+        for b in batches:
+            if b.num_rows:
+                block = np.array([block_of[x] for x in b.column("leaf").to_pylist()])
+                cv = hashed(b.column("vec_id").to_numpy()) % np.array([chunks[x] for x in block.tolist()])
+                times = np.array([math.ceil(asks.get(x, 0) / CHUNK_QUERIES) for x in block.tolist()])  # 0: nobody comes here
+                at = np.repeat(np.arange(b.num_rows), times)
+                cq = np.concatenate([np.arange(t) for t in times]).astype(np.int64)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("leaf").take(take), pa.array(chunk[at]), pa.array(again.astype(np.int64)), b.column(key).take(take), b.column("embedding").take(take)],
-                    names=["leaf", "own", "other", key, "embedding"],
+                    [pa.array(block[at]), pa.array(cv[at]), pa.array(cq), b.column("vec_id").take(take), b.column("embedding").take(take), b.column("leaf").take(take)],
+                    names=["block", "cv", "cq", "vec_id", "embedding", "leaf"],
                 )
 
-        return run
-
-    left = index.mapInArrow(spread("vec_id", size, asks, CHUNK_VECTORS, CHUNK_QUERIES), "leaf bigint, own bigint, other bigint, vec_id bigint, embedding array<double>")
-    right = paths.mapInArrow(spread("twin", asks, size, CHUNK_QUERIES, CHUNK_VECTORS), "leaf bigint, own bigint, other bigint, twin bigint, embedding array<double>")
-    left = left.withColumnsRenamed({"own": "cv", "other": "cq"}).select("leaf", "cv", "cq", "vec_id", "embedding")
-    right = right.withColumnsRenamed({"own": "cq", "other": "cv"}).select("leaf", "cv", "cq", "twin", "embedding")
+    def deal_queries(batches):
+        """Each query into its chunk, once for each chunk of vectors."""
+        for b in batches:
+            if b.num_rows:
+                block = b.column("block").to_numpy()
+                cq = hashed(b.column("twin").to_numpy()) % np.array([math.ceil(asks[x] / CHUNK_QUERIES) for x in block.tolist()])
+                times = np.array([chunks[x] for x in block.tolist()])
+                at = np.repeat(np.arange(b.num_rows), times)
+                cv = np.concatenate([np.arange(t) for t in times]).astype(np.int64)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[at]), pa.array(cv), pa.array(cq[at]), b.column("twin").take(take), b.column("embedding").take(take), b.column("leaves").take(take)],
+                    names=["block", "cv", "cq", "twin", "embedding", "leaves"],
+                )
 
+    cell = "block bigint, cv bigint, cq bigint, "
+    left = index.mapInArrow(deal_vectors, cell + "vec_id bigint, embedding array<double>, leaf bigint")
+    right = paths.mapInArrow(deal_queries, cell + "twin bigint, embedding array<double>, leaves array<bigint>")
     out_schema = pa.schema([("twin", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(vs: pa.Table, qs: pa.Table) -> pa.Table:
         if not vs.num_rows or not qs.num_rows:
             return out_schema.empty_table()
-        x, ids = _matrix(vs.column("embedding")), vs.column("vec_id").to_numpy()
-        q, twins = _matrix(qs.column("embedding")), qs.column("twin").to_numpy()
+        x, ids, leaf = _matrix(vs.column("embedding")), vs.column("vec_id").to_numpy(), vs.column("leaf").to_numpy()
+        q, twins, visited = _matrix(qs.column("embedding")), qs.column("twin").to_numpy(), qs.column("leaves").to_pylist()
+        here, code = np.unique(leaf, return_inverse=True)
+        place = {v: i for i, v in enumerate(here.tolist())}
         got = []
         for a in range(0, len(q), 256):
-            got += [(int(twins[a + i]), j, s) for i, j, s in _best(q[a : a + 256], x, ids, k + 1)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), out_schema)], schema=out_schema)
-
-    met = left.groupBy("leaf", "cv", "cq").cogroup(right.groupBy("leaf", "cv", "cq")).applyInArrow(meet, "twin bigint, vec_id bigint, score double")
+            hit = np.zeros((len(q[a : a + 256]), len(here)), dtype=bool)
+            for i, ls in enumerate(visited[a : a + 256]):
+                hit[i, [place[v] for v in ls if v in place]] = True
+            got += [(int(twins[a + i]), j, s) for i, j, s in _best(q[a : a + 256], x, ids, hit[:, code], k + 1)]
+        cols = list(zip(*got)) if got else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
+
+    met = left.groupBy("block", "cv", "cq").cogroup(right.groupBy("block", "cv", "cq")).applyInArrow(meet, "twin bigint, vec_id bigint, score double")
     best = Window.partitionBy("twin").orderBy(F.desc("score"), "vec_id")
     met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
     each = asked.select(F.col("vec_id").alias("query_id"), "twin").join(met, "twin").where("query_id <> vec_id")
