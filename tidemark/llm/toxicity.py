@@ -15,6 +15,7 @@ every score is 0.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from tidemark.llm.common import columns, cut, map_batches, only
 #: Most terms that the machine keeps, least association, length of a pair vector.
 TERMS, LEAST_G, RANK = 8192, 12.0, 8
 #: Bound of the labelled rows that the machine is fitted on; 12 bytes each when sent to all executors.
-MAX_ROWS = 120_000
+MAX_ROWS = 40_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters in the beginnings of words that are terms as well.
 BEGIN = (4, 6)
@@ -94,7 +95,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(np.repeat(np.arange(len(slots)), n), flat, len(slots)), -30, 30)))
 
 
-def fit(texts: list[list[int]], labels: np.ndarray, kept: list[int], epochs: int = 30, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+def fit(texts: list[list[int]], labels: np.ndarray, kept: list[int], epochs: int = 20, rate: float = 0.1, decay: float = 1e-4) -> Machine:
     """Adagrad on the logistic loss, in batches, from a fixed seed."""
     rng = np.random.default_rng(3)
     slot = {t: i for i, t in enumerate(kept)}
@@ -168,13 +169,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         return step
 
     few = map_batches(known.select("doc_id", "terms", "toxic"), "doc_id bigint, terms array<int>, toxic int", keep)
-    rows = few.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(MAX_ROWS).select("terms", "toxic").toArrow()
-    machine = fit(rows.column("terms").to_pylist(), rows.column("toxic").to_numpy().astype(float), kept)
-    base = 0.0 if not rows.num_rows else None
+    few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(MAX_ROWS)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        """The machine of at most MAX_ROWS rows, as its bytes: fitted on an executor, small enough for the driver."""
+        rows = rows.sort_by([("at", "ascending")])
+        m = fit(rows.column("terms").to_pylist(), rows.column("toxic").to_numpy().astype(float), kept)
+        return pa.table({"machine": pa.array([pickle.dumps(m)], pa.binary())})
+
+    ordered = few.select(F.lit(0).alias("one"), F.monotonically_increasing_id().alias("at"), "terms", "toxic")
+    found = ordered.groupBy("one").applyInArrow(learn, "machine binary").collect()
+    machine = pickle.loads(found[0]["machine"]) if found else None
 
     def make():
         slots: dict[str, tuple[int, ...]] = {}
-        slot = machine.slot
+        slot = machine.slot if machine else {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = columns(batch, "doc_id", "text")
@@ -191,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
                     if got:
                         mine.update(got)
                 found.append(mine)
-            s = np.zeros(len(texts)) if base is not None else machine.score(found)
+            s = machine.score(found) if machine else np.zeros(len(texts))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
