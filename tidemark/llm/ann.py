@@ -36,7 +36,7 @@ SAMPLE, PROBES = 32_768, 256
 #: Children of a node, and sample vectors in a leaf at most.
 BRANCH, LEAF = 16, 48
 #: Most vectors and queries that meet in one task.
-CHUNK_VECTORS, CHUNK_QUERIES = 8192, 2048
+CHUNK_VECTORS, CHUNK_QUERIES = 2048, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, mixing, pii, quality, secrets, simhash, substring, tokencount, toxicity
+from tidemark.llm import ann, bpe, mixing, pii, quality, secrets, simhash, sqltext, substring, tokencount, toxicity
 from tidemark.llm.common import table
 
 #: Production parameters. The key would come from a secret store; it is a parameter of the operator.
@@ -88,4 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+#: What SQL cannot express is tested against brute force: hashes and model files (1, 4, 8, 10), a fitted
+#: model (3), an approximate search (7), and the references of the quality rules (2), built in two steps.
+SQL: dict[str, str] = {
+    "op5_source_mixing": sqltext.mixing(MIX_SEED, mixing.DIGITS),
+    "op6_secret_scan": sqltext.secrets(secrets.RULES),
+    "op9_substring_dedup": sqltext.SUBSTRING,
+}
