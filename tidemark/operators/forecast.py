@@ -309,3 +309,11 @@ def weekly_verdict(daily: DataFrame, windows: tuple[int, ...] = (14, 21, 28), la
         return pd.DataFrame(out, columns=["phrase", "days", "acf", "q", "p", "weekly"])
 
     return daily.groupBy("phrase").applyInPandas(run, "phrase string, days int, acf double, q double, p double, weekly boolean")
+
+
+def results_block(summary: DataFrame, baseline: str = "naive") -> DataFrame:
+    """One row: the model with the least median error, the baseline's, and their ratio."""
+    best = F.min_by(F.struct("model", "mase_median"), F.struct("mase_median", "model"))
+    base = F.max(F.when(F.col("model") == baseline, F.col("mase_median")))
+    d = summary.agg(best.alias("b"), base.alias("baseline_mase"))
+    return d.select(F.col("b.model").alias("model"), F.col("b.mase_median").alias("mase"), "baseline_mase", F.try_divide(F.col("b.mase_median"), "baseline_mase").alias("ratio"))

@@ -191,3 +191,8 @@ def year_over_year(monthly: DataFrame) -> DataFrame:
     ago = F.lag(F.col("queries").cast("double"), SEASON).over(Window.partitionBy("phrase").orderBy("period"))
     d = monthly.select("phrase", F.col("queries").cast("double").alias("x"), ago.alias("y")).where("y IS NOT NULL")
     return d.groupBy("phrase").agg(pearson("x", "y").alias("corr"))
+
+
+def duplicate_phrases(runs: DataFrame) -> DataFrame:
+    """phrase, runs of phrases that more than one run folder claims; runs: phrase, run_dir."""
+    return runs.groupBy("phrase").agg(F.count_distinct("run_dir").alias("runs")).where("runs > 1")

@@ -155,3 +155,15 @@ def nearest_neighbors(similar: DataFrame) -> DataFrame:
     best = both.where("similarity IS NOT NULL").groupBy("phrase").agg(F.max(r).alias("_m"))
     near = both.join(best, "phrase").where(r == F.col("_m")).groupBy("phrase").agg(F.min("other").alias("nearest"))
     return both.select("phrase").distinct().join(near, "phrase", "left")
+
+
+def multi_seed_kmeans(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (0, 1, 2, 42)) -> DataFrame:
+    """a, b, ari of the clusterings of every two seeds; vectors: id, embedding."""
+    runs = {s: kmeans(vectors, k, restarts=1, seed=s) for s in seeds}
+    out = None
+    for i, a in enumerate(seeds):
+        for b in seeds[i + 1 :]:
+            pair = runs[a].withColumnRenamed("cluster", "a").join(runs[b].withColumnRenamed("cluster", "b"), "id")
+            row = adjusted_rand(pair).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "ari")
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, display, scores
-from tidemark.operators import breaks, contract, forecast, graph, ranking, series, short_term, stitch, text
+from tidemark.operators import breaks, contract, forecast, graph, ranking, series, short_term, stitch, text, vectors
 from tidemark.plans import showcase
 from tidemark.sources.artifact import translate
 from tidemark.streaming import signals
@@ -613,6 +613,79 @@ def zscore_block(spark, sf):
     return z.select("phrase", F.explode(F.arrays_zip("pos", "z")).alias("x")).select("phrase", F.col("x.pos").alias("month"), F.round("x.z", 6).alias("z"))
 
 
+V2 = f"""wv AS (SELECT o_orderpriority AS phrase, 'sp7' AS block, CAST(isodow(o_orderdate) - 1 AS INT) AS pos, CAST(count(*) AS DOUBLE) AS value FROM orders WHERE o_orderdate < DATE '{BEFORE}' GROUP BY 1, 2, 3),
+vec AS (SELECT * FROM wv UNION ALL SELECT phrase, 'sp12', month, mean FROM prof),
+zv AS (SELECT *, (value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0) AS z FROM vec WINDOW p AS (PARTITION BY phrase, block)),
+s2 AS (SELECT a.phrase AS a, b.phrase AS b, corr(a.z, b.z) FILTER (WHERE a.block = 'sp7') AS sp7, corr(a.z, b.z) FILTER (WHERE a.block = 'sp12') AS sp12, corr(a.z, b.z) AS combined
+ FROM zv a JOIN zv b ON a.block = b.block AND a.pos = b.pos AND a.phrase < b.phrase GROUP BY 1, 2)"""
+
+
+def season_vectors(spark, sf) -> DataFrame:
+    o = _table(spark, sf, "orders").where(f"o_orderdate < DATE '{BEFORE}'")
+    week = o.groupBy(F.col("o_orderpriority").alias("phrase"), F.weekday(F.col("o_orderdate").cast("date")).alias("pos")).agg(F.count(F.lit(1)).alias("value"))
+    month = series.monthly_profile(orders_monthly(spark, sf)).select("phrase", F.col("month").alias("pos"), F.col("mean").alias("value"))
+    return vectors.blocks(week, month)
+
+
+@query(_with(M, PROFILE, V2) + "SELECT a, b, round(sp7, 6) AS sp7, round(sp12, 6) AS sp12, round(combined, 6) AS combined FROM s2")
+def combined_similarity(spark, sf):
+    return vectors.similarities(season_vectors(spark, sf)).select("a", "b", r6("sp7"), r6("sp12"), r6("combined"))
+
+
+@query(_with(M, PROFILE, V2) + "SELECT string_agg(a || ' <-> ' || b, ';' ORDER BY round(combined, 9) DESC, a || ' <-> ' || b) AS pairs FROM s2")
+def structure_fingerprint(spark, sf):
+    return vectors.fingerprint(vectors.similarities(season_vectors(spark, sf))).select(F.array_join("pairs", ";").alias("pairs"))
+
+
+@query(
+    _with(M, PROFILE, V2)
+    + """, bo AS (SELECT a AS phrase, b AS other, round(sp7, 9) AS u, round(combined, 9) AS v FROM s2 UNION ALL SELECT b, a, round(sp7, 9), round(combined, 9) FROM s2),
+n AS (SELECT phrase, arg_max(other, u) AS x, arg_max(other, v) AS y FROM bo GROUP BY 1) SELECT phrase, x = y AS preserved, false AS undefined_in_both, false AS undefined_in_either FROM n"""
+)
+def neighbour_preserved(spark, sf):
+    s = vectors.similarities(season_vectors(spark, sf))
+    return vectors.preserved(vectors.neighbours(s, "sp7"), vectors.neighbours(s))
+
+
+@query(_with(M, PROFILE, V2) + "SELECT phrase, block, round(max(value) - min(value), 6) AS range, round(stddev_pop(value), 6) AS std, arg_max(pos, (value, -pos)) AS argmax, round(max(value), 6) AS top FROM vec GROUP BY 1, 2")
+def seasonal_discrimination(spark, sf):
+    return vectors.discrimination(season_vectors(spark, sf)).select("phrase", "block", r6("range"), r6("std"), "argmax", r6("top"))
+
+
+@query(
+    _with(M)
+    + """, cy AS (SELECT phrase, CAST(queries AS DOUBLE) AS q, row_number() OVER (PARTITION BY phrase ORDER BY period DESC) - 1 AS rn FROM m)
+SELECT a.phrase, round(corr(a.q, b.q), 6) AS corr, round(avg(abs(a.q - b.q)), 6) AS mae, round(avg(abs(a.q - b.q)) / (max(a.q) - min(a.q)), 6) AS mae_rel FROM cy a JOIN cy b ON a.phrase = b.phrase AND a.rn = b.rn + 12 WHERE b.rn < 12 GROUP BY 1"""
+)
+def cycle_agreement(spark, sf):
+    return vectors.cycle_agreement(orders_monthly(spark, sf)).select("phrase", r6("corr"), r6("mae"), r6("mae_rel"))
+
+
+@query()
+def simulated_flips(spark, sf):
+    week = season_vectors(spark, sf).where("block = 'sp7'").select("phrase", "pos", "value")
+    return vectors.simulated_flips(week)
+
+
+@query()
+def kmeans_seed_agreement(spark, sf):
+    return text.multi_seed_kmeans(labelled_vectors(spark, sf).select("id", "embedding"), 5, (0, 1))
+
+
+@query(
+    """SELECT phrase, count(*) AS runs FROM (SELECT DISTINCT o_orderpriority || '/' || CAST(o_custkey % 50 AS VARCHAR) AS phrase, o_orderstatus AS run_dir FROM orders) GROUP BY 1 HAVING count(*) > 1"""
+)
+def duplicate_phrases(spark, sf):
+    o = _table(spark, sf, "orders")
+    return series.duplicate_phrases(o.select(F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 50).cast("string")).alias("phrase"), F.col("o_orderstatus").alias("run_dir")))
+
+
+@query()
+def results_block(spark, sf):
+    t = forecast.backtest_table(forecast.backtest(orders_monthly(spark, sf), ("naive", "theta"), initial=60))
+    return forecast.results_block(series.backtest_summary(t, "naive"))
+
+
 # EDA
 
 
