@@ -31,17 +31,31 @@ def score_components(records: DataFrame) -> DataFrame:
 
 
 def rank_showcase(records: DataFrame) -> DataFrame:
-    """phrase, klass, rank_score, rank: by class order, then score, then phrase; filtered-out phrases are left out.
-
-    The last numbering is over one partition on purpose: it is a total order over phrases.
-    """
+    """phrase, klass, rank_score, rank: by class order, then score, then phrase; filtered-out phrases are left out."""
     if "filtered_out" in records.columns:
         records = records.where(~F.col("filtered_out"))
     klass = scores.classify(F.col("score"), F.col("amplitude"))
     r = records.withColumn("klass", klass)
     r = r.withColumn("rank_score", scores.rank_score(F.col("klass"), F.col("score"), F.col("base"), F.col("age")))
-    order = Window.orderBy(scores.class_order(F.col("klass")), F.desc("rank_score"), "phrase")
-    return r.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    place = scores.class_order(F.col("klass"))
+    # stretches that follow each other in the order: by score where there is one, else by the phrase's first two bytes
+    by_score = F.col("klass") == "GROWING"
+    parts = [place, F.when(by_score, -F.floor(F.col("rank_score") * 1024)).otherwise(0), F.when(by_score, "").otherwise(F.hex(F.substring(F.col("phrase").cast("binary"), 1, 2)))]
+    return numbered(r, parts, [place, F.desc("rank_score"), F.col("phrase")], "rank")
+
+
+def numbered(df: DataFrame, stretch: list[Column], order: list[Column], name: str) -> DataFrame:
+    """df with a running number over a total order, without sorting everything in one task.
+
+    stretch: keys that only grow along the order. Rows are numbered within their stretch, and the rows
+    of earlier stretches are added; only the table of stretches passes through one task.
+    """
+    keys = [f"_s{i}" for i in range(len(stretch))]
+    d = df.withColumns(dict(zip(keys, stretch)))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(counts, keys)
+    return d.withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint")).drop(*keys, "_before", "_rn")
 
 
 def purchase_window(monthly: DataFrame, weeks: int = DEFAULT_LEAD_WEEKS) -> DataFrame:
