@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources get equal target shares; a row stands as often as drawn, in global random order."""
-    return mixing.mix(docs, seed=MIX_SEED).select(*docs.columns)
+    return mixing.mix(docs, seed=MIX_SEED, details=False)
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,13 +74,19 @@ def with_copies(docs: DataFrame, rate: DataFrame, seed: str) -> DataFrame:
     return joined.withColumn("n_copies", copies).drop("_source", "rate")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = "mix", default: float = 1.0) -> DataFrame:
-    """Every document as often as drawn, with copy (from 1), n_copies and order_key, dealt and sorted by order_key.
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = "mix", default: float = 1.0, details: bool = True
+) -> DataFrame:
+    """Every document as often as drawn, dealt over all partitions and sorted by order_key.
 
-    All columns of docs stay. A null doc_id draws like the empty id. Repeated rows draw alike.
+    All columns of docs stay; with details, copy (from 1), n_copies and order_key follow, and columns of
+    docs with these names are left out. A null doc_id draws like the empty id. Repeated rows draw alike.
     """
-    base = docs.drop("copy", "n_copies", "order_key", "rate")
+    names = [c for c in docs.columns if not (details and c in ("copy", "n_copies", "order_key"))]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source")
     drawn = with_copies(base, cut(rates(docs, weights, total, default), "mix-rates"), seed).where("n_copies > 0")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")).cast("binary")))
-    return out.repartition("order_key").sortWithinPartitions("order_key", "doc_id", "copy")
+    out = out.repartition("order_key").sortWithinPartitions("order_key", "doc_id", "copy")
+    more = ["n_copies", "copy", "order_key"] if details else []
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], *more)
