@@ -113,7 +113,7 @@ def test_ball_links_in_pieces(spark, monkeypatch):
     block = ((fp >> np.uint64(56))[:, None] ^ masks[None, :]).ravel()
     owner = np.repeat(fp, len(masks))
     order = np.argsort(block, kind="stable")
-    got = [simhash._stars(g, owner[order].view(np.int64)[o]) for g, o in simhash._meetings(block[order], owner[order], lead, 2, inner)]
+    got = [simhash._stars(g, owner[order].view(np.int64)[o]) for _, g, o in simhash._meetings(block[order], owner[order], lead, 2, inner)]
     pairs = {tuple(p) for x in got for p in x.tolist()}
     assert (3, 0) in pairs and (12, 0) in pairs and (1 << 60, 0) in pairs
 

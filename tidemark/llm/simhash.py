@@ -28,7 +28,9 @@ from tidemark.llm.common import columns, cut, drop, map_batches, only
 from tidemark.llm.components import connected_components
 
 #: Variants held at once by a task.
-PIECE = 2_000_000
+PIECE = 500_000
+#: Tells the variants of several tables apart.
+SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -73,9 +75,9 @@ def flips(bits: int, upto: int) -> list[np.ndarray]:
     ]
 
 
-def address_bits(n: int, bits: int = 64) -> int:
+def address_bits(n: int, spare: int = 6, bits: int = 64) -> int:
     """Leading bits that address a block of variants, so that blocks stay at some ten thousand fingerprints at any size."""
-    return max(8, min(bits // 2, math.ceil(math.log2(max(n, 2))) - 6))
+    return max(4, min(bits // 2, math.ceil(math.log2(max(n, 2))) - spare))
 
 
 def _send(lead: int, radius: int):
@@ -95,14 +97,14 @@ def _send(lead: int, radius: int):
     return make
 
 
-def _meetings(block: np.ndarray, fp: np.ndarray, lead: int, radius: int, inner: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(group, row) of the rows whose variants meet, by group; rows are those of whole blocks."""
+def _meetings(block: np.ndarray, fp: np.ndarray, lead: int, radius: int, inner: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The variants that rows share (salted by table), and (group, row): which row shares which; rows are those of whole blocks."""
     left = radius - np.bitwise_count((fp >> np.uint64(64 - lead)) ^ (block & np.uint64((1 << lead) - 1))).astype(np.int64)
     low = np.uint64((1 << (64 - lead)) - 1)
     # blocks of several tables are told apart above the address bits
     table = block >> np.uint64(lead)
     base = (block << np.uint64(64 - lead)) | (fp & low)
-    salt = table * np.uint64(0xD6E8FEB86659FD93)
+    salt = table * SALT
     weights = np.cumsum([len(m) for m in inner])
     total = int(weights[left].sum())
     classes = max(1, math.ceil(total / PIECE))
@@ -127,7 +129,7 @@ def _meetings(block: np.ndarray, fp: np.ndarray, lead: int, radius: int, inner:
         if len(twice):
             at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
             hit = twice[at] == v
-            yield at[hit], o[hit]
+            yield twice, at[hit], o[hit]
 
 
 def _stars(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -175,7 +177,7 @@ def ball_links(fps: DataFrame, radius: int = 2, n: int | None = None) -> DataFra
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, fp in _by_whole_blocks(batches):
-            found = [_stars(g, fp[o]) for g, o in _meetings(block.view(np.uint64), fp.view(np.uint64), lead, radius, inner)]
+            found = [_stars(g, fp[o]) for _, g, o in _meetings(block.view(np.uint64), fp.view(np.uint64), lead, radius, inner)]
             near = [p[np.bitwise_count((p[:, 0] ^ p[:, 1]).view(np.uint64)) <= 2 * radius] for p in found]  # verify
             yield from _links(near)
 
@@ -207,9 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The near-copy stage: fingerprints of word pairs, independent 64-bit tables, words of a shingle and
-#: least Jaccard similarity for the final check.
-PAIR_WORDS, TABLES, SHINGLE_WORDS, SIMILARITY = 2, 8, 5, 0.8
+#: The near-copy stage: independent 64-bit fingerprint tables, words of a shingle and least Jaccard
+#: similarity for the final check.
+TABLES, SHINGLE_WORDS, SIMILARITY = 4, 5, 0.8
 #: Groups of up to so many texts give all their pairs as candidates, larger ones a star and a chain.
 ALL_PAIRS = 48
 
@@ -229,6 +231,14 @@ def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.array([h64(whole[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist())], dtype=np.uint64)
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the different words."""
+    import xxhash
+
+    h64 = xxhash.xxh64_intdigest
+    return np.array(sorted({h64(w, 42) for w in words}), dtype=np.uint64)
+
+
 def _tables_of(h: np.ndarray, tables: int) -> list[int]:
     """Several independent majority fingerprints from one hash for each feature."""
     out = []
@@ -243,23 +253,47 @@ def _tables_of(h: np.ndarray, tables: int) -> list[int]:
     return out
 
 
-def _some_pairs(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Candidate pairs (larger, smaller) of each group."""
-    order = np.lexsort((owner, group))
-    group, owner = group[order], owner[order]
-    cuts = np.concatenate([np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], [len(group)]])
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        m = np.unique(owner[a:b])
-        if len(m) < 2:
-            continue
-        if len(m) <= ALL_PAIRS:
-            i, j = np.triu_indices(len(m), 1)
-            out.append(np.stack([m[j], m[i]], axis=1))
-        else:
-            out.append(np.stack([m[1:], np.full(len(m) - 1, m[0])], axis=1))
-            out.append(np.stack([m[1:], m[:-1]], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+def _midpoint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One variant that both fingerprints of a pair reach: the smaller one with the lower half of their differing bits changed."""
+    low, d = np.minimum(a, b), a ^ b
+    half = np.bitwise_count(d) // 2
+    one = d & (~d + np.uint64(1))
+    rest = d ^ one
+    two = rest & (~rest + np.uint64(1))
+    zero = np.uint64(0)
+    return low ^ np.where(half >= 1, one, zero) ^ np.where(half >= 2, two, zero)
+
+
+def _some_pairs(variant: np.ndarray, group: np.ndarray, row: np.ndarray, fp: np.ndarray, salt: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Candidate pairs (larger, smaller key): all of a small group, a star and a chain of a large one.
+
+    A pair counts only where its midpoint is the shared variant, so it is found once for each table. The
+    star still links each text with the smallest key in reach: in the group of their midpoint that key
+    comes first.
+    """
+    order = np.lexsort((key[row], group))
+    group, row = group[order], row[order]
+    start = np.concatenate([[True], group[1:] != group[:-1]])
+    first = np.nonzero(start)[0]
+    size = np.diff(np.concatenate([first, [len(group)]]))
+    at = np.cumsum(start) - 1
+    large = size[at] > ALL_PAIRS
+    lefts, rights = [row[first[at]][large]], [row[large]]
+    for off in range(1, min(ALL_PAIRS, int(size.max())) if len(size) else 1):
+        same = group[off:] == group[:-off]
+        if off > 1:
+            same &= ~large[off:]
+        if not same.any():
+            break
+        lefts.append(row[:-off][same])
+        rights.append(row[off:][same])
+    # the shared variant of each pair is that of its group; rows know their group by place
+    where = [at[large]] + [at[off:][(group[off:] == group[:-off]) & (~large[off:] if off > 1 else True)] for off in range(1, len(lefts))]
+    a, b, g = np.concatenate(lefts), np.concatenate(rights), np.concatenate(where)
+    v = variant[group[first]][g]
+    good = (_midpoint(fp[a], fp[b]) + salt[a] == v) & (key[a] != key[b])
+    ka, kb = key[a[good]], key[b[good]]
+    return np.unique(np.stack([np.maximum(ka, kb), np.minimum(ka, kb)], axis=1), axis=0)
 
 
 def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -268,7 +302,7 @@ def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, texts = columns(batch, "key", "text")
-            rows = [_tables_of(_shingle_hashes((t or "").encode().split(), PAIR_WORDS), TABLES) for t in texts]
+            rows = [_tables_of(_word_hashes((t or "").encode().split()), TABLES) for t in texts]
             keep = [i for i, t in enumerate(texts) if t and t.strip()]
             n = len(keep)
             flat = np.array([rows[i] for i in keep], dtype=np.uint64).reshape(n, TABLES)
@@ -281,7 +315,8 @@ def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
 
     prints = map_batches(docs.select(F.xxhash64("text").alias("key"), "text"), "table bigint, fp bigint, key bigint", make)
     prints = cut(prints.distinct(), "near-prints")
-    lead = address_bits(prints.where("table = 0").count())
+    # wider blocks than for one table: fewer rows move, and a block still fits a task many times
+    lead = address_bits(prints.where("table = 0").count(), spare=9)
     inner = flips(64 - lead, radius)
     masks = np.concatenate(flips(lead, radius))
 
@@ -296,7 +331,9 @@ def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, fp, key in _by_whole_blocks(batches):
-            yield from _links([_some_pairs(g, key[o]) for g, o in _meetings(block.view(np.uint64), fp.view(np.uint64), lead, radius, inner)])
+            block, fp = block.view(np.uint64), fp.view(np.uint64)
+            salt = (block >> np.uint64(lead)) * SALT
+            yield from _links([_some_pairs(v, g, o, fp, salt, key) for v, g, o in _meetings(block, fp, lead, radius, inner)])
 
     sent = map_batches(prints.select("table", "fp", "key"), "block bigint, fp bigint, key bigint", send)
     pairs = sent.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "a bigint, b bigint")
@@ -312,7 +349,7 @@ def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
         return step
 
     wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-wanted")
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key", "left_semi")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted.hint("merge"), "key", "left_semi")
     grams = map_batches(texts, "key bigint, grams array<bigint>", sets)
     grams = cut(grams.groupBy("key").agg(F.first("grams").alias("grams")), "near-grams")
     both = pairs.join(grams.withColumnsRenamed({"key": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"key": "b", "grams": "gb"}), "b")
@@ -329,7 +366,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Texts are near-equal if their sets of five-word shingles have a Jaccard similarity of 0.8 or more;
     groups are connected over such links. Candidates come from ball hashing of several SimHash tables
-    over word pairs, which lie closer for near copies than single bits over long shingles do. Texts
+    over the different words of a text, in which near copies lie closer than in one over shingles. Texts
     without a word, and null texts, are no copies of anything. A null doc_id comes last; of rows that
     repeat both doc_id and text one stays.
     """
@@ -348,9 +385,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     gone = cut(gone.select("doc_id", "key").union(kept_nowhere).distinct().withColumnsRenamed({"doc_id": "_g", "key": "_k"}), "near-gone")
     twice = rows.join(head_keys, "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
     key = F.when(has_word, F.xxhash64("text"))
-    d = docs.withColumn("_key", key)
-    out = d.join(gone, (d["_key"] == gone["_k"]) & d["doc_id"].eqNullSafe(gone["_g"]), "left_anti")
+    d = docs.withColumn("__near_key", key)
+    gone = gone.hint("merge")  # alike at every size: rows of gone grow with docs
+    out = d.join(gone, (d["__near_key"] == gone["_k"]) & d["doc_id"].eqNullSafe(gone["_g"]), "left_anti")
     if twice:
-        single = out.where("_key IS NOT NULL").dropDuplicates(["doc_id", "_key"])
-        out = single.unionByName(out.where("_key IS NULL"))
-    return out.drop("_key")
+        single = out.where("__near_key IS NOT NULL").dropDuplicates(["doc_id", "__near_key"])
+        out = single.unionByName(out.where("__near_key IS NULL"))
+    return out.drop("__near_key")
