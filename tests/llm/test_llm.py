@@ -154,6 +154,43 @@ def test_drop_near_copies(spark):
     assert kept == want
 
 
+def kept_by_all_pairs(texts):
+    """The texts that stay if groups are connected over all pairs of Jaccard 0.8 or more."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_drop_near_copies_in_large_buckets(spark, monkeypatch):
+    """Pairs of near copies inside a family over one word set whose members are mostly too far apart."""
+    monkeypatch.setattr(simhash, "CELL", 40)
+    rng = random.Random(21)
+    words = prose(rng, 220).split()
+    texts = []
+    for i in range(90):
+        block = words[150:]
+        rng.shuffle(block)
+        one = words[:150] + block
+        texts.append(" ".join(one))
+        if i % 3 == 0:
+            one[3 + i], one[4 + i] = one[4 + i], one[3 + i]
+            texts.append(" ".join(one))
+    rng.shuffle(texts)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()} == kept_by_all_pairs(texts)
+
+
 def test_drop_near_copies_odd_rows(spark, odd):
     got = simhash.drop_near_copies(odd)
     assert got.columns == odd.columns

@@ -209,11 +209,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The near-copy stage: independent 64-bit fingerprint tables, words of a shingle and least Jaccard
-#: similarity for the final check.
-TABLES, SHINGLE_WORDS, SIMILARITY = 4, 5, 0.8
-#: Groups of up to so many texts give all their pairs as candidates, larger ones a star and a chain.
-ALL_PAIRS = 48
+#: The near-copy stage: words of a shingle and least Jaccard similarity.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Buckets of up to so many texts give all their pairs at once. Larger ones first give a star and a chain, then
+#: all pairs of texts that these have not joined, in cells of at most two times CELL texts.
+SMALL, CELL = 8, 1000
+#: Texts and shingles at most from which the order of shingles is made.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 
 
 def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -231,144 +233,180 @@ def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.array([h64(whole[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist())], dtype=np.uint64)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of the different words."""
-    import xxhash
-
-    h64 = xxhash.xxh64_intdigest
-    return np.array(sorted({h64(w, 42) for w in words}), dtype=np.uint64)
-
-
-def _tables_of(h: np.ndarray, tables: int) -> list[int]:
-    """Several independent majority fingerprints from one hash for each feature."""
-    out = []
-    for t in range(tables):
-        x = (h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        x ^= x >> np.uint64(29)
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(x), 4096):
-            ones += np.unpackbits(x[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out
-
+def _key_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("text").alias("key"), "text")
 
-def _midpoint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One variant that both fingerprints of a pair reach: the smaller one with the lower half of their differing bits changed."""
-    low, d = np.minimum(a, b), a ^ b
-    half = np.bitwise_count(d) // 2
-    one = d & (~d + np.uint64(1))
-    rest = d ^ one
-    two = rest & (~rest + np.uint64(1))
-    zero = np.uint64(0)
-    return low ^ np.where(half >= 1, one, zero) ^ np.where(half >= 2, two, zero)
 
-
-def _some_pairs(variant: np.ndarray, group: np.ndarray, row: np.ndarray, fp: np.ndarray, salt: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Candidate pairs (larger, smaller key): all of a small group, a star and a chain of a large one.
-
-    A pair counts only where its midpoint is the shared variant, so it is found once for each table. The
-    star still links each text with the smallest key in reach: in the group of their midpoint that key
-    comes first.
-    """
-    order = np.lexsort((key[row], group))
-    group, row = group[order], row[order]
-    start = np.concatenate([[True], group[1:] != group[:-1]])
-    first = np.nonzero(start)[0]
-    size = np.diff(np.concatenate([first, [len(group)]]))
-    at = np.cumsum(start) - 1
-    large = size[at] > ALL_PAIRS
-    lefts, rights = [row[first[at]][large]], [row[large]]
-    for off in range(1, min(ALL_PAIRS, int(size.max())) if len(size) else 1):
-        same = group[off:] == group[:-off]
-        if off > 1:
-            same &= ~large[off:]
-        if not same.any():
-            break
-        lefts.append(row[:-off][same])
-        rights.append(row[off:][same])
-    # the shared variant of each pair is that of its group; rows know their group by place
-    where = [at[large]] + [at[off:][(group[off:] == group[:-off]) & (~large[off:] if off > 1 else True)] for off in range(1, len(lefts))]
-    a, b, g = np.concatenate(lefts), np.concatenate(rights), np.concatenate(where)
-    v = variant[group[first]][g]
-    good = (_midpoint(fp[a], fp[b]) + salt[a] == v) & (key[a] != key[b])
-    ka, kb = key[a[good]], key[b[good]]
-    return np.unique(np.stack([np.maximum(ka, kb), np.minimum(ka, kb)], axis=1), axis=0)
-
-
-def near_copy_pairs(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """a, b: hashes of different texts whose shingle sets (five words) are at least 0.8 alike, by Jaccard."""
+def _grams(docs: DataFrame) -> DataFrame:
+    """key, grams: the different shingle hashes of each row's text; no text: none."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, texts = columns(batch, "key", "text")
-            rows = [_tables_of(_word_hashes((t or "").encode().split()), TABLES) for t in texts]
-            keep = [i for i, t in enumerate(texts) if t and t.strip()]
-            n = len(keep)
-            flat = np.array([rows[i] for i in keep], dtype=np.uint64).reshape(n, TABLES)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(TABLES, dtype=np.int64), n)), pa.array(flat.ravel().view(np.int64)), pa.array(np.repeat(np.array([keys[i] for i in keep], dtype=np.int64), TABLES))],
-                names=["table", "fp", "key"],
-            )
+            got = [np.unique(_shingle_hashes((t or "").encode().split(), SHINGLE_WORDS)).view(np.int64) for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["key", "grams"])
 
         return step
 
-    prints = map_batches(docs.select(F.xxhash64("text").alias("key"), "text"), "table bigint, fp bigint, key bigint", make)
-    prints = cut(prints.distinct(), "near-prints")
-    # wider blocks than for one table: fewer rows move, and a block still fits a task many times
-    lead = address_bits(prints.where("table = 0").count(), spare=9)
-    inner = flips(64 - lead, radius)
-    masks = np.concatenate(flips(lead, radius))
-
-    def send():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            table, fp, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = (fp.view(np.uint64) >> np.uint64(64 - lead))[:, None] ^ masks[None, :]
-            block = (at | (table.astype(np.uint64) << np.uint64(lead))[:, None]).astype(np.int64).ravel()
-            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.repeat(fp, len(masks))), pa.array(np.repeat(key, len(masks)))], names=["block", "fp", "key"])
+    return map_batches(docs, "key bigint, grams array<bigint>", make)
 
-        return step
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, fp, key in _by_whole_blocks(batches):
-            block, fp = block.view(np.uint64), fp.view(np.uint64)
-            salt = (block >> np.uint64(lead)) * SALT
-            yield from _links([_some_pairs(v, g, o, fp, salt, key) for v, g, o in _meetings(block, fp, lead, radius, inner)])
-
-    sent = map_batches(prints.select("table", "fp", "key"), "block bigint, fp bigint, key bigint", send)
-    pairs = sent.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "a bigint, b bigint")
-    pairs = cut(pairs.distinct(), "near-pairs")
-    drop(prints)
-
-    def sets():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, texts = columns(batch, "key", "text")
-            got = [np.unique(_shingle_hashes((t or "").encode().split(), SHINGLE_WORDS)).view(np.int64) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["key", "grams"])
-
-        return step
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several texts of a bounded sample hold, and their counts there.
 
+    They only order the shingles of a text, rare ones first. Any fixed order gives the same links; with this one
+    hot passages seldom stand in a prefix.
+    """
+    keyed = _key_and_text(docs)
+    n = docs.count()
+    some = keyed.where(F.pmod("key", F.lit(max(1, math.ceil(n / ORDER_TEXTS)))) == 0).limit(2 * ORDER_TEXTS)
+    seen = _grams(some.dropDuplicates(["key"])).select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 2")
+    rows = seen.orderBy(F.desc("count"), "gram").limit(ORDER_SHINGLES).toPandas().sort_values("gram")
+    return rows["gram"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
+
+
+def _prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order, so many that sets of SIMILARITY share one of theirs."""
+    place = np.zeros(len(grams), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        place = np.where(common[at] == grams, counts[at], 0)
+    length = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
+    return grams[np.lexsort((grams, place))[:length]]
+
+
+def _can_reach(size_a: np.ndarray, left_a: np.ndarray, size_b: np.ndarray, left_b: np.ndarray) -> np.ndarray:
+    """Whether two sets can be SIMILARITY alike if their first common shingle has so many left from it on in each."""
+    return np.minimum(left_a, left_b) * (1 + SIMILARITY) >= SIMILARITY * (size_a + size_b) - 1e-6
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole buckets (token, key, size, left) -> rows n = 0: a candidate pair a, b; n > 0: a row of a large bucket of n."""
+    for token, key, size, left in _by_whole_blocks(batches):
+        order = np.lexsort((key, size, token))
+        token, key, size, left = token[order], key[order], size[order], left[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+        token, key, size, left = token[new], key[new], size[new], left[new]
+        start = np.concatenate([[True], token[1:] != token[:-1]])
+        first = np.nonzero(start)[0]
+        count = np.diff(np.concatenate([first, [len(token)]]))
+        at = np.cumsum(start) - 1
+        large = count[at] > SMALL
+        lefts, rights = [first[at][large]], [np.nonzero(large)[0]]
+        for off in range(1, SMALL):
+            i = np.nonzero((token[off:] == token[:-off]) & (~large[off:] | (off == 1)))[0]
+            lefts.append(i)
+            rights.append(i + off)
+        i, j = np.concatenate(lefts), np.concatenate(rights)
+        good = (i != j) & _can_reach(size[i], left[i], size[j], left[j])
+        pairs = _pair_rows(key[i[good]], key[j[good]])
+        zero = np.zeros(len(pairs), dtype=np.int64)
+        cols = zip((zero, pairs[:, 0], pairs[:, 1], zero, zero), (count[at][large], token[large], key[large], size[large], left[large]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["n", "a", "b", "size", "left"])
+
+
+def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole cells (cell, key, size, left, label, side) -> all candidate pairs a, b of different labels; side 2 meets all, else the other side."""
+    for cell, key, size, left, label, side in _by_whole_blocks(batches):
+        ends = np.concatenate([np.nonzero(cell[1:] != cell[:-1])[0] + 1, [len(cell)]])
+        start = 0
+        for end in ends.tolist():
+            k, s, f, g, d = (x[start:end] for x in (key, size, left, label, side))
+            start = end
+            for r in range(0, len(k), 256):
+                i = np.arange(r, min(r + 256, len(k)))[:, None]
+                j = np.arange(len(k))[None, :]
+                meet = (g[i] != g[j]) & ((d[i] != d[j]) | (d[i] == 2)) & (i < j)
+                x, y = np.nonzero(meet & _can_reach(s[i], f[i], s[j], f[j]))
+                if len(x):
+                    yield from _links([_pair_rows(k[x + r], k[y])])
+
+
+def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are SIMILARITY alike."""
     wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-wanted")
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted.hint("merge"), "key", "left_semi")
-    grams = map_batches(texts, "key bigint, grams array<bigint>", sets)
+    grams = _grams(_key_and_text(docs).join(wanted.hint("merge"), "key", "left_semi"))
     grams = cut(grams.groupBy("key").agg(F.first("grams").alias("grams")), "near-grams")
     both = pairs.join(grams.withColumnsRenamed({"key": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"key": "b", "grams": "gb"}), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    out = both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    out = both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b")
     out = cut(out, "near-links")
+    drop(wanted)
     drop(grams)
-    drop(pairs)
     return out
 
 
+def near_copy_pairs(docs: DataFrame) -> DataFrame:
+    """a, b: hashes of different texts whose shingle sets (five words) are at least 0.8 alike, by Jaccard.
+
+    The links span every group of such texts; none is missed. With the shingles of all texts in one order, two
+    alike sets share one of their first shingles (prefix filter), so texts meet in buckets by these. A large
+    bucket gives a star and a chain first; once their links are known, all pairs that they leave apart follow.
+    """
+    common, counts = _common_shingles(docs)
+
+    def prefixes():
+        seen: set[int] = set()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            keys, texts = columns(batch, "key", "text")
+            token, key, size, left = [], [], [], []
+            for k, t in zip(keys, texts):
+                if k in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(k)
+                grams = np.unique(_shingle_hashes((t or "").encode().split(), SHINGLE_WORDS)).view(np.int64)
+                if n := len(grams):
+                    first = _prefix(np.sort(grams), common, counts)
+                    token.append(first)
+                    key.append(np.full(len(first), k))
+                    size.append(np.full(len(first), n))
+                    left.append(n - np.arange(len(first)))
+            if not token:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (token, key, size, left)], names=["token", "key", "size", "left"])
+
+        return step
+
+    sent = map_batches(_key_and_text(docs), "token bigint, key bigint, size bigint, left bigint", prefixes)
+    met = sent.repartition("token").sortWithinPartitions("token").mapInArrow(_first_pairs, "n bigint, a bigint, b bigint, size bigint, left bigint")
+    met = cut(met, "near-met")
+    pairs = cut(met.where("n = 0").select("a", "b").distinct(), "near-pairs")
+    links = _alike(docs, pairs)
+    drop(pairs)
+    large = met.where("n > 0").select("n", F.col("a").alias("token"), F.col("b").alias("key"), "size", "left")
+    if large.limit(1).count():
+        labels = connected_components(links)
+        large = large.join(labels, large.key == labels.node, "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+        large = cut(large, "near-large")
+        mixed = large.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        parts = F.ceil(F.col("n") / CELL)
+        rest = large.join(mixed.hint("merge"), "token", "left_semi").withColumn("p", F.pmod(F.xxhash64("key"), parts))
+        rest = rest.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1).cast("bigint")
+        cell = F.xxhash64("token", F.least("p", "q"), F.greatest("p", "q"))
+        rest = rest.select(cell.alias("cell"), "key", "size", "left", "label", side.alias("side"))
+        pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_other_pairs, "a bigint, b bigint")
+        pairs = cut(pairs.distinct(), "near-pairs")
+        links = cut(links.union(_alike(docs, pairs)), "near-links")
+        drop(pairs)
+        drop(large)
+    drop(met)
+    return links
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without copies: of each group of equal or near-equal texts the row of the smallest doc_id stays.
 
     Texts are near-equal if their sets of five-word shingles have a Jaccard similarity of 0.8 or more;
-    groups are connected over such links. Candidates come from ball hashing of several SimHash tables
-    over the different words of a text, in which near copies lie closer than in one over shingles. Texts
-    without a word, and null texts, are no copies of anything. A null doc_id comes last; of rows that
-    repeat both doc_id and text one stays.
+    groups are connected over such links, and no link is missed (see near_copy_pairs). Texts without a
+    word, and null texts, are no copies of anything. A null doc_id comes last; of rows that repeat both
+    doc_id and text one stays.
     """
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named = docs.where(has_word)
