@@ -191,6 +191,18 @@ def test_drop_near_copies_in_large_buckets(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()} == kept_by_all_pairs(texts)
 
 
+def test_drop_near_copies_longer_and_shorter(spark):
+    """Copies that gain or lose a passage, on both sides of a similarity of 0.8."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(40):
+        n = rng.randrange(100, 400)
+        base = prose(rng, n)
+        more = round(n * (0.17 + 0.01 * (i % 10)))
+        texts += [base, base + " " + prose(rng, more) if i % 2 else " ".join(base.split()[: n - more * n // (n + more)])]
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()} == kept_by_all_pairs(texts)
+
+
 def test_drop_near_copies_odd_rows(spark, odd):
     got = simhash.drop_near_copies(odd)
     assert got.columns == odd.columns
