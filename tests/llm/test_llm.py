@@ -514,6 +514,21 @@ def test_prefix_counts(model):
             assert t.startswith(cut) and len(c.sp.encode(cut)) <= budget
 
 
+def test_long_space_runs(model, monkeypatch):
+    c = tokencount.PrefixCounter(model)
+    plain = c.merge
+
+    def short_only(text):
+        assert len(text) <= 200, "a long run is merged pair by pair"
+        return plain(text)
+
+    monkeypatch.setattr(c, "merge", short_only)
+    for t in ("a" + " " * 10_000 + "b c", " " * 5_001, "x\n" + " " * 777 + "\n" + " " * 300 + "12"):
+        assert c.count(t) == len(c.sp.encode(t))
+    t = "a" + " " * 250 + "bc"
+    assert c.prefix_counts(t).tolist() == [len(c.sp.encode(t[:i])) for i in range(len(t) + 1)]
+
+
 def test_count_tokens(spark, odd, model):
     c = tokencount.PrefixCounter(model)
     got = tokencount.count_tokens(odd, model, limit=1000)

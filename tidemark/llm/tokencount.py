@@ -84,7 +84,7 @@ class PrefixCounter:
         if got is not None:
             return got
         if surface.startswith(SPACE * 2):  # the pieces of space runs tie in score: the pair rule need not hold
-            counts = [0] + [self.tokens(self.merge(surface[:i])) for i in range(1, len(surface) + 1)]
+            counts = [0] + [self.whole(surface[:i]) for i in range(1, len(surface) + 1)]
         else:
             apart, endings = self.apart, self.endings
             last, counts = [""], [0]
@@ -114,6 +114,11 @@ class PrefixCounter:
         self.tables[surface] = out = tuple(counts)
         return out
 
+    def whole(self, surface: str) -> int:
+        """The library's count of a segment that begins with a space; it puts the first one in front itself."""
+        text = surface[1:].replace(SPACE, " ")
+        return len(self.sp.encode(text)) if text else self.tokens(self.merge(surface))
+
     def tokens(self, parts: list[str]) -> int:
         return sum(1 if p in self.score else len(p.encode()) for p in parts)
 
@@ -131,7 +136,8 @@ class PrefixCounter:
         for raw in self.segment.findall(" " + text.replace(SPACE, " ")):
             got = totals.get(raw)
             if got is None:
-                got = self.table(raw.replace(" ", SPACE))[-1]
+                surface = raw.replace(" ", SPACE)
+                got = self.whole(surface) if surface.startswith(SPACE * 2) else self.table(surface)[-1]
                 if len(totals) >= CACHE:
                     totals.clear()
                 totals[raw] = got
