@@ -105,17 +105,30 @@ def test_ball_links_equal_all_pairs(spark):
             assert (mine[i] == mine[j]) == (want[i] == want[j])
 
 
-def test_ball_links_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PIECE", 3000)
-    fp = np.array([0, 3, 12, 1 << 40, (1 << 40) | 7, 1 << 60], dtype=np.uint64)
-    inner, lead = simhash.flips(56, 2), 8
+def test_ball_links_in_pieces(monkeypatch):
+    """Blocks of any size are split by further bits: the same pairs meet, each variant in one piece."""
+    rng = random.Random(8)
+    near = [(1 << 40) ^ sum(1 << b for b in rng.sample(range(40), rng.randrange(0, 5))) for _ in range(60)]
+    fp = np.array([0, 3, 12, 1 << 40, (1 << 40) | 7, 1 << 60, *near], dtype=np.uint64)
+    lead = 8
     masks = np.concatenate(simhash.flips(lead, 2))
     block = ((fp >> np.uint64(56))[:, None] ^ masks[None, :]).ravel()
     owner = np.repeat(fp, len(masks))
     order = np.argsort(block, kind="stable")
-    got = [simhash._stars(g, owner[order].view(np.int64)[o]) for _, g, o in simhash._meetings(block[order], owner[order], lead, 2, inner)]
-    pairs = {tuple(p) for x in got for p in x.tolist()}
-    assert (3, 0) in pairs and (12, 0) in pairs and (1 << 60, 0) in pairs
+
+    def pairs():
+        seen = Counter()
+        for g, o in simhash._meetings(block[order], owner[order], lead, 2):
+            by = {}
+            for x, y in zip(g.tolist(), owner[order][o].tolist()):
+                by.setdefault(x, set()).add(y)
+            seen.update((a, b) for v in by.values() for a in v for b in v if a < b)
+        return seen
+
+    whole = pairs()
+    monkeypatch.setattr(simhash, "PIECE", 300)
+    assert pairs() == whole
+    assert {(a, b) for a, b in whole if a != b} == {(a, b) for a in fp.tolist() for b in fp.tolist() if a < b and (a ^ b).bit_count() <= 4}
 
 
 def test_near_duplicates(spark, odd):
@@ -191,6 +204,24 @@ def test_drop_near_copies_in_large_buckets(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()} == kept_by_all_pairs(texts)
 
 
+def test_large_groups_give_few_candidates(spark, monkeypatch):
+    """200 near copies of one text: what meets is linear in the group, and no link is lost."""
+    rng = random.Random(33)
+    words = prose(rng, 200).split()
+    texts = []
+    for _ in range(200):
+        one = list(words)
+        for at in rng.sample(range(200), 3):
+            one[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(one))
+    made = []
+    real = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, label: made.append((label, real(df, label))) or made[-1][1])
+    monkeypatch.setattr(simhash, "drop", lambda df: None)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, texts)).collect()} == kept_by_all_pairs(texts)
+    assert sum(d.count() for label, d in made if label == "near-pairs") < 10 * len(texts)
+
+
 def test_drop_near_copies_longer_and_shorter(spark):
     """Copies that gain or lose a passage, on both sides of a similarity of 0.8."""
     rng = random.Random(31)

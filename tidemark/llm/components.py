@@ -36,7 +36,7 @@ def _to_least(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the least node reachable) of every node with an edge; edges has a and b, longs.
 
     Empty input gives an empty table. Loops and repeated edges do no harm; nulls are no nodes.
@@ -44,9 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select("a", "b").where("a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     before = _state(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:  # every round but the last brings labels down, so this ends
         large = _to_least(edges, both_ways=True)
         small = _to_least(large, both_ways=False)
         drop(large)
@@ -55,7 +53,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.union(edges.select(F.col("b"), F.col("b")).distinct())

@@ -27,33 +27,42 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import columns, cut, drop, map_batches, only
 from tidemark.llm.components import connected_components
 
-#: Variants held at once by a task.
-PIECE = 500_000
-#: Tells the variants of several tables apart.
-SALT = np.uint64(0xD6E8FEB86659FD93)
+#: Variants held at once by a task, and bits by which a piece with more of them is split.
+PIECE, SPLIT = 500_000, 4
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """64 majority bits over the XXH64 (seed 42) of a text's word shingles, repeats included; no word: 0."""
+def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 (seed 42) of the space-joined shingles of n words, repeats included; fewer words: the whole sequence."""
     import xxhash
 
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z change, only ASCII blanks split
     if not words:
-        return 0
-    whole = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return np.empty(0, dtype=np.uint64)
+    h64, whole = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= n:
+        return np.array([h64(whole, 42)], dtype=np.uint64)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: len(words) - shingle + 1].tolist()
-    h64 = xxhash.xxh64_intdigest
-    h = np.array([h64(whole[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype="<u8")
+    starts = (ends - size)[: len(words) - n + 1].tolist()
+    return np.array([h64(whole[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; no hash: 0."""
+    if not len(h):
+        return 0
+    h = h.astype("<u8")
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 4096):
         ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, shingle: int = 4) -> int:
+    """64 majority bits over the hashes of a lower-cased text's word shingles; no word: 0."""
+    # bytes: only A-Z change, only ASCII blanks split
+    return majority(shingle_hashes(text.encode().lower().split() if text else [], shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text; null texts count as empty."""
 
@@ -97,39 +106,57 @@ def _send(lead: int, radius: int):
     return make
 
 
-def _meetings(block: np.ndarray, fp: np.ndarray, lead: int, radius: int, inner: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The variants that rows share (salted by table), and (group, row): which row shares which; rows are those of whole blocks."""
-    left = radius - np.bitwise_count((fp >> np.uint64(64 - lead)) ^ (block & np.uint64((1 << lead) - 1))).astype(np.int64)
-    low = np.uint64((1 << (64 - lead)) - 1)
-    # blocks of several tables are told apart above the address bits
-    table = block >> np.uint64(lead)
-    base = (block << np.uint64(64 - lead)) | (fp & low)
-    salt = table * SALT
-    weights = np.cumsum([len(m) for m in inner])
-    total = int(weights[left].sum())
-    classes = max(1, math.ceil(total / PIECE))
-    for c in range(classes):
+def _pieces(at: np.ndarray, row: np.ndarray, fp: np.ndarray, lead: int, left: np.ndarray, radius: int) -> Iterator[tuple]:
+    """Rows (variants of fp[row] that begin with the lead bits `at`, with `left` bits still to flip) in pieces of whole addresses.
+
+    An address with too many variants is split by further bits, so each variant is spelt out in one piece only.
+    """
+    order = np.argsort(at, kind="stable")
+    at, row, left = at[order], row[order], left[order]
+    weight = np.cumsum([math.comb(64 - lead, k) for k in range(radius + 1)])[left]
+    ends = np.concatenate([np.nonzero(at[1:] != at[:-1])[0] + 1, [len(at)]])
+    total = np.concatenate([[0], np.cumsum(weight)])
+    start = 0
+    for end, after in zip(ends.tolist(), [*ends[1:].tolist(), None]):
+        size = total[end] - total[start]
+        if after is not None and total[after] - total[start] <= PIECE:
+            continue
+        cut = slice(start, end)
+        start = end
+        if size <= PIECE or lead + SPLIT > 60:
+            yield at[cut], row[cut], lead, left[cut]
+            continue
+        shift = np.uint64(64 - lead - SPLIT)
+        low = np.uint64((1 << SPLIT) - 1)
+        parts = []
+        for w, masks in enumerate(flips(SPLIT, radius)):
+            able = left[cut] >= w
+            bits = (fp[row[cut][able]] >> shift & low)[:, None] ^ masks[None, :]
+            parts.append(((at[cut][able][:, None] | bits << shift).ravel(), np.repeat(row[cut][able], len(masks)), np.repeat(left[cut][able] - w, len(masks))))
+        a, r, f = (np.concatenate(x) for x in zip(*parts))
+        yield from _pieces(a, r, fp, lead + SPLIT, f, radius)
+
+
+def _meetings(block: np.ndarray, fp: np.ndarray, lead: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(group, row) of the variants that several rows share; rows are those of whole blocks."""
+    left = radius - np.bitwise_count((fp >> np.uint64(64 - lead)) ^ block).astype(np.int64)
+    masks_of: dict[int, list[np.ndarray]] = {}
+    for at, row, bits, room in _pieces(block << np.uint64(64 - lead), np.arange(len(fp)), fp, lead, left, radius):
+        inner = masks_of.setdefault(bits, flips(64 - bits, radius))
+        base = at | (fp[row] & np.uint64((1 << (64 - bits)) - 1))
         variants, owners = [], []
         for r in range(radius + 1):
-            mine = np.nonzero(left == r)[0]
+            mine = np.nonzero(room == r)[0]
             masks = np.concatenate(inner[: r + 1])
-            step = max(1, PIECE // len(masks))
-            for k in range(0, len(mine), step):
-                rows = mine[k : k + step]
-                v = ((base[rows][:, None] ^ masks[None, :]) + salt[rows][:, None]).ravel()
-                o = np.repeat(rows, len(masks))
-                if classes > 1:
-                    keep = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(classes) == c
-                    v, o = v[keep], o[keep]
-                variants.append(v)
-                owners.append(o)
+            variants.append((base[mine][:, None] ^ masks[None, :]).ravel())
+            owners.append(np.repeat(row[mine], len(masks)))
         v, o = np.concatenate(variants), np.concatenate(owners)
         ordered = np.sort(v)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if len(twice):
-            at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
-            hit = twice[at] == v
-            yield twice, at[hit], o[hit]
+            at_twice = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
+            hit = twice[at_twice] == v
+            yield at_twice[hit], o[hit]
 
 
 def _stars(group: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -173,11 +200,10 @@ def ball_links(fps: DataFrame, radius: int = 2, n: int | None = None) -> DataFra
     other), whose distance to each is within 2*radius too.
     """
     lead = address_bits(fps.count() if n is None else n)
-    inner = flips(64 - lead, radius)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, fp in _by_whole_blocks(batches):
-            found = [_stars(g, fp[o]) for _, g, o in _meetings(block.view(np.uint64), fp.view(np.uint64), lead, radius, inner)]
+            found = [_stars(g, fp[o]) for g, o in _meetings(block.view(np.uint64), fp.view(np.uint64), lead, radius)]
             near = [p[np.bitwise_count((p[:, 0] ^ p[:, 1]).view(np.uint64)) <= 2 * radius] for p in found]  # verify
             yield from _links(near)
 
@@ -211,68 +237,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 2) -> DataF
 
 #: The near-copy stage: words of a shingle and least Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Buckets of up to so many texts give all their pairs at once. Larger ones first give a star and a chain, then
-#: all pairs of texts that these have not joined, in cells of at most two times CELL texts.
+#: Buckets of up to so many texts give all their pairs at once; in larger ones texts meet in cells of at most two
+#: times CELL texts.
 SMALL, CELL = 8, 1000
 #: Texts and shingles at most from which the order of shingles is made.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
+#: Bits of the map of a text's shingles that bounds similarities in cells.
+MAP_BITS = 2048
 
 
-def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
-    import xxhash
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with k1 and k2, together 128 bits that stand for the text."""
+    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
 
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h64 = xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return np.array([h64(b" ".join(words), 42)], dtype=np.uint64)
-    whole = b" ".join(words)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: len(words) - n + 1].tolist()
-    return np.array([h64(whole[a:b], 42) for a, b in zip(starts, ends[n - 1 :].tolist())], dtype=np.uint64)
 
+def _distinct_hashes(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode().split(), SHINGLE_WORDS))
 
-def _key_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("text").alias("key"), "text")
 
+def _common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several different texts of a bounded sample hold, and their counts there.
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """key, grams: the different shingle hashes of each row's text; no text: none."""
+    They order the shingles of a text, rare ones first: any fixed order gives the same links, with this one hot
+    passages seldom stand in a prefix. Those in more than SMALL texts are also known to have large buckets.
+    """
+    n = keyed.count()
+    some = keyed.where(F.pmod("k1", F.lit(max(1, math.ceil(n / ORDER_TEXTS)))) == 0).limit(2 * ORDER_TEXTS).dropDuplicates(["k1", "k2"])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, texts = columns(batch, "key", "text")
-            got = [np.unique(_shingle_hashes((t or "").encode().split(), SHINGLE_WORDS)).view(np.int64) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["key", "grams"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([_distinct_hashes(t) for t in columns(batch, "text")[0]]).view(np.int64))], names=["gram"])
 
         return step
 
-    return map_batches(docs, "key bigint, grams array<bigint>", make)
-
-
-def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) that several texts of a bounded sample hold, and their counts there.
-
-    They only order the shingles of a text, rare ones first. Any fixed order gives the same links; with this one
-    hot passages seldom stand in a prefix.
-    """
-    keyed = _key_and_text(docs)
-    n = docs.count()
-    some = keyed.where(F.pmod("key", F.lit(max(1, math.ceil(n / ORDER_TEXTS)))) == 0).limit(2 * ORDER_TEXTS)
-    seen = _grams(some.dropDuplicates(["key"])).select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 2")
+    seen = map_batches(some.select("text"), "gram bigint", make).groupBy("gram").count().where("count > 2")
     rows = seen.orderBy(F.desc("count"), "gram").limit(ORDER_SHINGLES).toPandas().sort_values("gram")
     return rows["gram"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
 
 
-def _prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order, so many that sets of SIMILARITY share one of theirs."""
+def _prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, so many that sets of SIMILARITY share one of theirs; and their counts."""
     place = np.zeros(len(grams), dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
         place = np.where(common[at] == grams, counts[at], 0)
     length = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
-    return grams[np.lexsort((grams, place))[:length]]
+    first = np.lexsort((grams, place))[:length]
+    return grams[first], place[first]
+
+
+def _profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, k1, k2 of each row; fp, size, prefix and hot (tokens known to have large buckets) unless its task has met the text before."""
+
+    def make():
+        seen: set[int] = set()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, k1, k2, texts = columns(batch, "doc_id", "k1", "k2", "text")
+            fps, sizes, prefixes, hots = [], [], [], []
+            for key, t in zip(zip(k1, k2), texts):
+                if key in seen:
+                    fps.append(None), sizes.append(None), prefixes.append(None), hots.append(None)
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(key)
+                h = shingle_hashes(t.encode().split(), SHINGLE_WORDS)
+                grams = np.unique(h).view(np.int64)
+                first, place = _prefix(np.sort(grams), common, counts)
+                fps.append(int(np.uint64(majority(h)).astype(np.int64)))
+                sizes.append(len(grams))
+                prefixes.append(first)
+                hots.append(place > SMALL)
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, k1, k2, fps, sizes, prefixes, hots), types)], names=["doc_id", "k1", "k2", "fp", "size", "prefix", "hot"])
+
+        return step
+
+    return map_batches(keyed.select("doc_id", "k1", "k2", "text"), "doc_id bigint, k1 bigint, k2 bigint, fp bigint, size bigint, prefix array<bigint>, hot array<boolean>", make)
 
 
 def _can_reach(size_a: np.ndarray, left_a: np.ndarray, size_b: np.ndarray, left_b: np.ndarray) -> np.ndarray:
@@ -284,149 +325,266 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets (token, key, size, left) -> rows n = 0: a candidate pair a, b; n > 0: a row of a large bucket of n."""
-    for token, key, size, left in _by_whole_blocks(batches):
-        order = np.lexsort((key, size, token))
-        token, key, size, left = token[order], key[order], size[order], left[order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
-        token, key, size, left = token[new], key[new], size[new], left[new]
-        start = np.concatenate([[True], token[1:] != token[:-1]])
-        first = np.nonzero(start)[0]
-        count = np.diff(np.concatenate([first, [len(token)]]))
-        at = np.cumsum(start) - 1
-        large = count[at] > SMALL
-        lefts, rights = [first[at][large]], [np.nonzero(large)[0]]
-        for off in range(1, SMALL):
-            i = np.nonzero((token[off:] == token[:-off]) & (~large[off:] | (off == 1)))[0]
-            lefts.append(i)
-            rights.append(i + off)
-        i, j = np.concatenate(lefts), np.concatenate(rights)
-        good = (i != j) & _can_reach(size[i], left[i], size[j], left[j])
-        pairs = _pair_rows(key[i[good]], key[j[good]])
+def _open_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, id, size, left) by token -> pairs of small buckets (large false: a, b), rows of large ones (large true: token, id, size, left).
+
+    A bucket that outgrows SMALL passes through row by row, so no more than a batch is held.
+    """
+    held: list[np.ndarray] | None = None  # rows of the last token so far, if they are few
+    passing = None  # the token whose rows pass through
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if held is not None:
+            cols = [np.concatenate(c) for c in zip(held, cols)]
+        token, node, size, left = cols
+        if not len(token):
+            continue
+        begin = np.concatenate([[True], token[1:] != token[:-1]])
+        first = np.nonzero(begin)[0]
+        count = np.diff(np.concatenate([first, [len(token)]]))[np.cumsum(begin) - 1]
+        large = count > SMALL
+        if passing is not None:
+            large |= token == passing
+        last = token == token[-1]
+        passing = token[-1] if large[-1] else None
+        ready = np.ones(len(token), dtype=bool) if passing is not None else ~last
+        held = None if passing is not None else [c[last] for c in cols]
+        yield from _small_pairs(token, node, size, left, ~large & ready)
+        out = large & ready
+        if out.any():
+            yield _bucket_rows(np.ones(int(out.sum()), dtype=bool), *(c[out] for c in cols))
+    if held is not None and len(held[0]):
+        yield from _small_pairs(*held, np.ones(len(held[0]), dtype=bool))
+
+
+def _bucket_rows(large, a, b, c, d) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (large, a, b, c, d)], names=["large", "token", "id", "size", "left"])
+
+
+def _small_pairs(token, node, size, left, use) -> Iterator[pa.RecordBatch]:
+    token, node, size, left = (x[use] for x in (token, node, size, left))
+    found = []
+    for off in range(1, SMALL):
+        i = np.nonzero(token[off:] == token[:-off])[0]
+        if not len(i):
+            break
+        good = i[_can_reach(size[i], left[i], size[i + off], left[i + off])]
+        found.append((node[good], node[good + off]))
+    if found and sum(len(x) for x, _ in found):
+        pairs = _pair_rows(*(np.concatenate(x) for x in zip(*found)))
         zero = np.zeros(len(pairs), dtype=np.int64)
-        cols = zip((zero, pairs[:, 0], pairs[:, 1], zero, zero), (count[at][large], token[large], key[large], size[large], left[large]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["n", "a", "b", "size", "left"])
-
-
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole cells (cell, key, size, left, label, side) -> all candidate pairs a, b of different labels; side 2 meets all, else the other side."""
-    for cell, key, size, left, label, side in _by_whole_blocks(batches):
-        ends = np.concatenate([np.nonzero(cell[1:] != cell[:-1])[0] + 1, [len(cell)]])
-        start = 0
-        for end in ends.tolist():
-            k, s, f, g, d = (x[start:end] for x in (key, size, left, label, side))
-            start = end
-            for r in range(0, len(k), 256):
-                i = np.arange(r, min(r + 256, len(k)))[:, None]
-                j = np.arange(len(k))[None, :]
-                meet = (g[i] != g[j]) & ((d[i] != d[j]) | (d[i] == 2)) & (i < j)
-                x, y = np.nonzero(meet & _can_reach(s[i], f[i], s[j], f[j]))
-                if len(x):
-                    yield from _links([_pair_rows(k[x + r], k[y])])
-
-
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are SIMILARITY alike."""
-    wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-wanted")
-    grams = _grams(_key_and_text(docs).join(wanted.hint("merge"), "key", "left_semi"))
-    grams = cut(grams.groupBy("key").agg(F.first("grams").alias("grams")), "near-grams")
-    both = pairs.join(grams.withColumnsRenamed({"key": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"key": "b", "grams": "gb"}), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    out = both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b")
-    out = cut(out, "near-links")
-    drop(wanted)
-    drop(grams)
-    return out
+        yield _bucket_rows(np.zeros(len(pairs), dtype=bool), pairs[:, 0].copy(), pairs[:, 1].copy(), zero, zero)
 
 
-def near_copy_pairs(docs: DataFrame) -> DataFrame:
-    """a, b: hashes of different texts whose shingle sets (five words) are at least 0.8 alike, by Jaccard.
+def _cell_pairs(every: bool):
+    """Whole cells (cell, side, id, size, left, label, map) -> candidate pairs a, b of different labels.
 
-    The links span every group of such texts; none is missed. With the shingles of all texts in one order, two
-    alike sets share one of their first shingles (prefix filter), so texts meet in buckets by these. A large
-    bucket gives a star and a chain first; once their links are known, all pairs that they leave apart follow.
+    Rows of side 0 have one label in common and meet only those of side 1; rows of side 2 meet all of the cell, of side 3 those of
+    side 4. Pairs that the sizes, the places of the token or the maps of shingles exclude are no candidates. With
+    every, all candidates come out. Else a star for each of the best placed texts, and for each text of side 1 its best
+    partner: once these are verified and joined, few candidates of different labels are left.
     """
-    common, counts = _common_shingles(docs)
 
-    def prefixes():
-        seen: set[int] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, side, node, size, left, label, maps in _by_whole_blocks(batches):
+            ends = np.concatenate([np.nonzero(cell[1:] != cell[:-1])[0] + 1, [len(cell)]])
+            start, found = 0, []
+            for end in ends.tolist():
+                here = slice(start, end)
+                start = end
+                words = np.frombuffer(b"".join(maps[here].tolist()), dtype=np.uint64).reshape(-1, MAP_BITS // 64)
+                found += _meet_cell(side[here], node[here], size[here], left[here], label[here], words, every)
+            if found:
+                yield from _links([_pair_rows(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))])
+
+    return run
+
+
+def _meet_cell(side, node, size, left, label, words, every) -> list[tuple[np.ndarray, np.ndarray]]:
+    one = np.nonzero((side == 0) | (side == 2) | (side == 3))[0]
+    two = np.nonzero((side == 1) | (side == 2) | (side == 4))[0]
+    if not len(one) or not len(two):
+        return []
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    likeness = np.zeros((len(one), len(two)), dtype=np.float32)
+    for k in range(0, len(one), 64):
+        i, j = one[k : k + 64][:, None], two[None, :]
+        both = np.bitwise_count(words[i[:, 0]][:, None, :] & words[two][None, :, :]).sum(axis=2, dtype=np.int64)
+        # a bit of one map that the other lacks is a shingle that the other lacks
+        most = np.minimum(size[i] - (ones[i] - both), size[j] - (ones[j] - both))
+        fits = (label[i] != label[j]) & _can_reach(size[i], left[i], size[j], left[j]) & (most * (1 + SIMILARITY) >= SIMILARITY * (size[i] + size[j]) - 1e-6)
+        likeness[k : k + 64] = np.where(fits, both / np.maximum(1, ones[i] + ones[j] - both) + 1e-6, 0)
+    if every:
+        x, y = np.nonzero(likeness)
+    elif side[one[0]] == 0:
+        y = np.nonzero(likeness.any(axis=0))[0]
+        x = likeness[:, y].argmax(axis=0)
+    else:
+        x, y = _best_stars(likeness, one, two)
+    return [(node[one[x]], node[two[y]])] if len(x) else []
+
+
+def _best_stars(likeness: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars around the texts with most candidates, until every text with a candidate is in one."""
+    same = one[0] == two[0]  # a cell that meets itself
+    open_two, xs, ys = np.ones(len(two), dtype=bool), [], []
+    for c in np.argsort(-(likeness > 0).sum(axis=1), kind="stable").tolist():
+        if same and not open_two[c]:
+            continue
+        near = np.nonzero((likeness[c] > 0) & open_two)[0]
+        if not len(near):
+            continue
+        xs.append(np.full(len(near), c))
+        ys.append(near)
+        open_two[near] = False
+        if same:
+            open_two[c] = False
+    # a text whose candidates are all in other stars joins its best one
+    lone = np.nonzero((likeness > 0).any(axis=0) & open_two)[0]
+    xs.append(likeness[:, lone].argmax(axis=0))
+    ys.append(lone)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _grams(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, grams (different shingle hashes), map (bits of them) of the wanted texts (id, k1, k2)."""
+    chosen = keyed.join(wanted.hint("merge"), ["k1", "k2"]).select("id", "text")
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            keys, texts = columns(batch, "key", "text")
-            token, key, size, left = [], [], [], []
-            for k, t in zip(keys, texts):
-                if k in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(k)
-                grams = np.unique(_shingle_hashes((t or "").encode().split(), SHINGLE_WORDS)).view(np.int64)
-                if n := len(grams):
-                    first = _prefix(np.sort(grams), common, counts)
-                    token.append(first)
-                    key.append(np.full(len(first), k))
-                    size.append(np.full(len(first), n))
-                    left.append(n - np.arange(len(first)))
-            if not token:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (token, key, size, left)], names=["token", "key", "size", "left"])
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, texts = columns(batch, "id", "text")
+            grams = [_distinct_hashes(t) for t in texts]
+            maps = []
+            for g in grams:
+                bits = np.zeros(MAP_BITS, dtype=bool)
+                bits[(g >> np.uint64(17)) % np.uint64(MAP_BITS)] = True
+                maps.append(np.packbits(bits).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["id", "grams", "map"])
 
         return step
 
-    sent = map_batches(_key_and_text(docs), "token bigint, key bigint, size bigint, left bigint", prefixes)
-    met = sent.repartition("token").sortWithinPartitions("token").mapInArrow(_first_pairs, "n bigint, a bigint, b bigint, size bigint, left bigint")
-    met = cut(met, "near-met")
-    pairs = cut(met.where("n = 0").select("a", "b").distinct(), "near-pairs")
-    links = _alike(docs, pairs)
-    drop(pairs)
-    large = met.where("n > 0").select("n", F.col("a").alias("token"), F.col("b").alias("key"), "size", "left")
-    if large.limit(1).count():
+    rows = map_batches(chosen, "id bigint, grams array<bigint>, map binary", make)
+    return cut(rows.groupBy("id").agg(F.first("grams").alias("grams"), F.first("map").alias("map")), "near-grams")
+
+
+def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are SIMILARITY alike, stored."""
+    g = grams.select("id", "grams")
+    both = pairs.join(g.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(g.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return cut(both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b"), "near-links")
+
+
+def _cells(large: DataFrame, labels: DataFrame, grams: DataFrame) -> DataFrame:
+    """Rows of large buckets that hold several labels, dealt into cells in which every two of different labels meet.
+
+    The texts of a bucket's most frequent label meet only the others, so a bucket of one big group and few others is
+    passed through once.
+    """
+    l = large.join(labels, large["id"] == labels["node"], "left").select("token", "id", "size", "left", F.coalesce("label", "id").alias("label"))
+    l = cut(l, "near-large")
+    each = l.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = each.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).where("m.n < all")
+    per = per.select("token", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CELL).alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("others"))
+    l = l.join(per, "token").join(grams.select("id", "map"), "id")
+    is_main, part = F.col("label") == F.col("main"), F.xxhash64("id")
+    zero = F.lit(0).cast("bigint")
+    at = lambda kind, x, y, side: F.struct(F.xxhash64("token", F.lit(kind), x, y).alias("cell"), F.lit(side).cast("bigint").alias("side") if isinstance(side, int) else side.cast("bigint").alias("side"))
+    p, q = F.pmod(part, F.col("mains")), F.pmod(part, F.col("others"))
+    of_main = F.transform(F.sequence(zero, F.col("others") - 1), lambda y: at(0, p, y, 0))
+    of_other = F.concat(
+        F.transform(F.sequence(zero, F.col("mains") - 1), lambda x: at(0, x, q, 1)),
+        F.transform(F.sequence(zero, F.col("others") - 1), lambda y: at(1, F.least(q, y), F.greatest(q, y), F.when(q == y, 2).when(q < y, 3).otherwise(4))),
+    )
+    l = l.withColumn("c", F.explode(F.when(is_main, of_main).otherwise(of_other)))
+    return l.select("c.cell", "c.side", "id", "size", "left", "label", "map")
+
+
+def _links_in_large(large: DataFrame, grams: DataFrame, links: DataFrame) -> DataFrame:
+    """links and those between texts of large buckets that are still in different groups: twice by stars, then all that is left."""
+    shape = "a bigint, b bigint"
+    for every in (False, False, True):
         labels = connected_components(links)
-        large = large.join(labels, large.key == labels.node, "left").withColumn("label", F.coalesce("label", "key")).drop("node")
-        large = cut(large, "near-large")
-        mixed = large.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        parts = F.ceil(F.col("n") / CELL)
-        rest = large.join(mixed.hint("merge"), "token", "left_semi").withColumn("p", F.pmod(F.xxhash64("key"), parts))
-        rest = rest.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-        side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1).cast("bigint")
-        cell = F.xxhash64("token", F.least("p", "q"), F.greatest("p", "q"))
-        rest = rest.select(cell.alias("cell"), "key", "size", "left", "label", side.alias("side"))
-        pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_other_pairs, "a bigint, b bigint")
-        pairs = cut(pairs.distinct(), "near-pairs")
-        links = cut(links.union(_alike(docs, pairs)), "near-links")
+        cells = _cells(large, labels, grams).repartition("cell").sortWithinPartitions("cell", "side", "id")
+        pairs = cut(cells.mapInArrow(_cell_pairs(every), shape).distinct(), "near-pairs")
+        if not pairs.limit(1).count():
+            break
+        links = cut(links.union(_alike(pairs, grams)), "near-links")
         drop(pairs)
-        drop(large)
-    drop(met)
     return links
 
 
+def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of the texts of docs (doc_id, text with a word).
+
+    nodes: id, k1, k2, least (smallest doc_id) of every different text. links: a, b, ids of texts whose sets of
+    five-word shingles are at least 0.8 alike, by Jaccard; they span every group of such texts, none is missed.
+
+    Texts meet first where variants of their fingerprints meet (ball hashing): that joins most copies. What
+    fingerprints tell apart meets by a prefix filter: with the shingles of all texts in one order, two texts of
+    similarity 0.8 share one of their first fifth. Every candidate is verified on the shingles.
+    """
+    keyed = _keyed(docs)
+    common, counts = _common_shingles(keyed)
+    rows = _profiles(keyed, common, counts)
+    per = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("fp", "size", "prefix", "hot")])
+    nodes = cut(per.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
+
+    prints = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep")), "near-prints")
+    balls = ball_links(prints).distinct()
+    ball_pairs = balls.join(prints.withColumnsRenamed({"fp": "a", "rep": "ra"}), "a").join(prints.withColumnsRenamed({"fp": "b", "rep": "rb"}), "b").select("ra", "rb")
+    same_print = nodes.select("id", "fp").join(prints, "fp").where("id <> rep").select("id", "rep")
+    met = ball_pairs.union(same_print).select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
+
+    tokens = nodes.select("id", "size", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "t"))
+    tokens = tokens.select(F.col("t.prefix").alias("token"), "id", "size", (F.col("size") - F.col("pos")).alias("left"), F.col("t.hot").alias("hot"))
+    shape = "large boolean, token bigint, id bigint, size bigint, left bigint"
+    # a bucket known to be large needs no counting: its rows are not brought together here
+    known = tokens.where("hot").select(F.lit(True).alias("large"), "token", "id", "size", "left")
+    dealt = tokens.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token")
+    buckets = cut(dealt.mapInArrow(_open_buckets, shape).union(known), "near-buckets")
+    small = buckets.where("NOT large").select(F.col("token").alias("a"), F.col("id").alias("b"))
+    large = buckets.where("large").drop("large")
+    pairs = cut(met.union(small).distinct(), "near-pairs")
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    grams = _grams(keyed, cut(nodes.select("id", "k1", "k2").join(wanted, "id"), "near-wanted"))
+    links = _alike(pairs, grams)
+    drop(pairs)
+    if large.limit(1).count():
+        links = _links_in_large(large, grams, links)
+    drop(grams)
+    drop(buckets)
+    return nodes.select("id", "k1", "k2", "least"), links
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without copies: of each group of equal or near-equal texts the row of the smallest doc_id stays.
 
     Texts are near-equal if their sets of five-word shingles have a Jaccard similarity of 0.8 or more;
-    groups are connected over such links, and no link is missed (see near_copy_pairs). Texts without a
+    groups are connected over such links, and no link is missed (see near_copy_links). Texts without a
     word, and null texts, are no copies of anything. A null doc_id comes last; of rows that repeat both
-    doc_id and text one stays.
+    doc_id and text one stays. Two texts count as equal if 128 bits of hashes are.
     """
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = docs.where(has_word)
-    rows = cut(named.select("doc_id", F.xxhash64("text").alias("key")), "near-rows")
-    labels = connected_components(near_copy_pairs(named.select("doc_id", "text")))
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    nodes = cut(nodes.join(labels, nodes.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("label")), "near-nodes")
-    order = F.struct(F.col("least").isNull(), F.col("least"), F.col("key"))
-    heads = nodes.groupBy("label").agg(F.min_by(F.struct("key", "least"), order).alias("head"))
-    head_keys = cut(heads.select("head.key", "head.least"), "near-heads")
-    # all rows but those that stay; usually the smaller part, and then sent to every executor by Spark
-    gone = rows.join(head_keys, "key", "left").where(F.col("least").isNull() & F.col("doc_id").isNotNull() | ~F.col("doc_id").eqNullSafe(F.col("least")))
-    kept_nowhere = rows.join(head_keys, "key", "left_anti")
-    gone = cut(gone.select("doc_id", "key").union(kept_nowhere).distinct().withColumnsRenamed({"doc_id": "_g", "key": "_k"}), "near-gone")
-    twice = rows.join(head_keys, "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
-    key = F.when(has_word, F.xxhash64("text"))
-    d = docs.withColumn("__near_key", key)
-    gone = gone.hint("merge")  # alike at every size: rows of gone grow with docs
-    out = d.join(gone, (d["__near_key"] == gone["_k"]) & d["doc_id"].eqNullSafe(gone["_g"]), "left_anti")
+    named = docs.where(has_word).select("doc_id", "text")
+    nodes, links = near_copy_links(named)
+    labels = connected_components(links)
+    nodes = cut(nodes.join(labels, nodes["id"] == labels["node"], "left").select("k1", "k2", "least", "id", F.coalesce("label", "id").alias("label")), "near-groups")
+    order = F.struct(F.col("least").isNull(), F.col("least"), F.col("id"))
+    heads = nodes.groupBy("label").agg(F.min_by(F.struct("k1", "k2", "least"), order).alias("h")).select("h.*")
+    heads = cut(heads, "near-heads")
+    # all rows but those that stay; usually the smaller part
+    rows = cut(_keyed(named).select("doc_id", "k1", "k2"), "near-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("least"))
+    stays = rows.join(heads.withColumn("head", F.lit(True)), ["k1", "k2"], "left").withColumn("stays", F.coalesce(F.col("head") & same, F.lit(False)))
+    stays = cut(stays.groupBy("doc_id", "k1", "k2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "near-stays")
+    twice = stays.where("stays AND n > 1").limit(1).count()
+    gone = stays.where("NOT stays").select(F.col("doc_id").alias("_g"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).hint("merge")
+    names = docs.columns
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text").withColumn("_word", has_word)
+    d = _keyed(d.withColumn("text", F.when(F.col("_word"), F.col("text"))))
+    out = d.join(gone, d["_word"] & (d["k1"] == gone["_k1"]) & (d["k2"] == gone["_k2"]) & d["doc_id"].eqNullSafe(gone["_g"]), "left_anti")
     if twice:
-        single = out.where("__near_key IS NOT NULL").dropDuplicates(["doc_id", "__near_key"])
-        out = single.unionByName(out.where("__near_key IS NULL"))
-    return out.drop("__near_key")
+        out = out.where("_word").dropDuplicates(["doc_id", "k1", "k2"]).unionByName(out.where("NOT _word"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
