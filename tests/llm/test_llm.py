@@ -517,11 +517,50 @@ def test_chunks_change_nothing(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(rng.normal(size=(300, 8)))], "vec_id bigint, embedding array<double>")
     q = v.where("vec_id % 10 = 0")
     whole = rows(ann.search(v, q, k=5, recall=1.0), "query_id", "rank", "vec_id")
-    monkeypatch.setattr(ann, "CHUNK_VECTORS", 7)
-    monkeypatch.setattr(ann, "CHUNK_QUERIES", 3)
+    for name, small in (("GROUP", 3), ("SLICE", 50), ("CHUNK", 7)):
+        monkeypatch.setattr(ann, name, small)
     assert rows(ann.search(v, q, k=5, recall=1.0), "query_id", "rank", "vec_id") == whole
 
 
+def test_cells_give_rows_in_proportion_to_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    made = []
+    real = ann._meet
+
+    def counted(k):
+        run = real(k)
+        made.append((k, run))
+        return run
+
+    monkeypatch.setattr(ann, "_meet", counted)
+    for n in (200, 1000):
+        v = spark.createDataFrame([(i, [float(a) for a in p]) for i, p in enumerate(rng.normal(size=(n, 8)))], "vec_id bigint, embedding array<double>")
+        assert ann.search(v, v.where("vec_id % 10 = 0"), k=5).count() == n // 10 * 5
+    import pyarrow as pa
+
+    k, run = made[-1]
+    x = rng.normal(size=(500, 8)).tolist()
+    vs = pa.table({"vec_id": list(range(500)), "embedding": x, "leaf": [i % 9 for i in range(500)]})
+    qs = pa.table({"twin": list(range(40)), "embedding": x[:40], "leaves": [[0, 3, 4]] * 40})
+    assert run(vs, qs).num_rows == 40 * k == 240
+    assert [(leaf, first, parts) for leaf, first, parts in ann._groups({1: 4096, 2: 1, 5: 9000, 7: 3})] == [(1, 0, 1), (2, 1, 1), (5, 2, 3), (7, 5, 1)]
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Repeated ids and rows, columns whose names clash, queries of another length."""
+    rng = np.random.default_rng(6)
+    data = [(i, [float(a) for a in p]) for i, p in enumerate(rng.normal(size=(60, 4)))]
+    v = spark.createDataFrame(data + data[:9] + [(3, [9.0, 0.0, 0.0, 0.0]), (None, [1.0] * 4)], "vec_id bigint, embedding array<double>")
+    for c in ("leaf", "grp", "slice", "twin", "leaves", "score", "rank", "query_id"):
+        v = v.withColumn(c, F.lit(c))
+    got = ann.search(v, v.where("vec_id % 10 = 0"), k=3, recall=1.0)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(by) == {0, 10, 20, 30, 40, 50} and all(sorted(x)[0][0] == 1 and len(x) == 3 for x in by.values())
+    assert ann.search(v, spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<double>")).count() == 0
+
+
 # 8
 
 

@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by largest inner product over a hierarchical k-means tree.
 
 Vectors get one more component so that all have the same length; nearest points and largest inner
-products are then the same thing. A k-means tree is fitted on a bounded sample. Every vector is
-filed under one leaf; a query walks the tree best-bin-first: a priority queue holds the nodes seen
+products are then the same thing. A k-means tree is fitted on one half of a bounded sample. Every vector
+is filed under one leaf; a query walks the tree best-bin-first: a priority queue holds the nodes seen
 so far by the distance of their centres, and leaves come out of it in order of promise. How many
-leaves a query visits is widened, on sample queries against brute force, until the recall wished
-for is reached.
+leaves a query visits is widened, on the other half of the sample against brute force, until the recall
+wished for is reached there; a query goes on until its leaves hold k + 1 vectors.
 
 Equal vectors are filed once with their smallest ids, as no more of them can be in an answer, so
-any number of copies is no burden. Neighbouring leaves share a block of bounded size, a larger leaf
-is split into chunks; a query is sent once to each block with the leaves that it visits there, so
-what moves does not grow with the number of leaves visited. Queries of a block are split into chunks
-as well. Scores are inner products of the original vectors in double precision.
+any number of copies is no burden; equal queries are asked once. Queries that begin in neighbouring leaves
+form groups of bounded size. A vector is sent to the groups that visit its leaf, each group's vectors are
+dealt into a few slices of bounded size, and a cell, one group and one slice, keeps the k + 1 best of each
+of its queries: what comes out is in proportion to the queries. Scores are inner products of the original
+vectors in double precision.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, neither do those
 whose length is not the most frequent one. Equal scores go to the smaller vec_id. Rows that repeat
@@ -35,8 +36,8 @@ from tidemark.llm.common import cut
 SAMPLE, PROBES = 32_768, 256
 #: Children of a node, and sample vectors in a leaf at most.
 BRANCH, LEAF = 16, 48
-#: Most vectors and queries that meet in one task.
-CHUNK_VECTORS, CHUNK_QUERIES = 2048, 1024
+#: Queries in a group at most; slices of a group's vectors at least; vectors in a slice, about; vectors scored at once.
+GROUP, SLICES, SLICE, CHUNK = 4096, 8, 65_536, 8192
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -98,19 +99,20 @@ class Tree:
                 open_nodes.extend(kids.tolist())
         return at
 
-    def visits(self, q: np.ndarray, many: int) -> list[list[int]]:
-        """The first `many` leaves of each query, best bin first."""
+    def visits(self, q: np.ndarray, many: int, held: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The first leaves of each query, best bin first: `many`, and on until they hold `least` vectors (held[node] each)."""
         unit = q * (math.sqrt(self.longest) / np.linalg.norm(q, axis=1))[:, None]
         c = self.centers
         far = (c**2).sum(1)[None, :] - 2 * unit @ c[:, :-1].T
         out = []
         for d in far:
-            heap, leaves = [(d[0], 0)], []
-            while heap and len(leaves) < many:
+            heap, leaves, seen = [(d[0], 0)], [], 0
+            while heap and (len(leaves) < many or seen < least):
                 _, node = heapq.heappop(heap)
                 kids = self.children[node]
                 if not len(kids):
                     leaves.append(node)
+                    seen += int(held[node]) if held is not None else 0
                 for k in kids.tolist():
                     heapq.heappush(heap, (d[k], k))
             out.append(leaves)
@@ -120,32 +122,32 @@ class Tree:
         return sum(1 for k in self.children if not len(k))
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float) -> int:
-    """Leaves to visit so that sample queries find `recall` of their true k nearest in the sample."""
+def calibrate(tree: Tree, held_out: np.ndarray, k: int, recall: float) -> int:
+    """Leaves to visit so that probes find `recall` of their true k nearest, both among vectors that the tree was not fitted on."""
+    if len(held_out) <= k:
+        return tree.leaves()
     rng = np.random.default_rng(11)
-    probes = rng.choice(len(sample), size=min(PROBES, len(sample)), replace=False)
-    leaf = tree.file(sample)
-    scores = sample[probes] @ sample.T
+    probes = rng.choice(len(held_out), size=min(PROBES, len(held_out)), replace=False)
+    leaf = tree.file(held_out)
+    scores = held_out[probes] @ held_out.T
     scores[np.arange(len(probes)), probes] = -np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return 1
     kth = np.sort(scores, axis=1)[:, -k]
-    order = tree.visits(sample[probes], tree.leaves())
     place = np.zeros((len(probes), len(tree.children)), dtype=np.int64)
-    for i, ls in enumerate(order):
+    for i, ls in enumerate(tree.visits(held_out[probes], tree.leaves())):
         place[i, ls] = np.arange(1, len(ls) + 1)
     needed = np.sort(np.concatenate([place[i][leaf[np.nonzero(scores[i] >= kth[i])[0]]] for i in range(len(probes))]))
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of double) of the vectors that take part."""
+def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
+    """vec_id and embedding (array of double) of the vectors that take part; dims: their length, the most frequent one if None."""
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0.0))
-    dims = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("embedding") == F.lit(dims["d"] if dims else 0))
+    if dims is None:
+        most = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dims = most["d"] if most else 0
+    return v.where(F.size("embedding") == F.lit(dims))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -154,8 +156,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query row, id, score) of each query's k best of the seen vectors, ties to smaller ids, scores summed in one fixed order."""
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of each query's k best of the seen vectors, ties to smaller ids, scores summed in one fixed order."""
     rough = np.where(seen, q @ x.T, -np.inf)
     out = []
     for i, row in enumerate(rough):
@@ -164,21 +166,56 @@ def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: in
             kth = np.partition(row, len(row) - k)[len(row) - k]
             rows = np.nonzero(row >= kth - 1e-9 * (1 + abs(kth)))[0]
         exact = (x[rows] * q[i]).sum(axis=1)
-        for j in np.lexsort((ids[rows], -exact))[:k].tolist():
-            out.append((i, int(ids[rows[j]]), float(exact[j])))
+        best = np.lexsort((ids[rows], -exact))[:k]
+        out.append((ids[rows][best], exact[best]))
     return out
 
 
-def _blocks(count: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
-    """leaf -> block and block -> chunks: neighbouring leaves together up to CHUNK_VECTORS; a larger leaf alone, in chunks."""
-    block, chunks, open_size, b = {}, {}, 0, 0
-    for leaf in sorted(count):
-        if open_size and open_size + count[leaf] > CHUNK_VECTORS:
-            b, open_size = b + 1, 0
-        block[leaf] = b
-        open_size += count[leaf]
-        chunks[b] = max(1, math.ceil(open_size / CHUNK_VECTORS))
-    return block, chunks
+def _groups(asks: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(leaf, first group, groups): queries that begin in neighbouring leaves together up to GROUP; a larger leaf in parts."""
+    out, group, room = [], -1, 0
+    for leaf in sorted(asks):
+        if asks[leaf] > room:
+            group, room = group + 1, GROUP
+        parts = max(1, math.ceil(asks[leaf] / GROUP))
+        out.append((leaf, group, parts))
+        group, room = group + parts - 1, room - asks[leaf] if parts == 1 else 0
+    return out
+
+
+_FOUND = pa.schema([("twin", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _meet(k: int):
+    """A cell's vectors and queries -> the k best of each query, kept while chunks of vectors pass."""
+
+    def run(vs: pa.Table, qs: pa.Table) -> pa.Table:
+        if not vs.num_rows or not qs.num_rows:
+            return _FOUND.empty_table()
+        x, ids, leaf = _matrix(vs.column("embedding")), vs.column("vec_id").to_numpy(), vs.column("leaf").to_numpy()
+        twins, visited = qs.column("twin").to_numpy(), qs.column("leaves").to_pylist()
+        q = _matrix(qs.column("embedding"))
+        here, code = np.unique(leaf, return_inverse=True)
+        out_t, out_i, out_s = [], [], []
+        for a in range(0, len(q), 256):
+            part = q[a : a + 256]
+            hit = np.zeros((len(part), len(here)), dtype=bool)
+            for i, ls in enumerate(visited[a : a + 256]):
+                hit[i] = np.isin(here, ls)
+            kept = [(np.empty(0, np.int64), np.empty(0))] * len(part)
+            for b in range(0, len(x), CHUNK):
+                new = _best(part, x[b : b + CHUNK], ids[b : b + CHUNK], hit[:, code[b : b + CHUNK]], k)
+                for i, ((i0, s0), (i1, s1)) in enumerate(zip(kept, new)):
+                    i1, s1 = np.concatenate([i0, i1]), np.concatenate([s0, s1])
+                    best = np.lexsort((i1, -s1))[:k]
+                    kept[i] = i1[best], s1[best]
+            for t, (i1, s1) in zip(twins[a : a + 256], kept):
+                out_t.append(np.full(len(i1), t))
+                out_i.append(i1)
+                out_s.append(s1)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip((out_t, out_i, out_s), _FOUND)], schema=_FOUND)
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97) -> DataFrame:
@@ -188,14 +225,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     """
     spark = vectors.sparkSession
     v = cut(usable(vectors), "ann-vectors")
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).first()
-    shape = "query_id bigint, rank int, vec_id bigint, score double"
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    stats = v.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest"), F.max(F.size("embedding")).alias("dims")).first()
     if not stats["n"]:
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    sample = _matrix(rows.column("embedding"))
-    tree = Tree.fit(sample, float(stats["longest"]))
-    many = calibrate(tree, np.unique(sample, axis=0), k, recall)
+    sample = np.unique(_matrix(rows.column("embedding")), axis=0)
+    sample = sample[np.random.default_rng(5).permutation(len(sample))]
+    half = (len(sample) + 1) // 2
+    tree = Tree.fit(sample[:half], float(stats["longest"]))
+    many = calibrate(tree, sample[half:], k, recall)
 
     # the k + 1 smallest ids of each different vector: one of them may be the query itself
     first = Window.partitionBy("embedding").orderBy("vec_id")
@@ -208,91 +247,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
 
     index = cut(distinct.mapInArrow(filed, "vec_id bigint, embedding array<double>, leaf bigint"), "ann-index")
-    # one count for each leaf of the tree: bounded by the sample
-    size = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    block_of, chunks = _blocks(size)
+    held = np.zeros(len(tree.children), dtype=np.int64)
+    for r in index.groupBy("leaf").count().collect():  # no more than leaves, which the sample bounds
+        held[r["leaf"]] = r["count"]
 
-    asked = usable(queries).distinct()
-    asked = cut(asked.withColumn("twin", F.min("vec_id").over(Window.partitionBy("embedding"))), "ann-queries")
+    asked = usable(queries, stats["dims"]).distinct()
+    twins = asked.groupBy("embedding").agg(F.min("vec_id").alias("twin"))
+    asked = cut(asked.join(twins, "embedding").select("vec_id", "twin", "embedding"), "ann-queries")
 
     def walks(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
-                at, blocks, leaves = [], [], []
-                for i, ls in enumerate(tree.visits(_matrix(b.column("embedding")), many)):
-                    by: dict[int, list[int]] = {}
-                    for leaf in ls:
-                        if leaf in block_of:
-                            by.setdefault(block_of[leaf], []).append(leaf)
-                    at += [i] * len(by)
-                    blocks += by.keys()
-                    leaves += by.values()
-                take = pa.array(at, pa.int64())
+                leaves = tree.visits(_matrix(b.column("embedding")), many, held, k + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("twin").take(take), b.column("embedding").take(take), pa.array(blocks, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))],
-                    names=["twin", "embedding", "block", "leaves"],
+                    [b.column("twin"), b.column("embedding"), pa.array([x[0] for x in leaves], pa.int64()), pa.array([[y for y in x if held[y]] for x in leaves], pa.list_(pa.int32()))],
+                    names=["twin", "embedding", "leaf", "leaves"],
                 )
 
-    paths = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, block bigint, leaves array<bigint>")
-    paths = cut(paths, "ann-paths")
-    asks = {r["block"]: r["count"] for r in paths.groupBy("block").count().collect()}  # no more than leaves
-
-    def hashed(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-
-    def deal_vectors(batches):
-        """Each vector into its chunk, once for each chunk of queries."""
-        for b in batches:
-            if b.num_rows:
-                block = np.array([block_of[x] for x in b.column("leaf").to_pylist()])
-                cv = hashed(b.column("vec_id").to_numpy()) % np.array([chunks[x] for x in block.tolist()])
-                times = np.array([math.ceil(asks.get(x, 0) / CHUNK_QUERIES) for x in block.tolist()])  # 0: nobody comes here
-                at = np.repeat(np.arange(b.num_rows), times)
-                cq = np.concatenate([np.arange(t) for t in times]).astype(np.int64)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[at]), pa.array(cv[at]), pa.array(cq), b.column("vec_id").take(take), b.column("embedding").take(take), b.column("leaf").take(take)],
-                    names=["block", "cv", "cq", "vec_id", "embedding", "leaf"],
-                )
+    walked = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, leaf bigint, leaves array<int>")
+    walked = cut(walked, "ann-walks")
+    asks = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}  # no more than leaves
+    groups = spark.createDataFrame(_groups(asks), "leaf bigint, first bigint, parts bigint")
+    walked = walked.join(F.broadcast(groups), "leaf").withColumn("grp", F.col("first") + F.pmod(F.xxhash64("twin"), F.col("parts")))
 
-    def deal_queries(batches):
-        """Each query into its chunk, once for each chunk of vectors."""
+    def visited(batches):
         for b in batches:
-            if b.num_rows:
-                block = b.column("block").to_numpy()
-                cq = hashed(b.column("twin").to_numpy()) % np.array([math.ceil(asks[x] / CHUNK_QUERIES) for x in block.tolist()])
-                times = np.array([chunks[x] for x in block.tolist()])
-                at = np.repeat(np.arange(b.num_rows), times)
-                cv = np.concatenate([np.arange(t) for t in times]).astype(np.int64)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[at]), pa.array(cv), pa.array(cq[at]), b.column("twin").take(take), b.column("embedding").take(take), b.column("leaves").take(take)],
-                    names=["block", "cv", "cq", "twin", "embedding", "leaves"],
-                )
-
-    cell = "block bigint, cv bigint, cq bigint, "
-    left = index.mapInArrow(deal_vectors, cell + "vec_id bigint, embedding array<double>, leaf bigint")
-    right = paths.mapInArrow(deal_queries, cell + "twin bigint, embedding array<double>, leaves array<bigint>")
-    out_schema = pa.schema([("twin", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def meet(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        if not vs.num_rows or not qs.num_rows:
-            return out_schema.empty_table()
-        x, ids, leaf = _matrix(vs.column("embedding")), vs.column("vec_id").to_numpy(), vs.column("leaf").to_numpy()
-        q, twins, visited = _matrix(qs.column("embedding")), qs.column("twin").to_numpy(), qs.column("leaves").to_pylist()
-        here, code = np.unique(leaf, return_inverse=True)
-        place = {v: i for i, v in enumerate(here.tolist())}
-        got = []
-        for a in range(0, len(q), 256):
-            hit = np.zeros((len(q[a : a + 256]), len(here)), dtype=bool)
-            for i, ls in enumerate(visited[a : a + 256]):
-                hit[i, [place[v] for v in ls if v in place]] = True
-            got += [(int(twins[a + i]), j, s) for i, j, s in _best(q[a : a + 256], x, ids, hit[:, code], k + 1)]
-        cols = list(zip(*got)) if got else [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
-
-    met = left.groupBy("block", "cv", "cq").cogroup(right.groupBy("block", "cv", "cq")).applyInArrow(meet, "twin bigint, vec_id bigint, score double")
+            pairs = {(g, x) for g, ls in zip(b.column("grp").to_pylist(), b.column("leaves").to_pylist()) for x in ls}
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(pairs))], names=["grp", "leaf"])
+
+    needs = cut(walked.select("grp", "leaves").mapInArrow(visited, "grp bigint, leaf bigint").distinct(), "ann-needs")
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate(held.tolist()) if n], "leaf bigint, n bigint")
+    slices = needs.join(F.broadcast(sizes), "leaf").groupBy("grp").agg(F.greatest(F.lit(SLICES), F.ceil(F.sum("n") / SLICE)).cast("bigint").alias("slices"))
+    slices = cut(slices, "ann-slices")
+
+    zero = F.lit(0).cast("bigint")
+    left = index.join(needs.join(slices, "grp"), "leaf").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices"))).select("grp", "slice", "vec_id", "embedding", "leaf")
+    right = walked.join(slices, "grp").withColumn("slice", F.explode(F.sequence(zero, F.col("slices") - 1))).select("grp", "slice", "twin", "embedding", "leaves")
+    met = left.groupBy("grp", "slice").cogroup(right.groupBy("grp", "slice")).applyInArrow(_meet(k + 1), "twin bigint, vec_id bigint, score double")
     best = Window.partitionBy("twin").orderBy(F.desc("score"), "vec_id")
     met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
     each = asked.select(F.col("vec_id").alias("query_id"), "twin").join(met, "twin").where("query_id <> vec_id")
