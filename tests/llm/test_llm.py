@@ -585,18 +585,21 @@ def test_prefix_counts(model):
 
 
 def test_long_space_runs(model, monkeypatch):
-    c = tokencount.PrefixCounter(model)
-    plain = c.merge
-
-    def short_only(text):
-        assert len(text) <= 200, "a long run is merged pair by pair"
-        return plain(text)
+    import time
 
-    monkeypatch.setattr(c, "merge", short_only)
-    for t in ("a" + " " * 10_000 + "b c", " " * 5_001, "x\n" + " " * 777 + "\n" + " " * 300 + "12"):
-        assert c.count(t) == len(c.sp.encode(t))
-    t = "a" + " " * 250 + "bc"
-    assert c.prefix_counts(t).tolist() == [len(c.sp.encode(t[:i])) for i in range(len(t) + 1)]
+    c = tokencount.PrefixCounter(model)
+    assert c.runs_last
+    monkeypatch.setattr(c, "whole", None)  # nothing is left to the library
+    for w in ("", "the", "b", "x1", "ß", "日", "é", "\n", "\U0001f600x", "▁a"):
+        for r in [*range(40), 63, 64, 200]:
+            for t in (" " * r + w, "a" + " " * r + w, w + " " * r):
+                assert c.count(t) == len(c.sp.encode(t)), (w, r)
+    for t in ("a" + " " * 50 + "bc", " " * 37 + "ßx", "x\n" + " " * 33 + "\n" + " " * 20 + "12"):
+        assert c.prefix_counts(t).tolist() == [len(c.sp.encode(t[:i])) for i in range(len(t) + 1)]
+    t = "a" + " " * 100_000 + "b c" + " " * 5001 + "\n"
+    start = time.perf_counter()
+    assert c.count(t) == len(c.sp.encode(t)) and c.prefix_counts(t)[-1] == c.count(t)
+    assert time.perf_counter() - start < 2
 
 
 def test_count_tokens(spark, odd, model):

@@ -7,12 +7,17 @@ count of *every* prefix. Texts are cut where no piece of the vocabulary can cros
 of spaces and around characters that no longer piece contains), so tables are kept per segment and
 joined by running sums; budget and truncation questions are then lookups.
 
+Runs of spaces are the exception to the pair rule, as the pieces of such runs tie in score. They are also the
+last pieces to be merged, so a run of any length has a count of its own, from one table by run length, and the
+word behind it takes the last space or not, as it does when it stands alone.
+
 Null and empty texts have no tokens. Repeated rows give repeated rows. Length is not limited.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,8 @@ from tidemark.llm.common import columns, map_batches, only
 
 #: Segments kept per Python worker; the table is emptied when full, which costs time only.
 CACHE = 200_000
+#: Segments longer than this are not kept.
+LONG = 256
 SPACE = "▁"
 LATIN = "A-Za-z\\u00c0-\\u024f"
 
@@ -52,7 +59,14 @@ class PrefixCounter:
                 for c in reversed(piece):
                     node = node.setdefault(c, {})
                 node[None] = piece
-        self.tables: dict[str, tuple[int, ...]] = {}
+        runs = [p for p in self.score if set(p) == {SPACE} and len(p) > 1]
+        others = [v for p, v in self.score.items() if set(p) != {SPACE}]
+        #: Whether runs of spaces are merged after all else, leftmost first.
+        self.runs_last = self.can_cut and len({self.score[p] for p in runs}) <= 1 and all(self.score[p] < min(others) for p in runs)
+        self.run_lengths = {len(p) for p in runs}
+        #: Tokens of a run by its length, and the pieces of the longest run so far.
+        self.run_counts, self.run_pieces = array("q", [0]), []
+        self.tables: dict[str, tuple[tuple[int, ...], tuple[bool, ...]]] = {}
         self.totals: dict[str, int] = {}
         self.apart: dict[str, dict[str, bool]] = {}
 
@@ -78,40 +92,75 @@ class PrefixCounter:
             known[right] = self.merge(left + right) == [left, right]
         return known[right]
 
+    def run(self, n: int) -> int:
+        """Tokens of n spaces: each further space joins the pieces at the end, as merges are made from the left."""
+        pieces = self.run_pieces
+        while len(self.run_counts) <= n:
+            pieces.append(1)
+            while len(pieces) > 1 and pieces[-2] + pieces[-1] in self.run_lengths:
+                pieces[-2:] = [pieces[-2] + pieces[-1]]
+            self.run_counts.append(len(pieces))
+        return self.run_counts[n]
+
     def table(self, surface: str) -> tuple[int, ...]:
         """Token counts after 0, 1, 2, ... characters of a segment (spaces already written as U+2581)."""
+        word = surface.lstrip(SPACE)
+        lead = len(surface) - len(word)
+        if lead < 2:
+            return self.prefixes(surface)[0]
+        if not self.runs_last:
+            return tuple([0] + [self.whole(surface[:i]) for i in range(1, len(surface) + 1)])
+        return tuple([self.run(i) for i in range(lead + 1)] + [self.behind_run(lead, n, alone) for n, alone in zip(*(x[2:] for x in self.prefixes(SPACE + word)))])
+
+    def total(self, surface: str) -> int:
+        """The last entry of the table, without the table of a run of spaces."""
+        word = surface.lstrip(SPACE)
+        lead = len(surface) - len(word)
+        if lead < 2:
+            return self.prefixes(surface)[0][-1]
+        if not self.runs_last:
+            return self.whole(surface)
+        return self.behind_run(lead, *(x[-1] for x in self.prefixes(SPACE + word))) if word else self.run(lead)
+
+    def behind_run(self, lead: int, n: int, alone: bool) -> int:
+        """Tokens of lead spaces and a word that has n tokens with one space, alone if that space is a token."""
+        return self.run(lead) + n - 1 if alone else self.run(lead - 1) + n
+
+    def prefixes(self, surface: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
+        """For every prefix of a segment with at most one space in front: its tokens, and whether the first one is that space."""
         got = self.tables.get(surface)
         if got is not None:
             return got
-        if surface.startswith(SPACE * 2):  # the pieces of space runs tie in score: the pair rule need not hold
-            counts = [0] + [self.whole(surface[:i]) for i in range(1, len(surface) + 1)]
-        else:
-            apart, endings = self.apart, self.endings
-            last, counts = [""], [0]
-            for i in range(len(surface)):
-                node, j, found = endings, i, ""
-                while j >= 0 and (node := node.get(surface[j])) is not None:
-                    piece = node.get(None)
-                    if piece is not None:
-                        if not j:
-                            found = piece
-                            break
-                        before = last[j]
-                        known = apart.get(before)
-                        ok = known.get(piece) if known is not None else None
-                        if ok if ok is not None else self.stay_apart(before, piece):
-                            found = piece
-                            break
-                    j -= 1
-                if found:
-                    counts.append(counts[j] + 1)
-                else:  # a character outside the vocabulary: one token for each of its bytes
-                    found = surface[i]
-                    counts.append(counts[i] + len(found.encode()))
-                last.append(found)
+        apart, endings = self.apart, self.endings
+        last, counts, alone = [""], [0], [False]
+        for i in range(len(surface)):
+            node, j, found = endings, i, ""
+            while j >= 0 and (node := node.get(surface[j])) is not None:
+                piece = node.get(None)
+                if piece is not None:
+                    if not j:
+                        found = piece
+                        break
+                    before = last[j]
+                    known = apart.get(before)
+                    ok = known.get(piece) if known is not None else None
+                    if ok if ok is not None else self.stay_apart(before, piece):
+                        found = piece
+                        break
+                j -= 1
+            if found:
+                counts.append(counts[j] + 1)
+                alone.append(alone[j] if j else found == SPACE)
+            else:  # a character outside the vocabulary: one token for each of its bytes
+                found = surface[i]
+                counts.append(counts[i] + len(found.encode()))
+                alone.append(alone[i])
+            last.append(found)
         if len(self.tables) >= CACHE:
             self.tables.clear()
-        self.tables[surface] = out = tuple(counts)
+        out = (tuple(counts), tuple(alone))
+        if len(surface) <= LONG:
+            self.tables[surface] = out
         return out
 
     def whole(self, surface: str) -> int:
@@ -136,11 +185,11 @@ class PrefixCounter:
         for raw in self.segment.findall(" " + text.replace(SPACE, " ")):
             got = totals.get(raw)
             if got is None:
-                surface = raw.replace(" ", SPACE)
-                got = self.whole(surface) if surface.startswith(SPACE * 2) else self.table(surface)[-1]
+                got = self.total(raw.replace(" ", SPACE))
                 if len(totals) >= CACHE:
                     totals.clear()
-                totals[raw] = got
+                if len(raw) <= LONG:
+                    totals[raw] = got
             n += got
         return n
 
