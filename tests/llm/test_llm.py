@@ -631,6 +631,7 @@ def brute_repeats(docs, n):
 def test_repeats(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(substring, "BLOCK", 7)
+    monkeypatch.setattr(substring, "NEAR", 2)
     passage = [prose(rng, n) for n in (19, 20, 25, 60)]
     texts = odd_texts()
     for _ in range(60):
@@ -648,6 +649,35 @@ def test_repeats(spark, monkeypatch):
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_words_decide(spark, monkeypatch):
+    """Hashes that are all equal: anchors and windows meet, and their words tell them apart."""
+    rng = random.Random(14)
+    passage = prose(rng, 22)
+    texts = [prose(rng, 25), passage, prose(rng, 4) + " " + passage, passage + " " + prose(rng, 3), prose(rng, 23)]
+    codes, starts = np.array([1, 2, 1, 2, 1, 3, 1, 2]), np.arange(7)
+    assert substring.first_equal(codes, starts, 2).tolist() == [0, 1, 0, 1, 4, 5, 0]
+    first_equal = substring.first_equal
+    monkeypatch.setattr(substring, "first_equal", lambda c, s, n: first_equal(c, s, n, lambda c, s, n: np.zeros(len(s), dtype=np.uint64)))
+    assert substring.first_equal(codes, starts, 2).tolist() == [0, 1, 0, 1, 4, 5, 0]
+    real = substring.repeats(docs_of(spark, texts)).collect()
+    want = brute_repeats(list(enumerate(texts)), 20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in real} == want
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    rng = random.Random(15)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(substring, "RANGE_BYTES", 20_000)
+    long = prose(rng, 9000)  # a document larger than a block, with repeats inside and elsewhere
+    w = long.split()
+    texts = [long + " " + " ".join(w[4000:4100]), " ".join(w[100:160]) + " " + prose(rng, 50)] + [prose(rng, rng.randrange(5, 90)) for _ in range(60)] + [" ".join(w[8000:8500])]
+    d = docs_of(spark, texts)
+    blocks = substring._blocked(d.coalesce(1)).groupBy("block").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert len(blocks) > 4 and all(b["n"] <= 3000 or b["rows"] == 1 for b in blocks)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.repeats(d).collect()}
+    assert got == brute_repeats(list(enumerate(texts)), 20)
+
+
 def test_repeats_odd_rows(spark, odd):
     got = substring.repeats(odd)
     assert got.count() == odd.count()

@@ -6,16 +6,17 @@ grams, so equal windows have the same anchor at the same place, wherever they st
 1. Seed: blocks of documents send the distinct anchors they hold, packed into one row per block
    and hash range; ranges answer which anchors also occur in another block. Anchors that occur
    once end here, with all windows around them.
-2. Extend: around every anchor that occurs twice, both ways as far as windows keep it as their
-   anchor, the windows are hashed and each block sends its earliest occurrence of each to the
-   ranges, which answer which have an earlier one elsewhere. Comparing each window with the
-   earliest only needs one row per block and window, so a passage in a third of all documents is
-   neither gathered nor paired.
+2. Extend: an anchor that occurs twice is extended both ways, as far as windows keep it as their
+   anchor, and each window around it is compared, word by word, with the earliest one that begins like
+   it. This is done within a block first; what is the earliest there goes on, as the words themselves, to
+   the anchor's range: first among neighbouring blocks, then among all. A passage in a third of all documents
+   is so neither gathered nor paired: each step sends on one copy of it.
 3. Repeats: windows with an earlier occurrence are joined to maximal runs of words, which go.
 
 "Earlier" is a smaller doc_id, or an earlier start in the same document. Rows that repeat a doc_id
 count as different documents in a fixed order; a null doc_id comes after all others. Null, empty
-and short texts lose nothing. All hashes are 64 bits of the words' bytes.
+and short texts lose nothing. Hashes only bring windows together: words decide. Blocks and ranges are cut by
+bytes of text; a document is never torn.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in a block; documents for each hash range; bytes of text hashed at once.
-BLOCK, PER_RANGE, CHUNK = 1024, 4096, 1 << 20
+#: Documents and bytes of text in a block, about; bytes for each hash range; partitions whose blocks are compared first;
+#: bytes of text hashed at once.
+BLOCK, BLOCK_BYTES, RANGE_BYTES, NEAR, CHUNK = 4096, 4 << 20, 8 << 20, 64, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST = np.iinfo(np.int64).max
 _POWERS: dict[str, np.ndarray] = {}
@@ -113,10 +117,46 @@ def _ranges(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(r[order], np.arange(ranges + 1))
 
 
-_PACKET = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_PACKET_SQL = "range int, block bigint, kind tinyint, a binary, b binary, c binary"
+def window_hashes(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` codes from each start: equal sequences have equal ones."""
+    up, _ = _powers(length)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(length):
+        out += _mix(codes[starts + k].astype(np.uint64) + np.uint64(1)) * up[k]
+    return _mix(out)
+
+
+def first_equal(codes: np.ndarray, starts: np.ndarray, length: int, hashing=window_hashes) -> np.ndarray:
+    """For each window, in order, the index of the first window with the same words (codes of words)."""
+    hashes = hashing(codes, starts, length)
+    first, todo = np.arange(len(starts)), np.arange(len(starts))
+    while len(todo):
+        _, index, inverse = np.unique(hashes[todo], return_index=True, return_inverse=True)
+        lead = todo[index][inverse]
+        same = np.ones(len(todo), dtype=bool)
+        for k in range(length):
+            same &= codes[starts[todo] + k] == codes[starts[lead] + k]
+        first[todo[same]] = lead[same]
+        todo = todo[~same]  # equal hash, other words
+    return first
+
+
+def _runs(at: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of windows that start one word after the other and share the keys."""
+    if not len(at):
+        return np.zeros(1, dtype=np.int64)
+    new = at[1:] != at[:-1] + 1
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.nonzero(new)[0] + 1, [len(at)]])
+
+
+_PACKET = pa.schema([("range", pa.int32()), ("near", pa.int64()), ("block", pa.int64()), ("kind", pa.int8()), ("words", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
+_PACKET_SQL = "range int, near bigint, block bigint, kind tinyint, words binary, ids binary, starts binary, counts binary"
 _REPLY = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("bits", pa.binary())])
 _REPLY_SQL = "block bigint, range int, bits binary"
+#: Kinds of packets: anchors or windows to compare, and windows that are known to have an earlier occurrence.
+_ASK, _LATER = 0, 1
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -124,6 +164,10 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def _steps(a: np.ndarray) -> bytes:
+    return np.diff(a, prepend=0).astype(np.int32).tobytes()
+
+
 def _seeds(blk: Block, length: int, k: int):
     at, anchor = blk.windows(length, k)
     places = np.unique(anchor)
@@ -131,23 +175,45 @@ def _seeds(blk: Block, length: int, k: int):
     return at, anchor, places, hashes, inverse, times
 
 
+def _blocked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row, near (a few neighbouring partitions) and block (some neighbouring rows) of every row."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        block, rows, size = part << 32, 0, 0
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(pc.cast(b.column("text"), pa.binary())), 0).to_pylist()
+            blocks = []
+            for n in sizes:
+                if rows and (rows >= BLOCK or size + n > BLOCK_BYTES):
+                    block, rows, size = block + 1, 0, 0
+                rows, size = rows + 1, size + n
+                blocks.append(block)
+            near = pa.array([part // NEAR] * b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, near, pa.array(blocks, pa.int64())], names=["doc_id", "text", "row", "near", "block"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id bigint, text string, row bigint, near bigint, block bigint")
+
+
 def repeats(docs: DataFrame, length: int = 20, k: int = 8, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text, and removed [start, end) word runs)."""
-    n = docs.count()
-    ranges = max(8, math.ceil(n / PER_RANGE))
-    base = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    base = base.withColumn("block", F.floor(F.col("row") / BLOCK).cast("bigint"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(8, math.ceil(size / RANGE_BYTES))
+    base = _blocked(docs)
+
+    def place(table: pa.Table) -> tuple[int, int]:
+        return table.column("near")[0].as_py(), table.column("block")[0].as_py()
 
     def send_seeds(table: pa.Table) -> pa.Table:
-        blk, block = Block(table), table.column("block")[0].as_py()
+        blk, (near, block) = Block(table), place(table)
         *_, hashes, _, _ = _seeds(blk, length, k)
         order, cuts = _ranges(hashes, ranges)
         h = hashes[order]
-        rows = [(r, block, 0, h[a:b].tobytes(), b"", b"") for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return _rows(_PACKET, rows)
+        return _rows(_PACKET, [(r, near, block, _ASK, h[a:b].tobytes(), b"", b"", b"") for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
 
     def shared_seeds(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, dtype=np.uint64) for x in table.column("a").to_pylist()]
+        blobs = [np.frombuffer(x, dtype=np.uint64) for x in table.column("words").to_pylist()]
         _, inverse, times = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
         flag, rows, at = times[inverse] > 1, [], 0
         for r, block, x in zip(table.column("range").to_pylist(), table.column("block").to_pylist(), blobs):
@@ -158,7 +224,7 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 8, text_out: bool = Fals
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows(_PACKET, [])
-        blk, block = Block(table), table.column("block")[0].as_py()
+        blk, (near, block) = Block(table), place(table)
         at, anchor, places, hashes, inverse, times = _seeds(blk, length, k)
         shared = times > 1
         order, cuts = _ranges(hashes, ranges)
@@ -167,48 +233,75 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 8, text_out: bool = Fals
             shared[order[a:b]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         alive = np.zeros(int(blk.first[-1]) + 1, dtype=bool)
         alive[places[shared[inverse]]] = True
-        at = at[alive[anchor]]
-        full, _ = blk.grams(length)
-        h, index = np.unique(full[at], return_index=True)
-        earliest = np.zeros(len(at), dtype=bool)
-        earliest[index] = True
-        again = at[~earliest].astype(np.int32)  # known here: an earlier one is in this block
-        mine = at[earliest]
-        h = full[mine]
-        doc = np.searchsorted(blk.first, mine, side="right") - 1
-        ids = np.array([_LAST if i is None else i for i in blk.ids], dtype=np.int64)[doc]
-        order, cuts = _ranges(h, ranges)
-        h, ids, mine = h[order], ids[order], mine[order].astype(np.int32)
-        rows = [
-            (r, block, 0, h[a:b].tobytes(), ids[a:b].tobytes(), np.diff(mine[a:b], prepend=np.int32(0)).tobytes())
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:]))
-            if b > a
-        ]
+        some = alive[anchor]
+        at, anchor = at[some], anchor[some]
+        known: dict[bytes, int] = {}
+        codes = np.fromiter((known.setdefault(w, len(known)) for words in blk.words for w in words), dtype=np.int64, count=int(blk.first[-1]))
+        earliest = first_equal(codes, at, length) == np.arange(len(at))
+        again, at, anchor = at[~earliest], at[earliest], anchor[earliest]  # an earlier one is in this block
+        flat = [w for words in blk.words for w in words]
+        ids = np.array([_LAST if i is None else i for i in blk.ids], dtype=np.int64)
+        bounds = _runs(at, anchor)
+        starts, counts = at[bounds[:-1]], np.diff(bounds)
+        owner = ids[np.searchsorted(blk.first, starts, side="right") - 1]
+        order, cuts = _ranges(blk.gram[anchor[bounds[:-1]]], ranges)
+        rows = []
+        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                mine = order[a:b]
+                text = b"\n".join(b" ".join(flat[x : x + n + length - 1]) for x, n in zip(starts[mine].tolist(), counts[mine].tolist()))
+                rows.append((r, near, block, _ASK, text, owner[mine].tobytes(), starts[mine].astype(np.int32).tobytes(), counts[mine].astype(np.int32).tobytes()))
         if len(again):
-            rows.append((block % ranges, block, 1, b"", b"", np.diff(again, prepend=np.int32(0)).tobytes()))
+            rows.append((block % ranges, near, block, _LATER, b"", b"", _steps(again), b""))
         return _rows(_PACKET, rows)
 
-    def later_windows(table: pa.Table) -> pa.Table:
-        rows, sent = [], []
-        cols = [table.column(c).to_pylist() for c in ("range", "block", "kind", "a", "b", "c")]
-        for r, block, kind, a, b, c in zip(*cols):
-            if kind:
-                rows.append((block, r, c))
+    def compare(table: pa.Table) -> tuple[list, list]:
+        """Rows on windows that have an earlier occurrence here, and rows that hold the others."""
+        later_rows, sent = [], []
+        for r, near, block, kind, *rest in zip(*(table.column(c).to_pylist() for c in _PACKET.names)):
+            if kind == _LATER:
+                later_rows.append((r, near, block, _LATER, b"", b"", rest[2], b""))
             else:
-                sent.append((r, block, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)))
-        if sent:
-            h, ids = np.concatenate([x[2] for x in sent]), np.concatenate([x[3] for x in sent])
-            blocks = np.repeat(np.array([x[1] for x in sent]), [len(x[2]) for x in sent])
-            order = np.lexsort((blocks, ids, h))
-            later = np.zeros(len(h), dtype=bool)
-            later[order[1:]] = h[order[1:]] == h[order[:-1]]
-            at = 0
-            for r, block, x, _, c in sent:
-                flag = later[at : at + len(x)]
-                at += len(x)
-                if flag.any():
-                    rows.append((block, r, np.diff(np.cumsum(c)[flag], prepend=0).astype(np.int32).tobytes()))
-        return _rows(_REPLY, rows)
+                sent.append((r, near, block, rest[0].split(b"\n"), np.frombuffer(rest[1], np.int64), np.frombuffer(rest[2], np.int32), np.frombuffer(rest[3], np.int32)))
+        if not sent:
+            return later_rows, []
+        known: dict[bytes, int] = {}
+        codes = np.fromiter((known.setdefault(w, len(known)) for x in sent for run in x[3] for w in run.split(b" ")), dtype=np.int64)
+        counts = np.concatenate([x[6] for x in sent]).astype(np.int64)
+        sizes = counts + length - 1
+        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        spread = lambda x: np.repeat(x, counts)  # noqa: E731  from runs to windows
+        at = spread(np.cumsum(sizes) - sizes) + inner
+        start = spread(np.concatenate([x[5] for x in sent]).astype(np.int64)) + inner
+        ids = spread(np.concatenate([x[4] for x in sent]))
+        block = spread(np.repeat(np.array([x[2] for x in sent]), [len(x[5]) for x in sent]))
+        order = np.lexsort((start, block, ids))
+        later = np.zeros(len(at), dtype=bool)
+        later[order] = first_equal(codes, at[order], length) != np.arange(len(at))
+        rest, end, run = [], 0, 0
+        for r, near, blk, runs, owner, first, n in sent:
+            mine = slice(end, end + int(n.sum()))
+            end = mine.stop
+            flag, s = later[mine], start[mine]
+            if flag.any():
+                later_rows.append((r, near, blk, _LATER, b"", b"", _steps(np.sort(s[flag])), b""))
+            open_at, of_run, s, i = np.nonzero(~flag)[0], np.repeat(np.arange(len(n)), n), s[~flag], inner[mine][~flag]
+            of_run = of_run[open_at]
+            bounds = _runs(s, of_run)
+            if len(s):
+                lead, size_of = bounds[:-1], np.diff(bounds)
+                text = b"\n".join(
+                    runs[x] if c == n[x] else b" ".join(runs[x].split(b" ")[a : a + c + length - 1]) for x, a, c in zip(of_run[lead].tolist(), i[lead].tolist(), size_of.tolist())
+                )
+                rest.append((r, near, blk, _ASK, text, owner[of_run[lead]].tobytes(), s[lead].astype(np.int32).tobytes(), size_of.astype(np.int32).tobytes()))
+        return later_rows, rest
+
+    def among_neighbours(table: pa.Table) -> pa.Table:
+        later, rest = compare(table)
+        return _rows(_PACKET, later + rest)
+
+    def among_all(table: pa.Table) -> pa.Table:
+        return _rows(_REPLY, [(row[2], row[0], row[6]) for row in compare(table)[0]])
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     more = [("kept_text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] if text_out else []
@@ -241,5 +334,6 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 8, text_out: bool = Fals
     seeds = base.groupBy("block").applyInArrow(send_seeds, _PACKET_SQL)
     known = seeds.groupBy("range").applyInArrow(shared_seeds, _REPLY_SQL)
     sent = base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_windows, _PACKET_SQL)
-    later = sent.groupBy("range").applyInArrow(later_windows, _REPLY_SQL)
+    near = sent.groupBy("range", "near").applyInArrow(among_neighbours, _PACKET_SQL)
+    later = near.groupBy("range").applyInArrow(among_all, _REPLY_SQL)
     return base.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(remove, sql)
