@@ -373,10 +373,86 @@ def test_colliding_surrogates_move_on(spark, monkeypatch):
         return real(key, kind, F.when(attempt == 0, F.lit("same")).otherwise(canon), attempt)
 
     monkeypatch.setattr(pii, "numbers", crowded)
-    texts = [f"host 10.0.0.{i}, again 10.0.0.{i}" for i in range(1, 9)]
+    texts = [f"host 10.0.0.{i}, again 10.0.0.{i}" for i in range(1, 9)] + [f"Mr. {g} {f}" for g in ("Aa", "Bb", "Cc") for f in ("Xx", "Yy")]
     got = [r["text"] for r in pii.replace_entities(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
-    hosts = [re.findall(r"\d+\.\d+\.\d+\.\d+", t) for t in got]
+    hosts = [re.findall(r"\d+\.\d+\.\d+\.\d+", t) for t in got[:8]]
     assert all(len(h) == 2 and h[0] == h[1] for h in hosts) and len({h[0] for h in hosts}) == 8
+    people = [t.removeprefix("Mr. ").split(" ") for t in got[8:]]
+    assert len({tuple(p) for p in people}) == 6
+    assert len({p[1] for p in people}) == 2 and all(people[i][1] == people[i + 2][1] == people[i + 4][1] for i in (0, 1))
+
+
+def test_crowded_formats_get_longer_surrogates(spark):
+    texts = [f"call +49 {i // 100} {i % 100:02d} now" for i in range(1000)]
+    got = [re.fullmatch(r"call \+49 (\d \d{2,}) now", r["text"]).group(1) for r in pii.replace_entities(docs_of(spark, texts), "k").collect()]
+    assert len(set(got)) == 1000 and not set(got) & {t[9:13] for t in texts} and max(map(len, got)) <= 8
+
+
+def iban(land, body):
+    return f"{land}{98 - int(''.join(str(int(c, 36)) for c in body + land + '00')) % 97:02d}{body}"
+
+
+def valid_iban(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_one_entity_in_all_its_spellings(spark):
+    texts = [
+        "+1 202 555 0100, +12025550100, (202) 555-0100, 202.555.0100; +44 20 7946 0958 +442079460958 +352 621 123 456",
+        "DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88 3704 0044 0532 0130 00; GB82WEST12345698765432",
+        "John Smith met Mr. John Smith and Smith. Smith's car; Smithson, Blacksmith, Mr Smith, Mrs. Smith and Frau Anna Smith-Jones, then Smith-Jones.",
+        "Smith and John Smith, with nobody's form of address",
+    ]
+    got = [r["text"] for r in pii.replace_entities(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    phones = re.fullmatch(r"\+1 (\d{3}) (\d{3}) (\d{4}), \+1(\d{10}), \((\d{3})\) (\d{3})-(\d{4}), (\d{3})\.(\d{3})\.(\d{4}); \+44 (\d\d) (\d{4}) (\d{4}) \+44(\d{10}) \+352 (\d{3}) (\d{3}) (\d{3})", got[0]).groups()
+    assert "".join(phones[:3]) == phones[3] == "".join(phones[4:7]) == "".join(phones[7:10]) != "2025550100"
+    assert "".join(phones[10:13]) == phones[13] != "2079460958"
+    a, b, c, d = re.fullmatch(r"(DE[\d ]+) or (DE\d+), not (DE[\d ]+); (GB\d\d[A-Z]{4}\d{14})", got[1]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and valid_iban(a) and valid_iban(d) and not valid_iban(c) and a[5:] != c[5:]
+    m = re.fullmatch(r"(\w+) (\w+) met Mr\. (\w+) (\w+) and (\w+)\. (\w+)'s car; Smithson, Blacksmith, Mr (\w+), Mrs\. (\w+) and Frau (\w+) (\w+), then (\w+)\.", got[2]).groups()
+    assert m[0] == m[2] in pii.GIVEN["latin", "m"] and len({m[i] for i in (1, 3, 4, 5, 6, 7)}) == 1 and m[1] != "Smith"
+    assert m[8] in pii.GIVEN["latin", "f"] and m[9] == m[10] not in ("Smith-Jones", m[1])
+    assert got[3] == texts[3]
+
+
+def test_surrogates_against_known_places(spark):
+    """Entities planted at known places: all else stays, and one entity has one surrogate of its kind, another entity another."""
+    rng = random.Random(18)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def luhn(s):
+        return sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(int(x) for x in reversed(s))) % 10
+
+    def card():
+        body = "4" + digit(14)
+        return next(body + x for x in "0123456789" if luhn(body + x) == 0)
+
+    make = {
+        "email": lambda: f"{rng.choice(['ann', 'bob.k', 'c_d'])}{digit(2)}@{rng.choice(['mail', 'post'])}.example.{rng.choice(['com', 'org'])}",
+        "iban": lambda: iban(rng.choice(["DE", "FR"]), digit(18)),
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "card": card,
+        "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
+        "phone": lambda: f"+1 ({rng.randrange(200, 999)}) {digit(3)}-{digit(4)}",
+    }
+    pool = {k: [f() for _ in range(12)] for k, f in make.items()}
+    plans = [[(k, rng.choice(pool[k])) for k in rng.choices(list(make), k=4)] for _ in range(120)]
+    texts = [" ".join(f"word{i} {e}, then" for i, (_, e) in enumerate(p)) for p in plans]
+    texts[7] += " \u0001 a mark"
+    out = {r["doc_id"]: r for r in pii.replace_entities(docs_of(spark, texts), "k", count=True).collect()}
+    there, back = {}, {}
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", s)))
+    for i, p in enumerate(plans):
+        frame = " ".join(rf"word{j} (.+?), then" for j in range(4)) + (" \u0001 a mark" if i == 7 else "")
+        new = re.fullmatch(frame, out[i]["text"]).groups()
+        assert out[i]["n_entities"] == 4 and all(out[i][f"n_{k}"] == sum(q == k for q, _ in p) for k in make)
+        for (k, e), x in zip(p, new):
+            assert there.setdefault((k, e), x) == x and back.setdefault((k, x), e) == e and x not in pool[k]
+            assert k == "ip" and all(0 < int(y) < 256 for y in x.split(".")) or shape(x) == shape(e)
+            assert k != "card" or luhn(x) == 0
+            assert k != "iban" or valid_iban(x) and x[:2] == e[:2]
+            assert k != "email" or x.rsplit(".")[-1] == e.rsplit(".")[-1]
 
 
 def test_surrogates_odd_rows(spark, odd):
