@@ -283,8 +283,64 @@ def test_common_words_are_exact(spark):
     texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(300)) for _ in range(20)]
     count = Counter(w for t in texts for w in t.split())
     want = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]]
-    got = {r["lang"]: r["words"] for r in quality.common_words(docs_of(spark, texts)).collect()}
-    assert got["en"] == want and got["*"] == want
+    got = {r["ref"]: r for r in quality.common_words(docs_of(spark, texts)).collect()}
+    assert got["=en"]["words"] == got["*"]["words"] == want and got["*"]["total"] == 6000
+    assert got["*"]["counts"] == [count[w] for w in want]
+
+
+def test_verdicts_against_brute_force(spark, monkeypatch):
+    """Distances and verdicts computed anew for many languages, a null one, one named like the reference of all rows, and rare ones."""
+    import math
+
+    monkeypatch.setattr(quality, "LEAST_REFERENCE", 50)
+    monkeypatch.setattr(quality, "SMALL_TABLE", 30)  # tables of languages go through a shuffle
+    rng = random.Random(26)
+    rows = []
+    for i in range(330):
+        lang = [f"l{i % 80}", "big", "*", None, f"rare{i}"][0 if i < 160 else 1 + i % 4]
+        pool = [f"{lang}w{int(rng.paretovariate(0.8)) % 90}" for _ in range(rng.choice([30, 120, 700]))]
+        text = " ".join(w.upper() if rng.random() < 0.3 and i % 7 == 0 else w + ("#" if i % 11 == 0 else "") for w in pool)
+        rows.append((i, text if i % 50 else None, lang, "s", 1))
+    d = spark.createDataFrame(rows, SHAPE)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
+    total = Counter()
+    for i, _, lang, *_ in rows:
+        total[lang] += len(words[i])
+    ref = {i: lang if lang is not None and total[lang] >= quality.LEAST_REFERENCE else None for i, _, lang, *_ in rows}
+    members = {r: [i for i in words if r is None or ref[i] == r] for r in set(ref.values()) | {None}}
+
+    def classes(t):
+        t = t or ""
+        kinds = [sum(c.islower() for c in t), sum(c.isupper() for c in t), sum(c.isdigit() for c in t), sum(c in "#*$%&|<>" for c in t), sum(c in " \t\n\x0b\x0c\r" for c in t)]
+        return [*kinds, len(t) - sum(kinds)]
+
+    def shares(v):
+        return [x / sum(v) if sum(v) else 0 for x in v]
+
+    def distance(p, q):
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0
+        return math.sqrt(max(0, sum(part(a, b) + part(b, a) for a, b in zip(p, q)) / 2))
+
+    lists, word_ref, char_ref = {}, {}, {}
+    for r, ids in members.items():
+        count = Counter(w for i in ids for w in words[i])
+        lists[r] = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]]
+        top = [count[w] for w in lists[r]]
+        word_ref[r] = shares([*top, *[0] * (quality.COMMON - len(top)), sum(count.values()) - sum(top)])
+        char_ref[r] = shares([sum(x) for x in zip(*(classes(rows[i][1]) for i in ids))])
+    assert len(members) > 66
+    for got in quality.measure(d).collect():
+        i = got["doc_id"]
+        count, chars = Counter(words[i]), classes(rows[i][1])
+        hits = [count[w] for w in lists[ref[i]]]
+        hits += [0] * (quality.COMMON - len(hits))
+        by_words = distance(shares([*hits, len(words[i]) - sum(hits)]), word_ref[ref[i]])
+        by_chars = distance(shares(chars), char_ref[ref[i]])
+        assert got["word_distance"] == pytest.approx(by_words, abs=1e-9) and got["char_distance"] == pytest.approx(by_chars, abs=1e-9)
+        n, size = len(words[i]), sum(chars)
+        odd = n >= quality.LEAST_WORDS and by_words > quality.WORD_LIMIT + quality.WORD_SLACK / math.sqrt(n)
+        odd |= size >= quality.LEAST_CHARS and by_chars > quality.CHAR_LIMIT + quality.CHAR_SLACK / math.sqrt(size)
+        assert got["kept"] == (not got["base_failed"] and not odd)
 
 
 # 3

@@ -6,20 +6,22 @@ Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Short t
 histograms, so each rule asks for a minimum length, and its limit is widened by a term that falls
 with length. Base rules on word count and repeated three-word windows come first.
 
-Null texts count as empty, a null or rare language is compared with the reference of all rows.
-Repeated rows give repeated rows; no row is ever dropped by `measure`.
+Null texts count as empty. A null language, and one with fewer than LEAST_REFERENCE words in all, is compared with
+the reference of all rows. There may be any number of languages. Repeated rows give repeated rows; no row is ever
+dropped by `measure`. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, cut
 
-#: Common words kept for each language, and languages with a reference of their own (the most frequent;
-#: all others use that of all rows). Both bound what is broadcast: at most 65 * 16 words.
-COMMON, LANGUAGES = 16, 64
+#: Common words kept for each language; words that a language must have for a reference of its own.
+COMMON, LEAST_REFERENCE = 16, 2000
+#: Rows of a table with a row for each language up to which it is broadcast; beyond, it is joined by a shuffle.
+SMALL_TABLE = 100_000
 #: Buckets for the first, coarse count of words.
 BUCKETS = 4096
 #: Least words for the word rule, least characters for the character rule.
@@ -29,7 +31,7 @@ WORD_LIMIT, CHAR_LIMIT = 0.22, 0.21
 WORD_SLACK, CHAR_SLACK = 1.2, 1.5
 #: Few repeated windows are looked up one by one; more are found by sorting. Both ways are exact.
 FEW = 64
-ALL = "*"
+ALL = "*"  # the reference of all rows; those of languages have "=" in front
 
 
 def flat(text: Column) -> Column:
@@ -86,42 +88,59 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return d.drop("_lines", "_h", "_s", "_n", "_d", "_t", "_p", "_flat")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if its size, which is looked at, allows."""
+    return F.broadcast(df) if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else df.hint("merge")
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
 def common_words(docs: DataFrame) -> DataFrame:
-    """lang, words: the COMMON most frequent words of each kept language and of all rows (lang '*'), exactly.
+    """ref, words, counts, total: the COMMON most frequent words of each language with a reference and of all rows, exactly.
 
-    Words are first counted by hash bucket; only words of the fullest buckets are then counted one by
-    one. A word outside cannot be more frequent than its bucket, so the outcome is checked and the
-    choice widened until it is proven.
+    Words are first counted by hash bucket; only words of a language's fullest buckets are then counted one by
+    one. A word outside cannot be more frequent than its bucket, so the outcome is checked and the choice widened
+    until it is proven. total: all words. The table is stored.
     """
-    langs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col("lang")).limit(LANGUAGES)
-    kept = [r["lang"] for r in langs.collect() if r["lang"] is not None]
-    lang = F.when(F.col("lang").isin(kept), F.col("lang")) if kept else F.lit(None).cast("string")
-    words = docs.select(lang.alias("lang"), F.explode(words_of(flat(F.col("text")))).alias("word"))
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    coarse = words.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    rows = coarse.collect()  # at most 65 * 4096 counts
-    groups: dict[str, dict[int, int]] = {ALL: {}}
-    for r in rows:
-        for key in {ALL, r["lang"] or ALL}:
-            groups.setdefault(key, {})
-            groups[key][r["bucket"]] = groups[key].get(r["bucket"], 0) + r["n"]
-    take, found = 2 * COMMON, {}
-    open_groups = {k for k, v in groups.items() if v}
-    while open_groups:
-        full = {k: sorted(groups[k], key=lambda b: (-groups[k][b], b)) for k in open_groups}
-        chosen = sorted({b for k in open_groups for b in full[k][:take]})
-        some = words.where(F.col("bucket").isin(chosen)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-        some = cut(some, "quality-words")
-        for k in sorted(open_groups):
-            mine = some if k == ALL else some.where(F.col("lang") == k)
-            top = mine.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
-            rest = [groups[k][b] for b in full[k] if b not in chosen]
-            if not rest or (len(top) == COMMON and top[-1]["n"] > max(rest)):
-                found[k] = [r["word"] for r in top]
-        open_groups -= found.keys()
+    texts = docs.select("lang", words_of(flat(F.col("text"))).alias("words"))
+    coarse = texts.select("lang", F.explode("words").alias("word")).groupBy("lang", _bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    coarse = cut(coarse, "quality-coarse")
+    per = coarse.groupBy("lang").agg(F.sum("n").alias("total"))
+    own = per.where((F.col("total") >= LEAST_REFERENCE) & F.col("lang").isNotNull()).select("lang", F.concat(F.lit("="), "lang").alias("ref"), "total")
+    everything = per.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total")).select(F.lit(ALL).alias("ref"), "total")
+    refs = cut(own.unionByName(everything, allowMissingColumns=True), "quality-refs")
+    buckets = coarse.join(refs.where("lang IS NOT NULL").select("lang", "ref"), "lang").select("ref", "bucket", "n")
+    buckets = buckets.unionByName(coarse.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("ref", F.lit(ALL)))
+    full = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("n"), "bucket"))
+    buckets = cut(buckets.withColumn("place", full), "quality-buckets")
+    found, still_open, take = None, refs.select("ref"), 2 * COMMON
+    while True:
+        mine = buckets.join(still_open, "ref", "left_semi")
+        chosen = mine.where(F.col("place") <= take).select("ref", "bucket")
+        rest = mine.where(F.col("place") > take).groupBy("ref").agg(F.max("n").alias("rest"))
+        of_all = [r["bucket"] for r in chosen.where(F.col("ref") == ALL).collect()]  # no more than BUCKETS
+        lists = chosen.where(F.col("ref") != ALL).groupBy(F.substr("ref", F.lit(2)).alias("lang")).agg(F.collect_set("bucket").alias("mine"))
+        wanted = F.array_union(F.coalesce("mine", F.array().cast("array<int>")), F.array(*map(F.lit, of_all)).cast("array<int>"))
+        few = texts.join(_small(lists), "lang", "left").select("lang", F.explode(F.filter("words", lambda w: F.array_contains(wanted, _bucket(w)))).alias("word"))
+        few = cut(few.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
+        by_ref = few.select(F.concat(F.lit("="), "lang").alias("ref"), "word", "n").union(few.groupBy("word").agg(F.sum("n")).select(F.lit(ALL), "word", "sum(n)"))
+        by_ref = by_ref.withColumn("bucket", _bucket(F.col("word"))).join(chosen, ["ref", "bucket"], "left_semi")
+        top = by_ref.withColumn("place", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON)
+        top = top.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+        out = refs.join(still_open, "ref", "left_semi").join(top, "ref", "left").join(rest, "ref", "left")
+        out = out.withColumn("top", F.coalesce("top", F.array().cast("array<struct<place:int,word:string,n:bigint>>")))
+        proven = F.col("rest").isNull() | ((F.size("top") == COMMON) & (F.element_at("top", -1)["n"] > F.col("rest")))
+        if take < BUCKETS:
+            proven = F.coalesce(proven, F.lit(False))
+        out = cut(out.select("ref", F.transform("top", lambda x: x["word"]).alias("words"), F.transform("top", lambda x: x["n"]).alias("counts"), "total", proven.alias("proven")), "quality-common")
+        good = out.where("proven").drop("proven")
+        found = good if found is None else found.unionByName(good)
+        still_open = out.where("NOT proven").select("ref")
+        if not still_open.limit(1).count():
+            return found
         take *= 4
-    spark = docs.sparkSession
-    return spark.createDataFrame([(k, v) for k, v in sorted(found.items())] or [(ALL, [])], "lang string, words array<string>")
 
 
 def _shares(counts: Column) -> Column:
@@ -137,15 +156,14 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """docs with _ref (its reference language), _chars and _common (counts as double arrays)."""
+    """docs with _ref (its reference), _chars and _common (counts as double arrays)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.char_length(text)
     without = lambda c: size - F.char_length(F.regexp_replace(text, c, ""))
-    own = common.where(F.col("lang") != ALL).select(F.col("lang").alias("_lang"), F.col("words").alias("_own"))
-    rest = common.where(F.col("lang") == ALL).select("words").first()["words"]
-    # at most LANGUAGES rows of COMMON words each
-    d = docs.join(F.broadcast(own), docs["lang"] == own["_lang"], "left")
-    d = d.withColumns({"_ref": F.coalesce("_lang", F.lit(ALL)), "_list": F.coalesce("_own", F.array(*map(F.lit, rest)).cast("array<string>"))}).drop("_lang", "_own")
+    own = common.where(F.col("ref") != ALL).select(F.col("ref").alias("_own_ref"), F.col("words").alias("_own"))
+    rest = common.where(F.col("ref") == ALL).select("words").first()["words"]
+    d = docs.join(_small(own), F.concat(F.lit("="), docs["lang"]) == own["_own_ref"], "left")
+    d = d.withColumns({"_ref": F.coalesce("_own_ref", F.lit(ALL)), "_list": F.coalesce("_own", F.array(*map(F.lit, rest)).cast("array<string>"))}).drop("_own_ref", "_own")
     d = d.withColumn("_at", F.filter(F.transform("_words", lambda w: F.array_position("_list", w)), lambda x: x > 0))
     hits = F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(COMMON).cast("bigint")), lambda k: F.size(F.filter("_at", lambda x: x == k)).cast("double"))
     d = d.withColumns(
@@ -163,19 +181,22 @@ def histograms(docs: DataFrame, common: DataFrame) -> DataFrame:
     return d.drop("_list", "_at", "_lower", "_upper", "_digit")
 
 
-def references(hist: DataFrame) -> DataFrame:
-    """lang, ref_chars, ref_common: shares over all documents of a language ('*': over all rows).
-
-    The word shares of '*' count the rows that have no reference of their own, as their words are other ones.
-    """
-    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    return hist.groupBy(F.col("_ref").alias("lang")).agg(_shares(sums("_chars", 6)).alias("ref_chars"), _shares(sums("_common", COMMON + 1)).alias("ref_common"))
+def references(hist: DataFrame, common: DataFrame) -> DataFrame:
+    """ref, ref_chars, ref_common: shares over all documents of a language ('*': over all rows)."""
+    sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(6)]
+    per = hist.groupBy(F.col("_ref").alias("ref")).agg(*sums)
+    whole = per.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(6)]).withColumn("ref", F.lit(ALL))
+    chars = per.where(F.col("ref") != ALL).unionByName(whole).select("ref", _shares(F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(6)])).alias("ref_chars"))
+    counts = F.transform("counts", lambda x: x.cast("double"))
+    rest = F.col("total").cast("double") - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    filled = F.concat(counts, F.array_repeat(F.lit(0.0), F.lit(COMMON) - F.size("counts")), F.array(rest))
+    return chars.join(common.select("ref", _shares(filled).alias("ref_common")), "ref")
 
 
 def verdicts(hist: DataFrame, refs: DataFrame) -> DataFrame:
     """hist with char_distance, word_distance and kept."""
-    right = refs.select(F.col("lang").alias("_lang"), "ref_chars", "ref_common")
-    d = hist.join(F.broadcast(right), hist["_ref"] == right["_lang"], "left").drop("_lang")
+    right = refs.select(F.col("ref").alias("_r"), "ref_chars", "ref_common")
+    d = hist.join(_small(right), hist["_ref"] == right["_r"], "left").drop("_r")
     chars = F.aggregate("_chars", F.lit(0.0), lambda s, x: s + x)
     d = d.withColumns(
         {
@@ -197,9 +218,10 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the five base counts, base_failed, both distances and kept, for every row."""
     docs = docs.select("doc_id", "text", "lang")
-    hist = histograms(base_columns(docs), common_words(docs))
+    common = common_words(docs)
+    hist = histograms(base_columns(docs), common)
     hist = cut(hist.select("doc_id", *COUNTS, "base_failed", "_ref", "_chars", "_common"), "quality-histograms")
-    refs = cut(references(hist), "quality-references")
+    refs = cut(references(hist, common), "quality-references")
     return verdicts(hist, refs).select("doc_id", *COUNTS, "base_failed", "char_distance", "word_distance", "kept")
 
 
@@ -210,9 +232,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     and the language, and only those are stored. They grow with docs, so the join shuffles at every size.
     """
     named = docs.select("text", "lang").withColumns({"_k1": F.xxhash64("text"), "_k2": F.hash("text")})
-    hist = histograms(base_columns(named), common_words(docs))
+    common = common_words(docs)
+    hist = histograms(base_columns(named), common)
     hist = cut(hist.select("_k1", "_k2", "lang", "n_words", "base_failed", "_ref", "_chars", "_common"), "quality-histograms")
-    refs = cut(references(hist), "quality-references")
+    refs = cut(references(hist, common), "quality-references")
     gone = verdicts(hist, refs).where("NOT kept").select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), F.col("lang").alias("_gl")).distinct()
     gone = cut(gone, "quality-rejected").hint("merge")
     same = (F.xxhash64(docs["text"]) == gone["_g1"]) & (F.hash(docs["text"]) == gone["_g2"]) & docs["lang"].eqNullSafe(gone["_gl"])
