@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,12 @@ def drop(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_batches(
     df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]
 ) -> DataFrame:

@@ -121,9 +121,9 @@ def common_words(docs: DataFrame) -> DataFrame:
         chosen = mine.where(F.col("place") <= take).select("ref", "bucket")
         rest = mine.where(F.col("place") > take).groupBy("ref").agg(F.max("n").alias("rest"))
         of_all = [r["bucket"] for r in chosen.where(F.col("ref") == ALL).collect()]  # no more than BUCKETS
-        lists = chosen.where(F.col("ref") != ALL).groupBy(F.substr("ref", F.lit(2)).alias("lang")).agg(F.collect_set("bucket").alias("mine"))
-        wanted = F.array_union(F.coalesce("mine", F.array().cast("array<int>")), F.array(*map(F.lit, of_all)).cast("array<int>"))
-        few = texts.join(_small(lists), "lang", "left").select("lang", F.explode(F.filter("words", lambda w: F.array_contains(wanted, _bucket(w)))).alias("word"))
+        own = chosen.where(F.col("ref") != ALL).select(F.substr("ref", F.lit(2)).alias("lang"), "bucket", F.lit(True).alias("mine"))
+        words = texts.select("lang", F.explode("words").alias("word")).withColumn("bucket", _bucket(F.col("word")))
+        few = words.join(_small(own), ["lang", "bucket"], "left").where(F.col("mine") | F.col("bucket").isin(of_all))
         few = cut(few.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "quality-words")
         by_ref = few.select(F.concat(F.lit("="), "lang").alias("ref"), "word", "n").union(few.groupBy("word").agg(F.sum("n")).select(F.lit(ALL), "word", "sum(n)"))
         by_ref = by_ref.withColumn("bucket", _bucket(F.col("word"))).join(chosen, ["ref", "bucket"], "left_semi")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, cut, drop, map_batches, only
+from tidemark.llm.common import columns, cut, drop, free, map_batches, only
 from tidemark.llm.components import connected_components
 
 #: Variants held at once by a task, and bits by which a piece with more of them is split.
@@ -287,33 +287,33 @@ def _prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 def _profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2 of each row; fp, size, prefix and hot (tokens known to have large buckets) unless its task has met the text before."""
+    """doc_id, k1, k2 of each row; fp, size, prefix, hot (tokens known to have large buckets) and map unless its task has met the text before."""
 
     def make():
         seen: set[int] = set()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, k1, k2, texts = columns(batch, "doc_id", "k1", "k2", "text")
-            fps, sizes, prefixes, hots = [], [], [], []
+            made = []
             for key, t in zip(zip(k1, k2), texts):
                 if key in seen:
-                    fps.append(None), sizes.append(None), prefixes.append(None), hots.append(None)
+                    made.append((None,) * 5)
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
                 h = shingle_hashes(t.encode().split(), SHINGLE_WORDS)
                 grams = np.unique(h).view(np.int64)
                 first, place = _prefix(np.sort(grams), common, counts)
-                fps.append(int(np.uint64(majority(h)).astype(np.int64)))
-                sizes.append(len(grams))
-                prefixes.append(first)
-                hots.append(place > SMALL)
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, k1, k2, fps, sizes, prefixes, hots), types)], names=["doc_id", "k1", "k2", "fp", "size", "prefix", "hot"])
+                bits = np.zeros(MAP_BITS, dtype=bool)
+                bits[(grams.view(np.uint64) >> np.uint64(17)) % np.uint64(MAP_BITS)] = True
+                made.append((int(np.uint64(majority(h)).astype(np.int64)), len(grams), first, place > SMALL, np.packbits(bits).view(np.int64)))
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, k1, k2, *zip(*made)), types)], names=["doc_id", "k1", "k2", "fp", "size", "prefix", "hot", "map"])
 
         return step
 
-    return map_batches(keyed.select("doc_id", "k1", "k2", "text"), "doc_id bigint, k1 bigint, k2 bigint, fp bigint, size bigint, prefix array<bigint>, hot array<boolean>", make)
+    shape = "doc_id bigint, k1 bigint, k2 bigint, fp bigint, size bigint, prefix array<bigint>, hot array<boolean>, map array<bigint>"
+    return map_batches(keyed.select("doc_id", "k1", "k2", "text"), shape, make)
 
 
 def _can_reach(size_a: np.ndarray, left_a: np.ndarray, size_b: np.ndarray, left_b: np.ndarray) -> np.ndarray:
@@ -392,7 +392,7 @@ def _cell_pairs(every: bool):
             for end in ends.tolist():
                 here = slice(start, end)
                 start = end
-                words = np.frombuffer(b"".join(maps[here].tolist()), dtype=np.uint64).reshape(-1, MAP_BITS // 64)
+                words = np.stack(maps[here]).view(np.uint64)
                 found += _meet_cell(side[here], node[here], size[here], left[here], label[here], words, every)
             if found:
                 yield from _links([_pair_rows(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))])
@@ -446,25 +446,53 @@ def _best_stars(likeness: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple
     return np.concatenate(xs), np.concatenate(ys)
 
 
+#: Rows up to which a table of texts' hashes is broadcast; a larger one is joined by a shuffle.
+SMALL_TABLE = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if its size, which is looked at, allows."""
+    return F.broadcast(df) if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else df.hint("merge")
+
+
 def _grams(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, grams (different shingle hashes), map (bits of them) of the wanted texts (id, k1, k2)."""
-    chosen = keyed.join(wanted.hint("merge"), ["k1", "k2"]).select("id", "text")
+    """id and grams (different shingle hashes) of the wanted texts (id, k1, k2), stored."""
+    chosen = keyed.join(_few(wanted), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = columns(batch, "id", "text")
-            grams = [_distinct_hashes(t) for t in texts]
-            maps = []
-            for g in grams:
-                bits = np.zeros(MAP_BITS, dtype=bool)
-                bits[(g >> np.uint64(17)) % np.uint64(MAP_BITS)] = True
-                maps.append(np.packbits(bits).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=["id", "grams", "map"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_distinct_hashes(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["id", "grams"])
 
         return step
 
-    rows = map_batches(chosen, "id bigint, grams array<bigint>, map binary", make)
-    return cut(rows.groupBy("id").agg(F.first("grams").alias("grams"), F.first("map").alias("map")), "near-grams")
+    return cut(map_batches(chosen, "id bigint, grams array<bigint>", make), "near-grams")
+
+
+def _within_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that can be SIMILARITY alike by their sizes and maps: a bit that only one map has is a shingle that only one text has."""
+    m = nodes.select("id", "size", "map", F.aggregate("map", F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
+    both = pairs.join(m.select(*[F.col(c).alias(f"{c}_a") for c in m.columns]), F.col("a") == F.col("id_a"))
+    both = both.join(m.select(*[F.col(c).alias(f"{c}_b") for c in m.columns]), F.col("b") == F.col("id_b"))
+    same = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    most = F.least(F.col("size_a") - F.col("ones_a") + same, F.col("size_b") - F.col("ones_b") + same)
+    return both.where(most * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
+
+
+def _by_size(large: DataFrame) -> DataFrame:
+    """Rows of large buckets, parted by size: token, id, size, left of those that can have a partner.
+
+    Alike sets have sizes in a ratio of SIMILARITY at least, so in the same class of sizes or the next; and the
+    token must stand early enough in the smaller one (`starts`) for the larger one to be within its reach.
+    """
+    reach = F.col("left") * (1 + SIMILARITY) / SIMILARITY - F.col("size") + 1e-6
+    step = F.floor(F.log("size") / F.log(F.lit(1 / SIMILARITY)))
+    rows = large.select("token", "id", "size", "left", reach.alias("reach"), F.explode(F.array(step, step - 1)).alias("class"), step.alias("own"))
+    rows = rows.withColumn("starts", (F.col("class") == F.col("own")) & (F.col("reach") >= F.col("size")))
+    first = F.when(F.col("starts"), F.col("size"))
+    per = rows.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("least"), F.max(F.when(F.col("starts"), F.col("reach"))).alias("far"))
+    near = rows.join(per.where("n > 1 AND least IS NOT NULL"), ["token", "class"]).where("starts OR (least <= reach AND size <= far)")
+    return near.select(F.xxhash64("token", "class").alias("token"), "id", "size", "left")
 
 
 def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -475,7 +503,7 @@ def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return cut(both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b"), "near-links")
 
 
-def _cells(large: DataFrame, labels: DataFrame, grams: DataFrame) -> DataFrame:
+def _cells(large: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of large buckets that hold several labels, dealt into cells in which every two of different labels meet.
 
     The texts of a bucket's most frequent label meet only the others, so a bucket of one big group and few others is
@@ -486,7 +514,7 @@ def _cells(large: DataFrame, labels: DataFrame, grams: DataFrame) -> DataFrame:
     each = l.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     per = each.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).where("m.n < all")
     per = per.select("token", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CELL).alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("others"))
-    l = l.join(per, "token").join(grams.select("id", "map"), "id")
+    l = l.join(per, "token").join(nodes.select("id", "map"), "id")
     is_main, part = F.col("label") == F.col("main"), F.xxhash64("id")
     zero = F.lit(0).cast("bigint")
     at = lambda kind, x, y, side: F.struct(F.xxhash64("token", F.lit(kind), x, y).alias("cell"), F.lit(side).cast("bigint").alias("side") if isinstance(side, int) else side.cast("bigint").alias("side"))
@@ -500,13 +528,12 @@ def _cells(large: DataFrame, labels: DataFrame, grams: DataFrame) -> DataFrame:
     return l.select("c.cell", "c.side", "id", "size", "left", "label", "map")
 
 
-def _links_in_large(large: DataFrame, grams: DataFrame, links: DataFrame) -> DataFrame:
-    """links and those between texts of large buckets that are still in different groups: twice by stars, then all that is left."""
-    shape = "a bigint, b bigint"
-    for every in (False, False, True):
+def _links_in_large(large: DataFrame, nodes: DataFrame, grams: DataFrame, links: DataFrame) -> DataFrame:
+    """links and those between texts of large buckets that are still in different groups: first by stars, then all that is left."""
+    for every in (False, True):
         labels = connected_components(links)
-        cells = _cells(large, labels, grams).repartition("cell").sortWithinPartitions("cell", "side", "id")
-        pairs = cut(cells.mapInArrow(_cell_pairs(every), shape).distinct(), "near-pairs")
+        cells = _cells(large, labels, nodes).repartition("cell").sortWithinPartitions("cell", "side", "id")
+        pairs = cut(cells.mapInArrow(_cell_pairs(every), "a bigint, b bigint").distinct(), "near-pairs")
         if not pairs.limit(1).count():
             break
         links = cut(links.union(_alike(pairs, grams)), "near-links")
@@ -527,7 +554,7 @@ def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(docs)
     common, counts = _common_shingles(keyed)
     rows = _profiles(keyed, common, counts)
-    per = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("fp", "size", "prefix", "hot")])
+    per = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("fp", "size", "prefix", "hot", "map")])
     nodes = cut(per.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
 
     prints = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep")), "near-prints")
@@ -544,17 +571,20 @@ def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = tokens.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token")
     buckets = cut(dealt.mapInArrow(_open_buckets, shape).union(known), "near-buckets")
     small = buckets.where("NOT large").select(F.col("token").alias("a"), F.col("id").alias("b"))
-    large = buckets.where("large").drop("large")
-    pairs = cut(met.union(small).distinct(), "near-pairs")
+    pairs = cut(_within_reach(met.union(small).distinct(), nodes), "near-pairs")
+    large = cut(_by_size(buckets.where("large")), "near-large")
+    drop(buckets)
+    free(docs.sparkSession)
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
     grams = _grams(keyed, cut(nodes.select("id", "k1", "k2").join(wanted, "id"), "near-wanted"))
     links = _alike(pairs, grams)
     drop(pairs)
     if large.limit(1).count():
-        links = _links_in_large(large, grams, links)
+        links = _links_in_large(large, nodes, grams, links)
     drop(grams)
-    drop(buckets)
+    drop(large)
+    free(docs.sparkSession)
     return nodes.select("id", "k1", "k2", "least"), links
 
 
@@ -580,7 +610,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stays = rows.join(heads.withColumn("head", F.lit(True)), ["k1", "k2"], "left").withColumn("stays", F.coalesce(F.col("head") & same, F.lit(False)))
     stays = cut(stays.groupBy("doc_id", "k1", "k2").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "near-stays")
     twice = stays.where("stays AND n > 1").limit(1).count()
-    gone = stays.where("NOT stays").select(F.col("doc_id").alias("_g"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).hint("merge")
+    gone = stays.where("NOT stays").select(F.col("doc_id").alias("_g"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    gone = _few(gone)
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text").withColumn("_word", has_word)
     d = _keyed(d.withColumn("text", F.when(F.col("_word"), F.col("text"))))
