@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
-    return bpe.encode(docs, tokenizer_text()).select("doc_id", "n_tokens", "ids")
+    """Token ids of every row, and the text that they decode to."""
+    return bpe.encode(docs, tokenizer_text()).select("doc_id", "n_tokens", "ids", "decoded")
 
 
 STAGES = [

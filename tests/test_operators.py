@@ -139,16 +139,140 @@ def test_chi2_tail():
     assert abs(forecast.chi2_tail(14.067140449, 7) - 0.05) < 1e-8 and abs(forecast.chi2_tail(3.841458821, 1) - 0.05) < 1e-8
 
 
+def lookup(g):
+    return lambda phrases: {p: g[p] for p in phrases if p in g}
+
+
 def test_traversal_order_limits_and_resume():
     g = {"s": [("a", 5), ("b", 9), ("s", 99)], "a": [("c", 1)], "b": [("a", 5), ("d", 7)], "c": [], "d": [("e", 3)], "e": []}
-    out = graph.traverse(["s"], lambda p: g.get(p), graph.Limits(3, 2))
+    out = graph.traverse(["s"], lookup(g), graph.Limits(3, 2))
     assert out.state.visited == {"s": 0, "b": 1, "d": 2} and out.truncated_by_phrases
-    more = graph.traverse(["s"], lambda p: g.get(p), graph.Limits(100, 3), out.state)
+    more = graph.traverse(["s"], lookup(g), graph.Limits(100, 3), out.state)
     assert set(more.state.visited) == set("sbdaec") and not more.state.frontier
-    again = graph.traverse(["s"], lambda p: g.get(p), graph.Limits(100, 3), more.state)
+    again = graph.traverse(["s"], lookup(g), graph.Limits(100, 3), more.state)
     assert again.calls == 0
-    waiting = graph.traverse(["s", "zz"], lambda p: g.get(p))
+    waiting = graph.traverse(["s", "zz"], lookup(g))
     assert "zz" not in waiting.state.visited and [e.phrase for e in waiting.state.frontier if e.phrase == "zz"] == ["zz"]
+    late = {"a": [("c", 10), ("b", 5)], "b": [("d", 1000)], "c": [("e", 3)], "d": [], "e": []}
+    assert list(graph.traverse(["a"], lookup(late), graph.Limits(10, 2)).state.visited) == ["a", "c", "b", "d", "e"]
+    with pytest.raises(ValueError):
+        graph.traverse(["a"], lookup(late), graph.Limits(0, 2))
+
+
+def one_by_one(g, seeds, most, deepest):
+    """The same walk, one phrase at a time, from the definition."""
+    visited, deep = {}, False
+    entries = [(0, 0, s, 0) for s in seeds]
+    while True:
+        best = min((e for e in entries if e[2] not in visited and e[2] in g and e[3] <= deepest), default=None)
+        deep |= any(e[3] > deepest and e[2] not in visited and (best is None or e[:3] < best[:3]) for e in entries)
+        if best is None or len(visited) == most:
+            return visited, best is not None, deep or any(e[3] > deepest and e[2] not in visited for e in entries)
+        visited[best[2]] = best[3]
+        entries += [(1, -f, p, best[3] + 1) for p, f in g[best[2]] if p != best[2] and p not in visited]
+
+
+def test_traversal_equals_one_by_one(spark):
+    import random
+
+    rng = random.Random(5)
+    for trial in range(60):
+        names = [f"p{i}" for i in range(rng.choice([5, 15, 40]))]
+        g = {n: [(rng.choice(names), rng.choice([1, 2, 3, 9])) for _ in range(rng.randrange(5))] for n in names if rng.random() < 0.9}
+        seeds, most, deepest = rng.sample(names, 2), rng.choice([1, 4, 100]), rng.randrange(4)
+        got = graph.traverse(seeds, lookup(g), graph.Limits(most, deepest))
+        want, full, deep = one_by_one(g, seeds, most, deepest)
+        assert list(got.state.visited.items()) == list(want.items()), trial
+        # a phrase that is not available may or may not have been asked for before the walk was full
+        assert got.truncated_by_phrases == full or len(g) < len(names), trial
+        assert got.truncated_by_depth or not deep
+    rows = [(a, b, f) for a, es in g.items() for b, f in dict(es).items() if a != b]
+    e = spark.createDataFrame(rows, "src string, dst string, frequency bigint")
+    table = {n: [(b, f) for a, b, f in rows if a == n] for n in names}
+    for most in (3, 10):
+        assert {r["phrase"]: r["depth"] for r in graph.priority_traversal(e, seeds, graph.Limits(most, 2)).collect()} == one_by_one(table, seeds, most, 2)[0]
+
+
+def attach_in_turn(parts, least):
+    """The series of windows {month: value} or its error, by attaching one window after the other."""
+    left = sorted(parts, key=min)
+    done = dict(left.pop(0))
+    while left:
+        w = max(left, key=lambda x: (len(x.keys() & done.keys()), -min(x)))
+        left.remove(w)
+        if len(w.keys() & done.keys()) < least:
+            return "gap"
+        if any(w[k] != done[k] for k in w.keys() & done.keys()):
+            return "mismatch"
+        done |= w
+    return done if len(done) == max(done) - min(done) + 1 else "gap"
+
+
+def test_stitch_equals_attaching_in_turn(spark):
+    import random
+
+    rng = random.Random(6)
+    plans, rows = {}, []
+    for i in range(150):
+        parts = []
+        for k in range(rng.randrange(1, 6)):
+            a = rng.randrange(0, 12)
+            w = {m: m * 10 for m in range(a, a + rng.randrange(1, 8)) if rng.random() < 0.97}
+            if w and rng.random() < 0.08:
+                w[rng.choice(list(w))] += 1
+            if w:
+                parts.append(w)
+                rows += [(f"p{i}", k, months(dt.date(2020, 1, 1), 40)[m], q) for m, q in w.items()]
+        if parts:
+            plans[f"p{i}"] = parts
+    got = {}
+    for r in stitch.stitch(spark.createDataFrame(rows, "phrase string, window_id int, period date, queries bigint")).collect():
+        got.setdefault(r["phrase"], r["error"] or {})
+        if not r["error"]:
+            got[r["phrase"]][(r["period"].year - 2020) * 12 + r["period"].month - 1] = r["queries"]
+    want = {p: attach_in_turn(parts, 2) for p, parts in plans.items()}
+    assert got == want and {x for x in want.values() if isinstance(x, str)} == {"gap", "mismatch"} and any(isinstance(x, dict) for x in want.values())
+
+
+def test_stitch_expected_range_and_repeats(spark):
+    w = windows(spark, [(2, 2), (3, 3), (4, 4), (4, 4)])
+    assert stitch.stitch(w).count() == 3
+    assert stitch.stitch(w, expected_from="2024-02-01", expected_to="2024-04-01").count() == 3
+    assert stitch.stitch(w, expected_from="2024-01-01").first()["error"] == "gap" == stitch.stitch(w, expected_to="2024-05-01").first()["error"]
+    assert stitch.stitch(windows(spark, [(2, 2), (2, 3)])).first()["error"] == "mismatch"
+
+
+def test_niches_in_display_order_and_age_of_growing(spark):
+    from tidemark.operators import ranking
+
+    ranked = spark.createDataFrame(
+        [("a", "STABLE", 0.0, 4, None), ("b", "STABLE", 0.0, 5, None), ("c", "GROWING", 0.5, 2, 7), ("d", "GROWING", 0.9, 1, 3), ("e", "GROWING", 0.4, 3, 5)],
+        "phrase string, klass string, rank_score double, rank bigint, age int",
+    )
+    clusters = spark.createDataFrame([("aaa", "a"), ("aaa", "b"), ("aaa", "c"), ("zzz", "d"), ("mmm", "e")], "topic string, phrase string")
+    records = ranked.select("phrase", F.lit(False).alias("filtered_out"))
+    got = ranking.niche_order(ranking.build_niches(clusters, ranked, records)).orderBy("place").collect()
+    assert [(r["topic"], r["age"], r["phrases"]) for r in got] == [("zzz", 3, ["d"]), ("mmm", 5, ["e"]), ("aaa", 7, ["c", "a", "b"])]
+
+
+def test_guards(spark, tmp_path):
+    nan = spark.createDataFrame([("x", p, float("nan") if i == 30 else 5.0) for i, p in enumerate(months(dt.date(2020, 1, 1), 40))], "phrase string, period date, queries double")
+    assert [(r["phrase"], r["check"]) for r in series.growth_violations(nan).collect()] == [("x", "null")]
+    with pytest.raises(series.BacktestError):
+        forecast.backtest(nan)
+    with pytest.raises(series.BacktestError):
+        forecast.backtest(nan.limit(0))
+    table = spark.createDataFrame([("x", "naive", 1.0, 2), ("y", "theta", 1.0, 2)], "phrase string, model string, mase_median double, n_folds bigint")
+    with pytest.raises(series.BacktestError):
+        series.backtest_summary(table.limit(0), "naive")
+    with pytest.raises(Exception, match="no row of naive for y"):
+        series.backtest_summary(table, "naive").collect()
+    with pytest.raises(runs.ManifestError):
+        runs.manifests(spark, str(tmp_path / "nowhere"))
+    (tmp_path / "empty.csv").write_bytes(b"a;b;c;d\r")
+    with pytest.raises(runs.EmptyDatasetError):
+        runs.load_monthly(spark, str(tmp_path / "empty.csv"))
+    assert artifact.load_showcase(spark, str(tmp_path / "none")) is None
 
 
 def test_graph_tables(spark):
@@ -168,6 +292,7 @@ def test_state_round_trip(spark, tmp_path):
     s = graph.State({"s": 0}, [graph.Entry(False, -float("inf"), "z", 0), graph.Entry(True, -4.0, "a", 1)])
     artifact.save_state(spark, path, s, "2026-01-01", 3)
     got, budget = artifact.load_state(spark, path)
+    artifact.save_state(spark, path, s, "2026-01-01", 3)  # over the old one
     assert got.visited == s.visited and sorted(got.frontier) == sorted(s.frontier) and budget == {"date": "2026-01-01", "spent": 3}
     (tmp_path / ".state.json.crc").unlink(missing_ok=True)
     (tmp_path / "state.json").write_text("{}")

@@ -29,9 +29,11 @@ def main(argv: list[str]) -> int:
             found = contract.file_violations(spark.read.format("binaryFile").load(path)).unionByName(
                 contract.contract_violations(runs.raw_monthly(spark, path)).select("source", "check")
             ).withColumn("severity", F.lit("error"))
-        for r in found.limit(100).collect():
-            errors += r["severity"] == "error"
-            print(f"{r['severity']}: {r['source']}: {r['check']}")
+        found = found.groupBy("severity", "source", "check").agg(F.count(F.lit(1)).alias("n")).cache()
+        errors += found.where("severity = 'error'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        for r in found.orderBy("severity", "source", "check").toLocalIterator():
+            print(f"{r['severity']}: {r['source']}: {r['check']} ({r['n']})")
+        found.unpersist()
     return int(errors > 0)
 
 

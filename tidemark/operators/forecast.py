@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import BacktestError
+
 SEASON = 12
+#: Suffix windows of daily series, in days.
+WEEKS = tuple(range(14, 57, 7))
 
 
 def naive(y: np.ndarray, h: int, sp: int = SEASON) -> np.ndarray:
@@ -184,7 +188,15 @@ MODELS = {
 
 
 def backtest(monthly: DataFrame, models: tuple[str, ...] = tuple(MODELS), initial: int = 72, step: int = 12, test: int = 12) -> DataFrame:
-    """phrase, model, fold, mase: every model refitted on every expanding window, one task for each phrase and model."""
+    """phrase, model, fold, mase: every model refitted on every expanding window, one task for each phrase and model.
+
+    Raises BacktestError if there is no series or one is too short for a fold.
+    """
+    short = monthly.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("phrase", "n").alias("phrase"), F.min("n").alias("n")).first()
+    if short["n"] is None:
+        raise BacktestError("no series to backtest")
+    if short["n"] < initial + test:
+        raise BacktestError(f"{short['phrase']} has {short['n']} months, a fold needs {initial + test}")
     rows = monthly.select("phrase", "period", F.col("queries").cast("double").alias("queries")).withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +235,7 @@ def ets_structure(monthly: DataFrame, sp: int = SEASON, criterion: str = "aic")
     return monthly.select("phrase", "period", F.col("queries").cast("double").alias("queries")).groupBy("phrase").applyInPandas(run, kind)
 
 
-def ic_grid(daily: DataFrame, windows: tuple[int, ...] = (14, 21, 28), sp: int = 7) -> DataFrame:
+def ic_grid(daily: DataFrame, windows: tuple[int, ...] = WEEKS, sp: int = 7) -> DataFrame:
     """phrase, days, seasonal, aic, aicc, loglik: the best seasonal and the best non-seasonal model of each suffix window."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -290,7 +302,7 @@ def chi2_tail(x: float, k: int) -> float:
     return h * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
-def weekly_verdict(daily: DataFrame, windows: tuple[int, ...] = (14, 21, 28), lag: int = 7, level: float = 0.05) -> DataFrame:
+def weekly_verdict(daily: DataFrame, windows: tuple[int, ...] = WEEKS, lag: int = 7, level: float = 0.05) -> DataFrame:
     """phrase, days, acf, q, p, weekly: whether a weekly period shows in each suffix window; short windows say no."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:

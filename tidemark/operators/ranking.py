@@ -99,13 +99,22 @@ def build_niches(clusters: DataFrame, ranked: DataFrame, records: DataFrame, top
         F.first("_k").alias("klass"),
         F.median(F.when(mine, F.col("rank_score"))).alias("score"),
         F.count(F.lit(1)).alias("n_phrases"),
-        F.floor(F.median(F.when(mine, F.col("age")))).cast("int").alias("age"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), 1, top), lambda x: x["phrase"]).alias("phrases"),
+        # of all growing members, whatever the niche's class
+        F.floor(F.median(F.when(F.col("klass") == "GROWING", F.coalesce("age", F.lit(1))))).cast("int").alias("age"),
     )
+    best = members.withColumn("_n", F.row_number().over(Window.partitionBy("topic").orderBy("rank"))).where(F.col("_n") <= top)
+    best = best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
+    agg = agg.join(best, "topic")
     share = clusters.join(records.select("phrase", "filtered_out"), "phrase").groupBy("topic").agg(F.avg(F.col("filtered_out").cast("double")).alias("filtered_share"))
     return agg.join(share, "topic", "left").withColumn("filtered_share", F.coalesce("filtered_share", F.lit(0.0)))
 
 
+def niche_order(niches: DataFrame) -> DataFrame:
+    """niches with place: by class order, then score from the largest, then topic; one row a topic."""
+    order = Window.orderBy(scores.class_order(F.col("klass")), F.desc("score"), "topic")
+    return niches.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
 def niche_series(clusters: DataFrame, monthly: DataFrame) -> DataFrame:
     """topic as phrase, period, queries: mean over the members that have the month."""
     return clusters.join(monthly, "phrase").groupBy(F.col("topic").alias("phrase"), "period").agg(F.avg(F.col("queries").cast("double")).alias("queries"))

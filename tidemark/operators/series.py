@@ -11,6 +11,10 @@ MIN_HISTORY, SCORE_WINDOW, SEASON = 24, 3, 12
 GROWTH_STEP = 1.5
 
 
+class BacktestError(ValueError):
+    """A backtest that cannot be run or summed up honestly: no series, one too short for a fold, no baseline."""
+
+
 def monthly_counts(rows: DataFrame, phrase, ts, before: str | None = None) -> DataFrame:
     """phrase, period, queries: rows per key and month, up to (not including) a day."""
     src = rows.select(phrase.alias("phrase"), ts.cast("date").alias("_d"))
@@ -92,7 +96,7 @@ def growth_score(monthly: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
 
 def growth_violations(monthly: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
     """phrase, check of the series that cannot be scored; the first failing guard, in the reference order."""
-    agg = monthly.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("queries").isNull()).alias("bad"))
+    agg = monthly.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("queries").isNull() | F.isnan(F.col("queries").cast("double"))).alias("bad"))
     scored = growth_score(monthly, window).select("phrase", F.lit(True).alias("ok"))
     check = (
         F.when(F.col("n") - SEASON < window, "window").when(F.col("n") < MIN_HISTORY, "history").when(F.col("bad") > 0, "null").otherwise("forecast")
@@ -155,9 +159,16 @@ def mase(folds: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def backtest_summary(table: DataFrame, baseline: str) -> DataFrame:
-    """model, mase_median, win_rate_vs_baseline, n_phrases over phrase, model, mase_median, n_folds."""
-    base = table.where(F.col("model") == baseline).select("phrase", F.col("mase_median").alias("_b"))
+    """model, mase_median, win_rate_vs_baseline, n_phrases over phrase, model, mase_median, n_folds.
+
+    Running it fails if the table is empty, or if a phrase has no row of the baseline: its share of wins is not defined.
+    """
+    if table.limit(1).count() == 0:
+        raise BacktestError("an empty backtest table")
+    base = table.where(F.col("model") == baseline).select("phrase", F.col("mase_median").alias("_b"), F.lit(1).alias("_p"))
     joined = table.join(base, "phrase", "left")
+    orphan = F.concat(F.lit(f"no row of {baseline} for "), F.col("phrase"))
+    joined = joined.withColumn("_b", F.when(F.col("_p").isNull(), F.raise_error(orphan).cast("double")).otherwise(F.col("_b"))).drop("_p")
     win = F.avg(F.when(F.col("mase_median") < F.col("_b"), 1.0).otherwise(0.0))
     return joined.groupBy("model").agg(F.median("mase_median").alias("mase_median"), win.alias("win_rate_vs_baseline"), F.count(F.lit(1)).alias("n_phrases"))
 

@@ -89,7 +89,7 @@ def cycle_agreement(monthly: DataFrame, sp: int = 12) -> DataFrame:
     return compare_profiles(d.where(F.col("rn") >= sp), d.where(F.col("rn") < sp))
 
 
-def simulated_flips(profiles: DataFrame, reps: int = 20, days: int = 28, noise: float = 0.1, seed: int = 32) -> DataFrame:
+def simulated_flips(profiles: DataFrame, reps: int = 100, days: int = 28, noise: float = 0.1, seed: int = 32) -> DataFrame:
     """phrase, kept, verdicts, reps: how often a weekly period is found with the profile kept and flattened.
 
     profiles: phrase, pos (weekday), value. Every repetition has its own seed, so tasks are independent.

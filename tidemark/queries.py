@@ -207,7 +207,7 @@ NICHE = f"""mem AS (SELECT cl.topic, rk.* FROM cl JOIN rk USING (phrase)),
 dom AS (SELECT topic, arg_max(klass, (n, -({ORDER}))) AS dk FROM (SELECT topic, klass, count(*) AS n FROM mem GROUP BY 1, 2) GROUP BY 1),
 shr AS (SELECT topic, avg(CAST(filtered_out AS DOUBLE)) AS filtered_share FROM cl JOIN rec15 USING (phrase) GROUP BY 1),
 ni AS (SELECT topic, min(dk) AS klass, median(rscore) FILTER (WHERE klass = dk) AS score, count(*) AS n_phrases,
-  CAST(floor(median(age) FILTER (WHERE klass = dk)) AS INT) AS age, list(phrase ORDER BY rank)[1:5] AS phrases FROM mem JOIN dom USING (topic) GROUP BY 1),
+  CAST(floor(median(coalesce(age, 1)) FILTER (WHERE klass = 'GROWING')) AS INT) AS age, list(phrase ORDER BY rank)[1:5] AS phrases FROM mem JOIN dom USING (topic) GROUP BY 1),
 nic AS (SELECT ni.*, coalesce(filtered_share, 0) AS filtered_share FROM ni LEFT JOIN shr USING (topic))"""
 _NICHE = _with(M15, C15, PROFILE, AMP, GROWTH, AGE, RECORDS, FLAGS, RANKED_F, NICHE)
 
@@ -224,6 +224,11 @@ def niche_build(spark, sf):
     return n.select("topic", "klass", r6("score"), "n_phrases", "age", F.array_join("phrases", ",").alias("phrases"), r6("filtered_share"))
 
 
+@query(_NICHE + f"SELECT topic, klass, row_number() OVER (ORDER BY {ORDER}, score DESC, topic) AS place FROM nic")
+def niche_order(spark, sf):
+    return ranking.niche_order(showcase.niches(phrases_monthly(spark, sf), clusters(spark, sf), filtered(spark, sf))).select("topic", "klass", "place")
+
+
 NSERIES = "m2 AS (SELECT topic AS phrase, period, avg(CAST(queries AS DOUBLE)) AS queries FROM cl JOIN m USING (phrase) GROUP BY 1, 2)"
 
 
@@ -551,12 +556,12 @@ def backtest_summary(spark, sf):
 
 @query()
 def backtest_models(spark, sf):
-    return forecast.backtest(orders_monthly(spark, sf), initial=60)
+    return forecast.backtest(orders_monthly(spark, sf), initial=48)
 
 
 @query()
 def theta(spark, sf):
-    return forecast.backtest(orders_monthly(spark, sf), ("theta",), initial=60)
+    return forecast.backtest(orders_monthly(spark, sf), ("theta",), initial=48)
 
 
 @query()
@@ -566,7 +571,7 @@ def auto_ets(spark, sf):
 
 @query()
 def auto_arima(spark, sf):
-    return forecast.backtest(orders_monthly(spark, sf), ("auto_arima",), initial=60)
+    return forecast.backtest(orders_monthly(spark, sf), ("auto_arima",), initial=48)
 
 
 @query()
@@ -669,7 +674,7 @@ def simulated_flips(spark, sf):
 
 @query()
 def kmeans_seed_agreement(spark, sf):
-    return text.multi_seed_kmeans(labelled_vectors(spark, sf).select("id", "embedding"), 5, (0, 1))
+    return text.multi_seed_kmeans(labelled_vectors(spark, sf).select("id", "embedding"), 5)
 
 
 @query(
@@ -682,7 +687,7 @@ def duplicate_phrases(spark, sf):
 
 @query()
 def results_block(spark, sf):
-    t = forecast.backtest_table(forecast.backtest(orders_monthly(spark, sf), ("naive", "theta"), initial=60))
+    t = forecast.backtest_table(forecast.backtest(orders_monthly(spark, sf), initial=48))
     return forecast.results_block(series.backtest_summary(t, "naive"))
 
 
@@ -785,7 +790,7 @@ def adjusted_rand(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return text.kmeans(labelled_vectors(spark, sf).select("id", "embedding"), 10, restarts=2)
+    return text.kmeans(labelled_vectors(spark, sf).select("id", "embedding"), 10)
 
 
 # Graph
@@ -810,9 +815,16 @@ def bfs_depth(spark, sf):
     return graph.bfs_depth(part_edges(spark, sf), spark.createDataFrame([("1",)], "phrase string"), 2)
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + EDGES.replace("ed AS (", "ed AS MATERIALIZED (")
+    + """, walk(n, phrase, depth, seen) AS (SELECT 1, '1', 0, [{'p': '1', 'd': 0}] UNION ALL
+SELECT n + 1, best.p, best.d, list_append(seen, best) FROM (SELECT n, seen, arg_min({'p': dst, 'd': d + 1}, (-frequency, dst, d)) AS best
+FROM (SELECT w.n, w.seen, unnest(w.seen).p AS src, unnest(w.seen).d AS d FROM walk w) JOIN ed USING (src) WHERE d < 2 AND NOT list_contains(list_transform(seen, lambda x: x.p), dst) GROUP BY n, seen) WHERE n < 1000)
+SELECT phrase, CAST(depth AS INT) AS depth FROM walk"""
+)
 def priority_traversal(spark, sf):
-    return graph.priority_traversal(part_edges(spark, sf), ["1"], graph.Limits(200, 2))
+    return graph.priority_traversal(part_edges(spark, sf).cache(), ["1"])
 
 
 @query(

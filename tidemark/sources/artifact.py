@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import niche_order
+
 SCHEMA, READABLE = "showcase/v3", ("showcase/v1", "showcase/v2", "showcase/v3")
 
 
@@ -18,7 +20,7 @@ def showcase_json(ranked: DataFrame, niches: DataFrame, sourcing: DataFrame, mon
     """One row, json: phrases with their series, niches and sourcing, all in display order."""
     points = monthly.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("period", "queries"))).alias("series"))
     p = ranked.join(points, "phrase").select(F.struct("rank", "phrase", "klass", F.round("score", 6).alias("ratio"), F.round("rank_score", 6).alias("score"), F.round("amplitude", 6).alias("amplitude"), "series").alias("x"))
-    n = niches.select(F.struct("topic", "klass", F.round("score", 6).alias("score"), "n_phrases", F.round("filtered_share", 6).alias("filtered_share"), "age", "phrases").alias("x"))
+    n = niche_order(niches).select(F.struct("place", "topic", "klass", F.round("score", 6).alias("score"), "n_phrases", F.round("filtered_share", 6).alias("filtered_share"), "age", "phrases").alias("x"))
     s = sourcing.select(F.struct("place", "topic", "klass", F.round("score", 6).alias("score"), "peak", "order_month", "on_time").alias("x"))
     one = lambda d, name: d.agg(F.array_sort(F.collect_list("x")).alias(name)).withColumn("_k", F.lit(1))
     doc = one(p, "phrases").join(one(n, "niches"), "_k").join(one(s, "sourcing"), "_k")
@@ -29,7 +31,11 @@ def save_showcase(doc: DataFrame, path: str) -> None:
     doc.select("json").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_showcase(spark: SparkSession, path: str) -> dict:
+def load_showcase(spark: SparkSession, path: str) -> dict | None:
+    """The document, None if there is none yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
     rows = spark.read.text(path, wholetext=True).collect()
     doc = json.loads("".join(r["value"] for r in rows)) if rows else {}
     if doc.get("schema") not in READABLE:
@@ -51,8 +57,11 @@ def save_state(spark: SparkSession, path: str, state, spent_day: str | None, spe
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps(doc, ensure_ascii=False, sort_keys=True).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    # a rename that overwrites: there is an old or a new state at any time
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    choices = spark.sparkContext._gateway.new_array(option, 1)
+    choices[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), choices)
 
 
 def load_state(spark: SparkSession, path: str):

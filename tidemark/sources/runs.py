@@ -24,7 +24,13 @@ class EmptyDatasetError(ValueError):
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """run_dir and manifest fields of every run below root; unreadable ones keep their _corrupt_record."""
+    """run_dir and manifest fields of every run below root; unreadable ones keep their _corrupt_record.
+
+    ManifestError if there is no manifest at all.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise ManifestError(f"no run folders at {root}")
     df = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(root, multiLine=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("run_dir"), "*")
 
@@ -41,8 +47,11 @@ def raw_monthly(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def load_monthly(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """source, period, queries, share_pct."""
-    return contract.parsed(raw_monthly(spark, paths))
+    """source, period, queries, share_pct; EmptyDatasetError if no row is there."""
+    rows = contract.parsed(raw_monthly(spark, paths))
+    if not rows.limit(1).count():
+        raise EmptyDatasetError(f"no rows in {paths}")
+    return rows
 
 
 def load_runs(spark: SparkSession, root: str, view: str = "dynamics") -> DataFrame:
@@ -71,14 +80,34 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
     from tidemark.operators.graph import clean_edges, latest_run
 
     found = latest_run(manifests(spark, root).where("phrase IS NOT NULL")).withColumn("file", export_file(F.col("exports"), "top_related"))
-    rows = found.where("file IS NOT NULL").select("phrase", F.concat_ws("/", "run_dir", "file").alias("path")).collect()  # one line for each run
-    out = spark.createDataFrame([], "src string, dst string, frequency bigint")
-    for r in rows:
-        df = spark.read.parquet(r["path"])
-        text = next(c for c in df.columns if c.startswith("Запросы со словами"))
-        count = next(c for c in df.columns if c.startswith("Число запросов"))
-        out = out.union(clean_edges(df.select(F.lit(r["phrase"]).alias("src"), F.col(f"`{text}`").alias("dst"), F.col(f"`{count}`").alias("frequency"))))
-    return out
+    found = found.where("file IS NOT NULL").select("phrase", F.concat_ws("/", "run_dir", "file").alias("path"))
+    files = found.select("path").distinct()
+    # columns are named after the phrase, so each file is read with its own schema, in the tasks that hold its bytes
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    # an export is a file, or a folder of files
+    raw = raw.select(F.explode(F.array("path", F.regexp_replace("path", r"/[^/]*\.parquet$", ""))).alias("path"), "content")
+    parts = files.join(raw, "path")
+    rows = parts.select("path", "content").mapInArrow(_related_rows, "path string, dst string, frequency string")
+    return clean_edges(rows.join(found, "path").select(F.col("phrase").alias("src"), "dst", "frequency"))
+
+
+#: How the two columns of a file of related phrases begin.
+RELATED, COUNTED = "Запросы со словами", "Число запросов"
+
+
+def _related_rows(batches):
+    """path and content of parquet files -> path, dst, frequency as text."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            table = pq.read_table(pa.BufferReader(content))
+            named = [next((c for c in table.column_names if c.startswith(x)), None) for x in (RELATED, COUNTED)]
+            if None in named:
+                raise ManifestError(f"{path}: no column that begins with {RELATED!r} or {COUNTED!r}")
+            dst, count = (table.column(c).combine_chunks().cast(pa.string()) for c in named)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(dst), pa.string()), dst, count], names=["path", "dst", "frequency"])
 
 
 def has_export(spark: SparkSession, root: str, view: str) -> DataFrame:
