@@ -240,7 +240,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Buckets of up to so many texts give all their pairs at once; in larger ones texts meet in cells of at most two
 #: times CELL texts.
 SMALL, CELL = 8, 1000
-#: Texts and shingles at most from which the order of shingles is made.
+#: Different texts, about, and shingles at most from which the order of shingles is made.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 #: Bits of the map of a text's shingles that bounds similarities in cells.
 MAP_BITS = 2048
@@ -262,7 +262,7 @@ def _common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     passages seldom stand in a prefix. Those in more than SMALL texts are also known to have large buckets.
     """
     n = keyed.count()
-    some = keyed.where(F.pmod("k1", F.lit(max(1, math.ceil(n / ORDER_TEXTS)))) == 0).limit(2 * ORDER_TEXTS).dropDuplicates(["k1", "k2"])
+    some = keyed.where(F.pmod("k1", F.lit(max(1, math.ceil(n / ORDER_TEXTS)))) == 0).dropDuplicates(["k1", "k2"]).repartition(64, "k1")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -299,7 +299,7 @@ def _profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataF
                 if key in seen:
                     made.append((None,) * 5)
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:
                     seen.add(key)
                 h = shingle_hashes(t.encode().split(), SHINGLE_WORDS)
                 grams = np.unique(h).view(np.int64)
