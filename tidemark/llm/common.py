@@ -17,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows that a function over batches works on at once.
+ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,13 +70,14 @@ def free(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]
 ) -> DataFrame:
-    """mapInArrow with state per task: make() is called once in each task and gives the batch function."""
+    """mapInArrow with state per task: make() is called once in each task and gives the batch function, which sees ROWS rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := step(batch.slice(at, ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
