@@ -46,7 +46,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # batches to Python workers of ROWS rows, so that whole texts take little memory beside the heap
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -29,6 +29,8 @@ from tidemark.llm.components import connected_components
 
 #: Variants held at once by a task, and bits by which a piece with more of them is split.
 PIECE, SPLIT = 500_000, 4
+#: Rows of a partition that is sorted by block or token, about.
+ROWS_EACH = 250_000
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -199,7 +201,9 @@ def ball_links(fps: DataFrame, radius: int = 2, n: int | None = None) -> DataFra
     For any two fingerprints at most 2*radius bits apart, both are linked to one third (or one to the
     other), whose distance to each is within 2*radius too.
     """
-    lead = address_bits(fps.count() if n is None else n)
+    n = fps.count() if n is None else n
+    lead = address_bits(n)
+    sent_each = sum(math.comb(lead, k) for k in range(radius + 1))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, fp in _by_whole_blocks(batches):
@@ -208,7 +212,7 @@ def ball_links(fps: DataFrame, radius: int = 2, n: int | None = None) -> DataFra
             yield from _links(near)
 
     sent = map_batches(fps.select("fp"), "block bigint, fp bigint", _send(lead, radius))
-    dealt = sent.repartition("block").sortWithinPartitions("block")
+    dealt = sent.repartition(max(32, math.ceil(n * sent_each / ROWS_EACH)), "block").sortWithinPartitions("block")
     return dealt.mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -568,7 +572,8 @@ def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shape = "large boolean, token bigint, id bigint, size bigint, left bigint"
     # a bucket known to be large needs no counting: its rows are not brought together here
     known = tokens.where("hot").select(F.lit(True).alias("large"), "token", "id", "size", "left")
-    dealt = tokens.where("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token")
+    many = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    dealt = tokens.where("NOT hot").drop("hot").repartition(max(32, math.ceil(many / ROWS_EACH)), "token").sortWithinPartitions("token")
     buckets = cut(dealt.mapInArrow(_open_buckets, shape).union(known), "near-buckets")
     small = buckets.where("NOT large").select(F.col("token").alias("a"), F.col("id").alias("b"))
     pairs = cut(_within_reach(met.union(small).distinct(), nodes), "near-pairs")
