@@ -246,8 +246,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SMALL, CELL = 8, 1000
 #: Different texts, about, and shingles at most from which the order of shingles is made.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
-#: Bits of the map of a text's shingles that bounds similarities in cells.
-MAP_BITS = 2048
+#: Bits of the maps of a text's shingles that bound similarities: of every text, and of those that meet in cells.
+MAP_BITS, CELL_BITS = 2048, 8192
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -259,6 +259,13 @@ def _distinct_hashes(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode().split(), SHINGLE_WORDS))
 
 
+def _map_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    """A map of so many bits, in longs, with a bit set for each shingle."""
+    on = np.zeros(bits, dtype=bool)
+    on[(grams.view(np.uint64) >> np.uint64(17)) % np.uint64(bits)] = True
+    return np.packbits(on).view(np.int64)
+
+
 def _common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (ascending) that several different texts of a bounded sample hold, and their counts there.
 
@@ -308,9 +315,7 @@ def _profiles(keyed: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataF
                 h = shingle_hashes(t.encode().split(), SHINGLE_WORDS)
                 grams = np.unique(h).view(np.int64)
                 first, place = _prefix(np.sort(grams), common, counts)
-                bits = np.zeros(MAP_BITS, dtype=bool)
-                bits[(grams.view(np.uint64) >> np.uint64(17)) % np.uint64(MAP_BITS)] = True
-                made.append((int(np.uint64(majority(h)).astype(np.int64)), len(grams), first, place > SMALL, np.packbits(bits).view(np.int64)))
+                made.append((int(np.uint64(majority(h)).astype(np.int64)), len(grams), first, place > SMALL, _map_of(grams, MAP_BITS)))
             types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, k1, k2, *zip(*made)), types)], names=["doc_id", "k1", "k2", "fp", "size", "prefix", "hot", "map"])
 
@@ -411,13 +416,13 @@ def _meet_cell(side, node, size, left, label, words, every) -> list[tuple[np.nda
         return []
     ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     likeness = np.zeros((len(one), len(two)), dtype=np.float32)
-    for k in range(0, len(one), 64):
-        i, j = one[k : k + 64][:, None], two[None, :]
+    for k in range(0, len(one), 16):
+        i, j = one[k : k + 16][:, None], two[None, :]
         both = np.bitwise_count(words[i[:, 0]][:, None, :] & words[two][None, :, :]).sum(axis=2, dtype=np.int64)
         # a bit of one map that the other lacks is a shingle that the other lacks
         most = np.minimum(size[i] - (ones[i] - both), size[j] - (ones[j] - both))
         fits = (label[i] != label[j]) & _can_reach(size[i], left[i], size[j], left[j]) & (most * (1 + SIMILARITY) >= SIMILARITY * (size[i] + size[j]) - 1e-6)
-        likeness[k : k + 64] = np.where(fits, both / np.maximum(1, ones[i] + ones[j] - both) + 1e-6, 0)
+        likeness[k : k + 16] = np.where(fits, both / np.maximum(1, ones[i] + ones[j] - both) + 1e-6, 0)
     if every:
         x, y = np.nonzero(likeness)
     elif side[one[0]] == 0:
@@ -460,17 +465,19 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _grams(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and grams (different shingle hashes) of the wanted texts (id, k1, k2), stored."""
+    """id, grams (different shingle hashes) and a map of them of the wanted texts (id, k1, k2), stored."""
     chosen = keyed.join(_few(wanted), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = columns(batch, "id", "text")
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_distinct_hashes(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["id", "grams"])
+            grams = [_distinct_hashes(t).view(np.int64) for t in texts]
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, longs), pa.array([_map_of(g, CELL_BITS) for g in grams], longs)], names=["id", "grams", "map"])
 
         return step
 
-    return cut(map_batches(chosen, "id bigint, grams array<bigint>", make), "near-grams")
+    return cut(map_batches(chosen, "id bigint, grams array<bigint>, map array<bigint>", make), "near-grams")
 
 
 def _within_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,14 +507,15 @@ def _by_size(large: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are SIMILARITY alike, stored."""
-    g = grams.select("id", "grams")
-    both = pairs.join(g.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(g.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
+    """The pairs whose shingle sets are SIMILARITY alike, stored; only sets of texts in a pair are moved."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    g = grams.select("id", "grams").join(_few(ids), "id", "left_semi")
+    both = g.withColumnsRenamed({"id": "a", "grams": "ga"}).join(_few(pairs), "a").join(g.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return cut(both.where(shared >= SIMILARITY * (F.size("ga") + F.size("gb") - shared) - 1e-9).select("a", "b"), "near-links")
 
 
-def _cells(large: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _cells(large: DataFrame, labels: DataFrame, grams: DataFrame) -> DataFrame:
     """Rows of large buckets that hold several labels, dealt into cells in which every two of different labels meet.
 
     The texts of a bucket's most frequent label meet only the others, so a bucket of one big group and few others is
@@ -518,7 +526,7 @@ def _cells(large: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     each = l.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     per = each.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).where("m.n < all")
     per = per.select("token", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / CELL).alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("others"))
-    l = l.join(per, "token").join(nodes.select("id", "map"), "id")
+    l = l.join(per, "token").join(grams.select("id", "map"), "id")
     is_main, part = F.col("label") == F.col("main"), F.xxhash64("id")
     zero = F.lit(0).cast("bigint")
     at = lambda kind, x, y, side: F.struct(F.xxhash64("token", F.lit(kind), x, y).alias("cell"), F.lit(side).cast("bigint").alias("side") if isinstance(side, int) else side.cast("bigint").alias("side"))
@@ -532,11 +540,11 @@ def _cells(large: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return l.select("c.cell", "c.side", "id", "size", "left", "label", "map")
 
 
-def _links_in_large(large: DataFrame, nodes: DataFrame, grams: DataFrame, links: DataFrame) -> DataFrame:
+def _links_in_large(large: DataFrame, grams: DataFrame, links: DataFrame) -> DataFrame:
     """links and those between texts of large buckets that are still in different groups: first by stars, then all that is left."""
     for every in (False, True):
         labels = connected_components(links)
-        cells = _cells(large, labels, nodes).repartition("cell").sortWithinPartitions("cell", "side", "id")
+        cells = _cells(large, labels, grams).repartition("cell").sortWithinPartitions("cell", "side", "id")
         pairs = cut(cells.mapInArrow(_cell_pairs(every), "a bigint, b bigint").distinct(), "near-pairs")
         if not pairs.limit(1).count():
             break
@@ -586,7 +594,7 @@ def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _alike(pairs, grams)
     drop(pairs)
     if large.limit(1).count():
-        links = _links_in_large(large, nodes, grams, links)
+        links = _links_in_large(large, grams, links)
     drop(grams)
     drop(large)
     free(docs.sparkSession)
