@@ -311,6 +311,11 @@ def test_silhouette_and_ari(spark):
         own = [j for j in range(10) if j // 5 == i // 5 and j != i]
         a, b = d[i, own].mean(), d[i, [j for j in range(10) if j // 5 != i // 5]].mean()
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-12
+    odd = v.union(spark.createDataFrame([(10, 7, [9.0, 9.0]), (11, 0, None), (12, None, [1.0, 1.0]), (None, 0, [0.0, 0.0])], v.schema))
+    odd = {r["id"]: r["s"] for r in text.silhouette(odd).collect()}
+    assert set(odd) == set(range(13)) and odd[10] == odd[11] == odd[12] == 0.0
+    assert all(abs(odd[i] - got[i]) < 1e-12 for i in range(10))
+    assert text.silhouette(v.limit(0)).count() == 0 and text.silhouette(v.where("id = 3")).first()["s"] == 0.0
     clusters, k, s = text.cluster_phrases(v.select("id", "embedding"), range(2, 4), restarts=2)
     assert k == 2 and s > 0.7
     pairs = v.join(clusters.withColumnRenamed("cluster", "b"), "id").select(F.col("cluster").alias("a"), "b")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = "[а-яёa-z]+(?:-[а-яёa-z]+)*"
 SEED, RESTARTS, TOP_LEMMAS, K_GRID = 42, 10, 3, range(2, 9)
+#: Silhouette: vectors of a block, blocks at least, and numbers held at once while two blocks meet.
+CELL_VECTORS, CELL_LEAST, CELL_FLOATS = 2048, 4, 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -67,20 +73,53 @@ def centroid_nearest(vectors: DataFrame, k: int = 3) -> DataFrame:
     return d.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k).select("cluster", "place", "id")
 
 
+def _cell_sums(shape: str):
+    """Two blocks of vectors -> id, cluster, other, total, n: summed distances of the left ones to each cluster of the right."""
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.rename(columns=lambda c: c.removeprefix("right_"))
+        left, right = (d[d["embedding"].notna()] for d in (left, right))
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        x, y = (np.stack(d["embedding"].to_numpy()).astype(float) for d in (left, right))
+        code, other = pd.factorize(right["cluster"], use_na_sentinel=False)
+        member = np.eye(len(other))[code]
+        total, n = np.empty((len(x), len(other))), np.empty((len(x), len(other)))
+        step = max(1, CELL_FLOATS // y.size)
+        for i in range(0, len(x), step):
+            here = slice(i, i + step)
+            d = np.sqrt(((x[here][:, None] - y[None]) ** 2).sum(-1))
+            counts = (left["id"].to_numpy()[here][:, None] != right["id"].to_numpy()[None]) & ~np.isnan(d)
+            total[here], n[here] = np.where(counts, d, 0.0) @ member, counts @ member
+        i, j = np.nonzero(n)
+        columns = (left["id"].to_numpy()[i], left["cluster"].to_numpy()[i], np.asarray(other)[j], total[i, j], n[i, j].astype(np.int64))
+        return pd.DataFrame(dict(zip(names, columns)))
+
+    return run
+
+
 def silhouette(vectors: DataFrame) -> DataFrame:
     """id, cluster, s: Euclidean silhouette of each vector, exact, by sums of distances to each cluster.
 
-    Every vector meets every other by the measure's definition. Both sides are cut into blocks of ids
-    that meet by key, so no task holds more than a block by a block.
+    Every vector meets every other by the measure's definition. Both sides are dealt into blocks by count, pairs
+    of blocks meet by key, and each pair gives one partial sum for a vector and a cluster, so no task holds more than
+    two blocks and no pair of vectors is ever a row. Vectors have one length; a null embedding is left out of all means
+    and has s = 0, as has a vector alone in its cluster or in the only cluster. Rows without an id are left out.
     """
-    blocks = 16
-    side = lambda p: vectors.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "cluster", "embedding")], F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{p}b"))
-    left = side("a_").withColumn("b_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = left.join(side("b_"), "b_b").where("a_id <> b_id")
-    sums = pairs.groupBy("a_id", "a_cluster", "b_cluster").agg(F.avg(_distance(F.col("a_embedding"), F.col("b_embedding"))).alias("d"))
-    own = F.max(F.when(F.col("a_cluster") == F.col("b_cluster"), F.col("d")))
-    other = F.min(F.when(F.col("a_cluster") != F.col("b_cluster"), F.col("d")))
-    s = sums.groupBy(F.col("a_id").alias("id"), F.col("a_cluster").alias("cluster")).agg(own.alias("a"), other.alias("b"))
+    v = vectors.where("id IS NOT NULL").select("id", "cluster", "embedding")
+    blocks = max(CELL_LEAST, math.ceil(v.count() / CELL_VECTORS))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    left = v.withColumn("p", part).withColumn("q", F.explode(every))
+    right = v.select(*[F.col(c).alias(f"right_{c}") for c in v.columns], part.alias("right_q")).withColumn("right_p", F.explode(every))
+    kinds = {f.name: f.dataType.simpleString() for f in v.schema}
+    shape = f"id {kinds['id']}, cluster {kinds['cluster']}, other {kinds['cluster']}, total double, n bigint"
+    sums = left.groupBy("p", "q").cogroup(right.groupBy("right_p", "right_q")).applyInPandas(_cell_sums(shape), shape)
+    means = sums.groupBy("id", "cluster", "other").agg((F.sum("total") / F.sum("n")).alias("d"))
+    own = F.max(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("a")
+    near = F.min(F.when(F.col("cluster") != F.col("other"), F.col("d"))).alias("b")
+    s = v.select("id", "cluster", F.lit(None).cast(kinds["cluster"]).alias("other"), F.lit(None).cast("double").alias("d")).union(means).groupBy("id", "cluster").agg(own, near)
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return s.select("id", "cluster", value.alias("s"))
 
@@ -113,7 +152,7 @@ def kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEE
     return best.transform(data).select("id", F.col("prediction").alias("cluster"))
 
 
-def cluster_phrases(vectors: DataFrame, k_grid=K_GRID, restarts: int = 3) -> tuple[DataFrame, int, float | None]:
+def cluster_phrases(vectors: DataFrame, k_grid=K_GRID, restarts: int = RESTARTS) -> tuple[DataFrame, int, float | None]:
     """Clusters, their number and mean silhouette: the smallest k that no other beats; None for fewer than three."""
     n = vectors.count()
     best = None
