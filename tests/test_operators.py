@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_golden import MID, frame, months, values
+from tidemark.functions import display
 from tidemark.operators import breaks, contract, forecast, graph, series, short_term, stitch, text
 from tidemark.sources import artifact, runs
 from tidemark.streaming import signals
@@ -364,3 +365,30 @@ def test_empty_inputs(spark):
     assert series.growth_score(m).count() == 0 and series.month_continuity(m).count() == 0 and breaks.classify_breaks(m).count() == 0
     d = daily(spark, [1.0]).limit(0)
     assert short_term.detect_spikes(d).count() == 0
+
+
+def test_status_escape_and_deltas(spark):
+    none = spark.createDataFrame([], "phrase string, at int, error string")
+    assert tuple(runs.run_status(none).first()) == (0, 0, None)
+    some = spark.createDataFrame([("a", 1, "x"), ("b", 3, None), ("c", 2, "y"), ("b", 2, "z")], none.schema)
+    assert tuple(runs.run_status(some).first()) == (1, 3, "y")
+    texts = spark.createDataFrame([("a & <b>",), ("{{{x}}",), (None,)], "t string")
+    assert [r[0] for r in texts.select(display.escape_data(F.col("t"))).collect()] == ["a &amp; &lt;b&gt;", "{ {{x}}", None]
+    grid = spark.createDataFrame([("p", 14, True, 1.0, 2.0, 5.0, 9), ("p", 14, False, 4.0, 3.0, 2.0, 3), ("p", 21, False, 1.0, 1.0, 1.0, 1)], "phrase string, days int, seasonal boolean, aic double, aicc double, loglik double, k int")
+    got = {r["days"]: tuple(r)[2:] for r in forecast.ic_deltas(grid).collect()}
+    assert got == {14: (3.0, 6, -3.0, -1.0), 21: (None,) * 4}
+
+
+def test_ets_season_by_month(spark):
+    qs = [100 + 50 * (m.month == 12) + i % 3 for i, m in enumerate(months(dt.date(2019, 8, 1), 60))]
+    rows = [("s", p, q) for p, q in zip(months(dt.date(2019, 8, 1), 60), qs)]
+    got = forecast.ets_structure(spark.createDataFrame(rows, "phrase string, period date, queries bigint")).first()
+    assert len(got["by_month"]) == 12 and int(np.argmax(got["by_month"])) == 11 and sorted(got["by_month"]) == sorted(got["seasonal"])
+
+
+def test_share_and_chart_points(spark):
+    got = spark.range(1).select(
+        display.format_share(F.lit(0.1234)).alias("ru"), display.format_share(F.lit(0.5), "zh").alias("zh"), display.chart_points(F.array(*map(F.lit, (0.0, 5.0, 10.0)))).alias("p"), display.chart_points(F.array(F.lit(0.0))).alias("one")
+    ).first()
+    assert got["ru"] == "0,1234\u202f%" and got["zh"] == "0.5000%"
+    assert [tuple(x) for x in got["p"]] == [(0.0, 100.0), (50.0, 50.0), (100.0, 0.0)] and [tuple(x) for x in got["one"]] == [(0.0, 100.0)]

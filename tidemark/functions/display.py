@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import MONTHS
 
+#: Characters that HTML reserves (the ampersand first), and the opening braces of templates.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("{{", "{ {"))
 THIN = "\u202f"
 #: Month names by case, and explanation templates by class.
 PREPOSITIONAL = ("январе", "феврале", "марте", "апреле", "мае", "июне", "июле", "августе", "сентябре", "октябре", "ноябре", "декабре")
@@ -79,6 +81,14 @@ def display_phrase(phrase: Column, translation: Column, locale: str = "ru") -> C
     return F.when(translation.isNotNull(), F.concat(translation, F.lit("（"), phrase, F.lit("）"))).otherwise(phrase)
 
 
+def escape_data(value: Column) -> Column:
+    """Text that is safe inside HTML and holds no opening template braces."""
+    out = value.cast("string")
+    for mark, shown in ESCAPES:
+        out = F.replace(out, F.lit(mark), F.lit(shown))
+    return out
+
+
 def explain(klass: Column, score: Column, age: Column, locale: str = "ru") -> Column:
     """Why a phrase is listed: the class's template with ratio and months filled in."""
     template = F.try_element_at(F.create_map(*[F.lit(x) for p in EXPLAIN[locale].items() for x in p]), klass)

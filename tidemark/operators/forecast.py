@@ -218,7 +218,11 @@ def backtest_table(folds: DataFrame) -> DataFrame:
 
 
 def ets_structure(monthly: DataFrame, sp: int = SEASON, criterion: str = "aic") -> DataFrame:
-    """phrase, spec, aic, aicc, level, trend, seasonal: the ETS model chosen on the whole series."""
+    """phrase, spec, aic, aicc, level, trend, seasonal, by_month: the ETS model chosen on the whole series.
+
+    by_month holds the last season's states from January on: the season that starts with the first point of the series,
+    turned by that point's month. Without a season it is all zeros.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("period")
@@ -226,17 +230,18 @@ def ets_structure(monthly: DataFrame, sp: int = SEASON, criterion: str = "aic")
         try:
             f = auto_ets(g["queries"].to_numpy(float), sp, criterion)
         except ValueError:
-            return pd.DataFrame([(phrase, None, None, None, None, None, None)], columns=cols)
+            return pd.DataFrame([(phrase, *[None] * 7)], columns=cols)
         seasonal = [float(x) for x in f["state"][2]] if f["spec"][3] != "N" else None
-        return pd.DataFrame([(phrase, ets_name(f["spec"]), f["aic"], f["aicc"], float(f["state"][0]), float(f["state"][1]), seasonal)], columns=cols)
+        by_month = np.roll(seasonal or [0.0] * sp, g["month"].iloc[0] - 1).tolist()
+        return pd.DataFrame([(phrase, ets_name(f["spec"]), f["aic"], f["aicc"], float(f["state"][0]), float(f["state"][1]), seasonal, by_month)], columns=cols)
 
-    cols = ["phrase", "spec", "aic", "aicc", "level", "trend", "seasonal"]
-    kind = "phrase string, spec string, aic double, aicc double, level double, trend double, seasonal array<double>"
-    return monthly.select("phrase", "period", F.col("queries").cast("double").alias("queries")).groupBy("phrase").applyInPandas(run, kind)
+    cols = ["phrase", "spec", "aic", "aicc", "level", "trend", "seasonal", "by_month"]
+    kind = "phrase string, spec string, aic double, aicc double, level double, trend double, seasonal array<double>, by_month array<double>"
+    return monthly.select("phrase", "period", F.month("period").alias("month"), F.col("queries").cast("double").alias("queries")).groupBy("phrase").applyInPandas(run, kind)
 
 
 def ic_grid(daily: DataFrame, windows: tuple[int, ...] = WEEKS, sp: int = 7) -> DataFrame:
-    """phrase, days, seasonal, aic, aicc, loglik: the best seasonal and the best non-seasonal model of each suffix window."""
+    """phrase, days, seasonal, aic, aicc, loglik, k (parameters): the best seasonal and the best non-seasonal model of each suffix window."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         y = g.sort_values("day")["count"].to_numpy(float)
@@ -247,10 +252,20 @@ def ic_grid(daily: DataFrame, windows: tuple[int, ...] = WEEKS, sp: int = 7) ->
                 fits = [f for f in (fit_ets(part, s, sp) for s in ETS_SPECS if (s[3] != "N") == seasonal) if f is not None] if len(y) >= days else []
                 if fits:
                     b = min(fits, key=lambda f: f["aic"])
-                    out.append((g["phrase"].iloc[0], days, seasonal, b["aic"], b["aicc"], b["loglik"]))
-        return pd.DataFrame(out, columns=["phrase", "days", "seasonal", "aic", "aicc", "loglik"])
+                    out.append((g["phrase"].iloc[0], days, seasonal, b["aic"], b["aicc"], b["loglik"], b["k"]))
+        return pd.DataFrame(out, columns=["phrase", "days", "seasonal", "aic", "aicc", "loglik", "k"])
+
+    return daily.groupBy("phrase").applyInPandas(run, "phrase string, days int, seasonal boolean, aic double, aicc double, loglik double, k int")
 
-    return daily.groupBy("phrase").applyInPandas(run, "phrase string, days int, seasonal boolean, aic double, aicc double, loglik double")
+
+def ic_deltas(grid: DataFrame) -> DataFrame:
+    """phrase, days, d_loglik, d_k, d_aic, d_aicc: the seasonal model's values less the non-seasonal one's, from ic_grid().
+
+    NULL where one of the two is missing. A negative d_aic speaks for a season.
+    """
+    at = lambda c, seasonal: F.max(F.when(F.col("seasonal") == seasonal, F.col(c)))
+    names = ("loglik", "k", "aic", "aicc")
+    return grid.groupBy("phrase", "days").agg(*[(at(c, True) - at(c, False)).alias(f"d_{c}") for c in names])
 
 
 def stability(monthly: DataFrame, drops: tuple[int, ...] = (3, 6), sp: int = SEASON) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar, display, scores
 from tidemark.operators import breaks, contract, forecast, graph, ranking, series, short_term, stitch, text, vectors
 from tidemark.plans import showcase
+from tidemark.sources import runs
 from tidemark.sources.artifact import translate
 from tidemark.streaming import signals
 
@@ -584,11 +585,26 @@ def ic_grid(spark, sf):
     return forecast.ic_grid(events_daily(spark, sf))
 
 
+@query()
+def ic_deltas(spark, sf):
+    return forecast.ic_deltas(forecast.ic_grid(events_daily(spark, sf)))
+
+
 @query()
 def weekly_verdict(spark, sf):
     return forecast.weekly_verdict(events_daily(spark, sf))
 
 
+@query(_with(M) + "SELECT phrase, period, queries FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY period DESC) AS rn FROM m) WHERE rn > 6")
+def tail_drop(spark, sf):
+    return series.truncate_tail(orders_monthly(spark, sf), 6).select("phrase", "period", "queries")
+
+
+@query(_with(D) + "SELECT phrase, day, count FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY day DESC) AS rn FROM d) WHERE rn <= 14")
+def suffix_window(spark, sf):
+    return series.suffix_days(events_daily(spark, sf), 14).select("phrase", "day", F.col("count").cast("double").alias("count"))
+
+
 # Vectors and similarity
 
 VEC = """vc AS (SELECT phrase, month AS pos, mean AS value FROM prof), pr AS (SELECT a.phrase AS a, b.phrase AS b, corr(a.value, b.value) AS similarity FROM vc a JOIN vc b ON a.pos = b.pos AND a.phrase < b.phrase GROUP BY 1, 2)"""
@@ -894,3 +910,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly series, growth against forecast, class and rank, in display order."""
     return rank_showcase(spark, sf_dir).orderBy("rank")
 
+
+@query("""SELECT n_name AS phrase, '&lt;b&gt;' || n_name || ' &amp;&quot;&#x27;{ {' || n_name || '}}' AS shown FROM nation""")
+def escape_data(spark, sf):
+    n = F.col("n_name")
+    return _table(spark, sf, "nation").select(n.alias("phrase"), display.escape_data(F.concat(F.lit("<b>"), n, F.lit(" &\"'{{"), n, F.lit("}}"))).alias("shown"))
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE o_orderstatus <> 'F') AS collected, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed,
+arg_max(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS last_error FROM orders"""
+)
+def run_status(spark, sf):
+    failed = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    return runs.run_status(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("phrase"), F.col("o_orderdate").alias("at"), failed.alias("error")))

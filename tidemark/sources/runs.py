@@ -121,6 +121,16 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
     return t.where((F.col("phrase") != "") & ~F.col("phrase").startswith("#"))
 
 
+def run_status(outcomes: DataFrame) -> DataFrame:
+    """collected, failed, last_error over outcomes (phrase, at, error): one row, zeros and NULL if there are none.
+
+    The last error is that of the latest failure, ties by phrase.
+    """
+    failed = F.col("error").isNotNull()
+    last = F.max_by("error", F.when(failed, F.struct("at", "phrase")))
+    return outcomes.agg(F.count_if(~failed).alias("collected"), F.count_if(failed).alias("failed"), last.alias("last_error"))
+
+
 def dataset_digest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, size, sha256 of files."""
     f = spark.read.format("binaryFile").load(paths)
