@@ -392,3 +392,60 @@ def test_share_and_chart_points(spark):
     ).first()
     assert got["ru"] == "0,1234\u202f%" and got["zh"] == "0.5000%"
     assert [tuple(x) for x in got["p"]] == [(0.0, 100.0), (50.0, 50.0), (100.0, 0.0)] and [tuple(x) for x in got["one"]] == [(0.0, 100.0)]
+
+
+def plain_ets(y, spec, sp, p, state):
+    """Errors, means and last state of one candidate, point by point."""
+    (e, t, _, s), (alpha, beta, gamma, phi) = spec, p
+    level, trend, season = state[0], state[1], list(state[2:])
+    errors, means = [], []
+    for i, v in enumerate(y):
+        base, c = level + (phi * trend if t == "A" else 0), season[i % sp]
+        mu = {"N": base, "A": base + c, "M": base * c}[s]
+        err = v - mu
+        level = base + alpha * err / (c if s == "M" else 1)
+        if t == "A":
+            trend = phi * trend + beta * err / (c if s == "M" else 1)
+        if s != "N":
+            season[i % sp] = c + gamma * err / (base if s == "M" else 1)
+        errors.append(err / mu if e == "M" else err)
+        means.append(mu)
+    return np.array(errors), np.array(means), np.array([level, trend, *season])
+
+
+def test_ets_pass_equals_the_recursion():
+    rng = np.random.default_rng(3)
+    y = rng.uniform(50, 100, 30)
+    for spec in forecast.ETS_SPECS:
+        smooth = np.column_stack([rng.uniform(0.1, 0.9, (4, 3)) * [1, 0.2, 0.2], rng.uniform(0.8, 0.98, 4)])
+        state = np.column_stack([rng.uniform(60, 90, 4), rng.normal(0, 1, 4), rng.uniform(0.8, 1.2, (4, 6))])
+        got = forecast._ets_pass(y, spec, 6, smooth, state)
+        for i in range(4):
+            for a, b in zip(got, plain_ets(y, spec, 6, smooth[i], state[i])):
+                assert np.allclose(a[i], b), spec
+
+
+def test_ets_finds_the_weights_of_its_own_series():
+    """Series drawn from each kind of model: the likelihood found is not below that of the values they were drawn with."""
+    rng = np.random.default_rng(7)
+    for spec in forecast.ETS_SPECS:
+        e, t, _, s = spec
+        p = (0.4, 0.05 if t == "A" else 0.0, 0.1 if s != "N" else 0.0, 0.95 if spec[2] else 1.0)
+        season = np.array([1.2, 0.9, 1.1, 0.8]) if s == "M" else np.array([20.0, -10, 5, -15]) if s == "A" else np.zeros(4)
+        state = np.r_[200.0, 1.0 if t == "A" else 0.0, season]
+        noise, y = rng.normal(0, 0.02, 80), []
+        for i in range(80):  # each point is the mean that follows from those before, and noise
+            mu = plain_ets([*y, 1.0], spec, 4, p, state)[1][-1]
+            y.append(mu * (1 + noise[i]) if e == "M" else mu + 200 * noise[i])
+        y = np.array(y)
+        errors, means, _ = plain_ets(y, spec, 4, p, state)
+        drawn = -40 * np.log((errors**2).mean()) - (np.log(np.abs(means)).sum() if e == "M" else 0)
+        fit = forecast.fit_ets(y, spec, 4)
+        assert fit is not None and fit["loglik"] >= drawn, spec
+
+
+def test_ets_odd_series():
+    assert forecast.fit_ets(np.arange(20.0), ("A", "N", False, "A")) is None  # less than two seasons
+    assert forecast.fit_ets(np.r_[0.0, np.arange(30.0)], ("M", "N", False, "N")) is None  # not positive
+    flat = forecast.auto_ets(np.full(40, 7.0))
+    assert np.allclose(forecast.ets_forecast(flat, 12), 7)

@@ -21,21 +21,8 @@ def naive(y: np.ndarray, h: int, sp: int = SEASON) -> np.ndarray:
     return np.array([y[len(y) - sp + i % sp] for i in range(h)])
 
 
-def _ses(y: np.ndarray) -> tuple[float, float]:
-    """Best smoothing weight on a grid and the last level."""
-    best = (np.inf, 0.5, y[-1])
-    for a in np.linspace(0.01, 0.99, 50):
-        level, sse = y[0], 0.0
-        for v in y[1:]:
-            sse += (v - level) ** 2
-            level += a * (v - level)
-        if sse < best[0]:
-            best = (sse, a, level)
-    return best[1], best[2]
-
-
 def theta(y: np.ndarray, h: int, sp: int = SEASON) -> np.ndarray:
-    """Standard theta: multiplicative deseasonalisation, SES plus half the trend's slope as drift."""
+    """Standard theta: multiplicative deseasonalisation, SES with an estimated first level, half the trend's slope as drift."""
     n = len(y)
     season = np.ones(sp)
     if n >= 2 * sp and (y > 0).all():
@@ -48,7 +35,8 @@ def theta(y: np.ndarray, h: int, sp: int = SEASON) -> np.ndarray:
         season /= season.mean()
     x = y / season[np.arange(n) % sp]
     slope = np.polyfit(np.arange(n), x, 1)[0]
-    a, level = _ses(x)
+    ses = fit_ets(x, SES, sp)
+    a, level = ses["p"][0], ses["state"][0]
     steps = np.arange(h)
     drift = slope / 2 * (steps + (1 - (1 - a) ** n) / a)
     return (level + drift) * season[(n + steps) % sp]
@@ -61,75 +49,138 @@ ETS_SPECS = [
 ]
 
 
-def _ets_run(y, spec, sp, p, state):
-    """One pass of the state recursion: errors, one-step means, last state."""
-    e, t, damped, s = spec
-    alpha, beta, gamma, phi = p
-    level, trend, season = state[0], state[1], list(state[2])
-    errors, means = np.empty(len(y)), np.empty(len(y))
+#: Simple exponential smoothing as a specification.
+SES = ("A", "N", False, "N")
+#: Bounds of the weight, of the trend's and the season's weight as shares of what the first leaves them, and of damping.
+LOW, HIGH = np.array([1e-4, 1e-4, 1e-4, 0.8]), np.array([0.9999, 0.9999, 0.9999, 0.98])
+#: Steps of a fit; one that still gains more than SETTLED a step then has not converged.
+STEPS, SETTLED = 60, 1e-3
+
+
+def _ets_pass(y, spec, sp, smooth, state):
+    """The state recursion of many candidates (rows) at once: errors, one-step means, last states.
+
+    smooth has the columns alpha, beta, gamma, phi; state has level, trend and the season from the first point on.
+    """
+    e, t, _, s = spec
+    alpha, beta, gamma, phi = smooth.T
+    level, trend, season = state[:, 0].copy(), state[:, 1].copy(), state[:, 2:].T.copy()
+    errors, means = np.empty((len(y), len(state))), np.empty((len(y), len(state)))
     for i, v in enumerate(y):
-        base = level + (phi * trend if t == "A" else 0.0)
-        c = season[i % sp] if s != "N" else 0.0
+        base = level + phi * trend if t == "A" else level
+        c = season[i % sp]
         mu = base + c if s == "A" else base * c if s == "M" else base
         err = v - mu
-        means[i], errors[i] = mu, err / mu if e == "M" and mu else err
-        scaled = err / c if s == "M" and c else err
+        means[i], errors[i] = mu, err
+        scaled = err / c if s == "M" else err
         level = base + alpha * scaled
         if t == "A":
             trend = phi * trend + beta * scaled
-        if s == "A":
-            season[i % sp] = c + gamma * err
-        elif s == "M":
-            season[i % sp] = c + gamma * (err / base if base else 0.0)
-    return errors, means, (level, trend, season)
+        if s != "N":
+            season[i % sp] = c + gamma * (err if s == "A" else err / base)
+    if e == "M":
+        errors = errors / means
+    return errors.T, means.T, np.column_stack([level, trend, season.T])
+
+
+def _first_states(y, spec, sp):
+    """Level, trend and season to begin a search with: means of the first seasons."""
+    _, t, _, s = spec
+    n = len(y)
+    level = y[: sp if s != "N" else min(n, 10)].mean()
+    trend = (y[sp : 2 * sp].mean() - y[:sp].mean()) / sp if n >= 2 * sp and t == "A" else 0.0
+    if s == "N":
+        return level, trend, np.zeros(sp)
+    table = y[: n // sp * sp].reshape(-1, sp)
+    mean = table.mean(1, keepdims=True)
+    season = (table - mean).mean(0) if s == "A" else (table / mean).mean(0)
+    return level, trend, season
 
 
 def fit_ets(y: np.ndarray, spec, sp: int = SEASON) -> dict | None:
-    """Parameters by a coarse-to-fine search, heuristic start states; None if invalid."""
+    """Weights and first states of greatest likelihood; None if the model does not apply, fit or converge.
+
+    With errors scaled by the geometric mean of the one-step means (multiplicative errors) the likelihood is a sum of
+    squares: damped Gauss-Newton steps, their derivatives and trial steps each one pass over all candidates, from
+    the two best points of a grid. The season's last state follows from the others (sum 0, or mean 1); k counts
+    it all the same, and the variance of the errors.
+    """
     e, t, damped, s = spec
     n = len(y)
     if s != "N" and n < 2 * sp or (e == "M" or s == "M") and (y <= 0).any():
         return None
-    first = y[:sp].mean() if s != "N" else y[: min(n, 10)].mean()
-    season = list(y[:sp] - first) if s == "A" else list(y[:sp] / first) if s == "M" else [0.0] * sp
-    if s != "N":
-        table = y[: n // sp * sp].reshape(-1, sp)
-        mean = table.mean(1, keepdims=True)
-        season = list((table - mean).mean(0) if s == "A" else (table / mean).mean(0))
-    trend = (y[sp : 2 * sp].mean() - y[:sp].mean()) / sp if n >= 2 * sp and t == "A" else 0.0
-    state = (first, trend, season)
-
-    def loss(p):
-        errors, means, _ = _ets_run(y, spec, sp, p, state)
-        if not np.isfinite(errors).all() or (e == "M" and (means <= 0).any()):
-            return np.inf
-        sse = float((errors**2).sum())
-        return n * math.log(max(sse, 1e-300) / n) + (2 * float(np.log(np.abs(means)).sum()) if e == "M" else 0.0)
-
-    grid = itertools.product((0.05, 0.3, 0.7), (0.01, 0.1) if t == "A" else (0.0,), (0.01, 0.1, 0.3) if s != "N" else (0.0,), (0.9, 0.97) if damped else (1.0,))
-    best = min(((loss(p), p) for p in grid), key=lambda x: x[0])
-    step = np.array([0.15, 0.05, 0.1, 0.03])
-    free = np.array([True, t == "A", s != "N", damped])
-    low, high = np.array([1e-4, 1e-4, 1e-4, 0.8]), np.array([0.999, 0.5, 0.9, 0.98])
-    for _ in range(12):
-        moved = False
-        for k in np.nonzero(free)[0]:
-            for sign in (1, -1):
-                p = np.array(best[1], dtype=float)
-                p[k] = np.clip(p[k] + sign * step[k], low[k], high[k])
-                v = loss(tuple(p))
-                if v < best[0] - 1e-9:
-                    best, moved = (v, tuple(p)), True
-        if not moved:
-            step = step / 2
-    if not np.isfinite(best[0]):
+    unit = float(np.abs(y).mean()) or 1.0
+    level, trend, season = _first_states(y, spec, sp)
+    used = np.array([True, t == "A", s != "N", damped])
+    weights, n_season = int(used.sum()), sp - 1 if s != "N" else 0
+    low = np.r_[LOW[used], np.full(1 + (t == "A") + n_season, -np.inf)]
+    high = np.r_[HIGH[used], np.full(1 + (t == "A") + n_season, np.inf)]
+
+    def spread(x):
+        """Rows of free values to weights and first states."""
+        w = np.tile([0.0, 0.0, 0.0, 1.0], (len(x), 1))
+        w[:, used] = x[:, :weights]
+        smooth = np.column_stack([w[:, 0], w[:, 1] * w[:, 0], w[:, 2] * (1 - w[:, 0]), w[:, 3]])
+        state = np.zeros((len(x), 2 + sp))
+        state[:, 0] = x[:, weights] * unit
+        if t == "A":
+            state[:, 1] = x[:, weights + 1] * unit
+        if s != "N":
+            free = x[:, x.shape[1] - n_season :] * (unit if s == "A" else 1.0)
+            state[:, 2:] = np.column_stack([free, (0.0 if s == "A" else sp) - free.sum(1)])
+        return smooth, state
+
+    def residuals(x):
+        """Scaled errors of rows of free values, and n times the logarithm of their mean square; inf where invalid."""
+        with np.errstate(all="ignore"):
+            errors, means, _ = _ets_pass(y, spec, sp, *spread(x))
+            if e == "M":
+                errors = np.where((means > 0).all(1, keepdims=True), errors * np.exp(np.log(np.abs(means)).mean(1, keepdims=True)), np.inf)
+            square = (errors**2).sum(1)
+            return errors, np.where(np.isfinite(square), n * np.log(np.maximum(square, 1e-300) / n), np.inf)
+
+    def settle(x, r, f):
+        damping = 1e-2
+        for _ in range(STEPS):
+            h = 1e-6 * np.maximum(1.0, np.abs(x)) * np.where(x >= high - 1e-5, -1, 1)
+            moved, _ = residuals(x + np.diag(h))
+            with np.errstate(all="ignore"):
+                jac = (moved - r) / h[:, None]
+            jac[~np.isfinite(jac).all(1)] = 0
+            slope = jac @ r
+            jac[(x <= low) & (slope > 0) | (x >= high) & (slope < 0)] = 0  # held at its bound
+            gram = jac @ jac.T
+            scale = np.diag(np.maximum(np.diag(gram), 1e-12 * max(np.diag(gram).max(), 1e-300)))
+            tries = damping * 10.0 ** np.arange(-2, 5)
+            trial = np.clip([x - np.linalg.lstsq(gram + d * scale, jac @ r, rcond=None)[0] for d in tries], low, high)
+            rows, values = residuals(trial)
+            k = int(np.argmin(values))
+            gain = f - values[k]
+            if gain > 0:
+                x, r, f, damping = trial[k], rows[k], values[k], min(max(tries[k], 1e-9), 1e6)
+            if gain <= 1e-7:
+                return x, r, f, True
+        return x, r, f, gain <= SETTLED
+
+    grid = list(itertools.product((0.05, 0.3, 0.7), (0.05, 0.3) if t == "A" else (0.0,), (0.02, 0.1, 0.4) if s != "N" else (0.0,), (0.9, 0.97) if damped else (1.0,)))
+    first = np.r_[level / unit, [trend / unit] * (t == "A"), season[: n_season] / (unit if s == "A" else 1.0)]
+    starts = np.array([np.r_[np.array(p)[used], first] for p in grid])
+    rows, values = residuals(starts)
+    ends = [settle(starts[k], rows[k], values[k]) for k in np.argsort(values, kind="stable")[:2] if np.isfinite(values[k])]
+    ends = [end for end in ends if end[3]]
+    if not ends:
         return None
-    k = int(free.sum()) + 1 + (t == "A") + (sp - 1 if s != "N" else 0) + 1
-    _, _, last = _ets_run(y, spec, sp, best[1], state)
-    if s == "M" and (np.array(last[2]) <= 0).any():
+    x, _, f, _ = min(ends, key=lambda end: end[2])
+    smooth, state = spread(x[None])
+    last = _ets_pass(y, spec, sp, smooth, state)[2][0]
+    if not np.isfinite(last).all() or s == "M" and (last[2:] <= 0).any():
         return None
-    aic = best[0] + 2 * k
-    return {"spec": spec, "aic": aic, "aicc": aic + 2 * k * (k + 1) / max(1, n - k - 1), "p": best[1], "state": last, "n": n, "loglik": -best[0] / 2, "k": k}
+    k = weights + 1 + (t == "A") + (sp if s != "N" else 0) + 1
+    aic = float(f) + 2 * k
+    return {
+        "spec": spec, "aic": aic, "aicc": aic + 2 * k * (k + 1) / max(1, n - k - 1), "p": tuple(smooth[0].tolist()),
+        "state": (float(last[0]), float(last[1]), last[2:].tolist()), "n": n, "loglik": -float(f) / 2, "k": k,
+    }
 
 
 def ets_name(spec) -> str:
