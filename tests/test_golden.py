@@ -12,10 +12,11 @@ from tidemark.operators import forecast, ranking, series
 SEASONAL = [36806, 87798, 211226, 509976, 1234632, 173625, 50346, 38305, 31588, 29831, 21899, 34626, 48324, 106525, 230389, 458212, 1151007, 162363, 46249, 30964, 24552, 22569, 18998, 29017]
 HIGH = [997977, 924579, 923940, 942229, 1022068, 929999, 853077, 851415, 750020, 734487, 808423, 895917, 915665, 830047, 856333, 852756, 894601, 757064, 643202, 708702, 694641, 701398, 972610, 1228504]
 MID = [51028, 81321, 64321, 69864, 59268, 64764, 61636, 55880, 50386, 62599, 64701, 61329, 65762, 95108, 68469, 57723, 47388, 45652, 41059, 42745, 43068, 44104, 42905, 40954]
-# 104 months in a row, and 58 days from 2026-06-23 of two phrases.
+# 104 months in a row, and 58 days from 2026-06-23 of three phrases.
 STITCHED = [100000, 118440, 132396, 138240, 134481, 122200, 104800, 87120, 74149, 69680, 75264, 112200, 109600, 129720, 144906, 151200, 146991, 133480, 114400, 95040, 80839, 75920, 81954, 97680, 119200, 141000, 157416, 164160, 159501, 144760, 124000, 102960, 87530, 82160, 88645, 132000, 128800, 152280, 169925, 177120, 172010, 156040, 133600, 110880, 94220, 88400, 95335, 113520, 138400, 163560, 182435, 190080, 184520, 167320, 143200, 118800, 100910, 94640, 102025, 151800, 148000, 174840, 194945, 203040, 197030, 178600, 152800, 126720, 107600, 100880, 108715, 129360, 157600, 186120, 207455, 216000, 209540, 189880, 162400, 134640, 114290, 107120, 115405, 171600, 167200, 197400, 219965, 228960, 222050, 201160, 172000, 142560, 120980, 113360, 122095, 145200, 176800, 208680, 232475, 241920, 234560, 212440, 181600, 150480]
 GIFTS = [669, 713, 698, 717, 430, 420, 808, 720, 797, 729, 695, 351, 446, 778, 839, 804, 838, 639, 592, 937, 1307, 1219, 1130, 1154, 1059, 705, 809, 1166, 1144, 1089, 1057, 973, 582, 960, 1165, 1276, 1204, 1569, 1244, 670, 813, 1123, 1420, 1636, 1481, 1268, 900, 1002, 1718, 1528, 1755, 1809, 1419, 993, 898, 1794, 2047, 1919]
 COURSES = [1626, 1614, 1654, 1361, 947, 1122, 1505, 1412, 1345, 1367, 1219, 1029, 1153, 1382, 1293, 1455, 1324, 1253, 968, 1237, 1427, 1376, 1369, 1465, 1222, 1174, 1266, 1510, 1405, 1647, 1428, 1279, 1122, 1199, 1490, 1529, 1445, 1418, 1414, 998, 1196, 1519, 1406, 1406, 1542, 1407, 1189, 1269, 1544, 1579, 1817, 1652, 1321, 1220, 1363, 1625, 1647, 1824]
+PHONES = [32805, 31803, 38025, 38456, 37011, 35532, 37454, 35611, 35470, 36244, 34031, 33043, 35377, 36070, 34684, 34661, 33832, 32574, 29116, 29387, 37782, 41886, 40479, 43635, 44413, 42059, 42634, 45891, 43923, 46140, 46090, 43420, 40702, 42871, 42078, 41363, 45376, 48386, 45040, 44827, 45881, 50083, 45683, 45963, 47222, 44922, 44278, 48656, 51295, 50566, 51641, 49800, 46371, 46624, 46859, 49810, 48587, 48894]
 
 
 def months(first, n):
@@ -137,3 +138,31 @@ def test_errors_on_104_months(spark):
     assert {n for _, n in got.values()} == {2}
     assert abs(got["naive"][0] - 0.759) < 5e-4 and abs(got["theta"][0] - 0.677) < 5e-3 and got["auto_ets"][0] < 0.303
     assert all(forecast.ets_name(forecast.auto_ets(np.array(STITCHED[:n], float))["spec"]) == "MAM" for n in (72, 84, 104))
+
+
+@pytest.mark.parametrize(
+    "days, acf, q, period, aicc",
+    [
+        (GIFTS, "..yyyyy", "yyyyyyy", [4, 5, 7, 8, 7, 8, 7], "..yyyyy"),
+        (COURSES, "...yyyy", "yyyyyyy", [4, 5, 7, 8, 7, 8, 7], "..yyyyy"),
+        (PHONES, ".......", "..yyyyy", [4, 5, 7, 8, 10, 12, 14], None),
+    ],
+)
+def test_published_verdicts(spark, days, acf, q, period, aicc):
+    """Windows of 14 to 56 days; the third phrase's ETS verdicts hang on a fit that found less likelihood than ours."""
+    rows = [("x", dt.date(2026, 6, 23) + dt.timedelta(i), v) for i, v in enumerate(days[:56])]
+    got = forecast.detectors(spark.createDataFrame(rows, "phrase string, day date, count bigint")).orderBy("days").collect()
+    says = lambda name: "".join("y" if r[name] else "." for r in got)
+    assert [r["days"] for r in got] == [14, 21, 28, 35, 42, 49, 56]
+    assert (says("acf"), says("q"), [r["period"] for r in got]) == (acf, q, period)
+    if aicc:
+        assert (says("aic"), says("aicc")) == ("yyyyyyy", aicc)
+
+
+def test_calibration_sine():
+    """10 + 4 sin(2 pi t / 7) + N(0, 2) of seed 0, first 14 to 56 days: the published verdicts."""
+    np.random.seed(0)
+    y = 10 + 4 * np.sin(2 * np.pi * np.arange(56) / 7) + np.random.normal(0, 2, 56)
+    got = [forecast.seen_by(y[:n]) for n in forecast.WEEKS]
+    assert [g["period"] for g in got] == [4, 5, 7, 8, 7, 8, 7] and all(g["q"] and g["aic"] for g in got)
+    assert [g["acf"] for g in got] == [False] * 4 + [True] * 3

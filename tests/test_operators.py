@@ -449,3 +449,23 @@ def test_ets_odd_series():
     assert forecast.fit_ets(np.r_[0.0, np.arange(30.0)], ("M", "N", False, "N")) is None  # not positive
     flat = forecast.auto_ets(np.full(40, 7.0))
     assert np.allclose(forecast.ets_forecast(flat, 12), 7)
+
+
+def test_structure_flips(spark):
+    day = [dt.date(2026, 6, 1) + dt.timedelta(i) for i in range(56)]
+    rows = [("week", d, 200 if d.weekday() < 5 else 40 + i % 3) for i, d in enumerate(day)] + [("zero", d, 0) for d in day] + [("short", d, 5) for d in day[:7]]
+    daily = spark.createDataFrame(rows, "phrase string, day date, count bigint")
+    got = {(r["phrase"], r["condition"], r["criterion"]): r for r in forecast.structure_flips(daily, reps=4).collect()}
+    assert set(got) == {("week", c, i) for c in forecast.CONDITIONS for i in ("aic", "aicc")}
+    assert all(r["reps"] == 4 and r["flips"] <= 4 for r in got.values())
+    kept, noise = got["week", "seasonal", "aicc"], got["week", "noise", "aicc"]
+    assert kept["seen_long"] == kept["seen_short"] == 4 and noise["seen_long"] <= 1
+    again = {(r["phrase"], r["condition"], r["criterion"]): r for r in forecast.structure_flips(daily, reps=4).collect()}
+    assert again == got
+
+
+def test_detectors_say_no_where_they_cannot_work(spark):
+    daily = spark.createDataFrame([("flat", dt.date(2026, 6, 1) + dt.timedelta(i), 5) for i in range(30)], "phrase string, day date, count bigint")
+    got = forecast.detectors(daily).collect()
+    assert len(got) == 7 and all(tuple(r)[2:] == (False, False, None, False, False) for r in got)
+    assert forecast.detectors(daily.limit(0)).collect() == []

@@ -150,15 +150,15 @@ def fit_ets(y: np.ndarray, spec, sp: int = SEASON) -> dict | None:
             slope = jac @ r
             jac[(x <= low) & (slope > 0) | (x >= high) & (slope < 0)] = 0  # held at its bound
             gram = jac @ jac.T
-            scale = np.diag(np.maximum(np.diag(gram), 1e-12 * max(np.diag(gram).max(), 1e-300)))
+            scale = np.diag(np.maximum(np.diag(gram), max(1e-9 * np.diag(gram).max(), 1e-200)))
             tries = damping * 10.0 ** np.arange(-2, 5)
-            trial = np.clip([x - np.linalg.lstsq(gram + d * scale, jac @ r, rcond=None)[0] for d in tries], low, high)
+            trial = np.clip(x - np.linalg.solve(gram + tries[:, None, None] * scale, np.tile((jac @ r)[:, None], (len(tries), 1, 1)))[..., 0], low, high)
             rows, values = residuals(trial)
             k = int(np.argmin(values))
             gain = f - values[k]
             if gain > 0:
                 x, r, f, damping = trial[k], rows[k], values[k], min(max(tries[k], 1e-9), 1e6)
-            if gain <= 1e-7:
+            if gain <= 1e-5:
                 return x, r, f, True
         return x, r, f, gain <= SETTLED
 
@@ -368,6 +368,68 @@ def chi2_tail(x: float, k: int) -> float:
     return h * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
+def autocorrelations(x: np.ndarray, lags: int) -> np.ndarray:
+    c = x - x.mean()
+    return np.array([(c[k:] * c[: len(c) - k]).sum() for k in range(1, lags + 1)]) / (c * c).sum()
+
+
+def q_statistic(rho: np.ndarray, n: int) -> float:
+    """Ljung-Box statistic of the first autocorrelations."""
+    return float(n * (n + 2) * (rho**2 / (n - np.arange(1, len(rho) + 1))).sum())
+
+
+def strongest_period(x: np.ndarray, least: int = 4) -> int | None:
+    """Period of most power between `least` and a third of the series; None if there is none.
+
+    Power is averaged over half-overlapping Hann windows of half the series (Welch), so periods are what half the series
+    divided by whole numbers rounds to: coarse on short series.
+    """
+    n, w = len(x), len(x) // 2
+    if w < 2:
+        return None
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(w) / w)
+    parts = [x[a : a + w] for a in range(0, n - w + 1, w - w // 2)]
+    power = sum(np.abs(np.fft.rfft((part - part.mean()) * hann)) ** 2 for part in parts)
+    found = [(power[k], -k, round(w / k)) for k in range(1, len(power)) if least <= round(w / k) <= n // 3]
+    best = max(found, default=(0.0,))
+    return best[2] if best[0] > 0 else None
+
+
+def seen_by(x: np.ndarray, lag: int = 7, level: float = 0.05) -> dict[str, object]:
+    """What each detector says of a period of `lag` in one series; a detector that cannot work says no.
+
+    acf: the autocorrelation at the lag leaves Bartlett's band. q: the Ljung-Box statistic up to the lag is significant
+    (one candidate, so that correction for many tests changes nothing). period: the strongest of the periodogram.
+    aic, aicc: the ETS model of least criterion has a season.
+    """
+    out = {"acf": False, "q": False, "period": None, "aic": False, "aicc": False}
+    n = len(x)
+    if n <= lag or not np.isfinite(x).all() or x.std() == 0:
+        return out
+    rho = autocorrelations(x, lag)
+    band = 1.959964 * math.sqrt((1 + 2 * (rho[:-1] ** 2).sum()) / n)
+    out |= {"acf": bool(abs(rho[-1]) > band), "q": chi2_tail(q_statistic(rho, n), lag) < level, "period": strongest_period(x)}
+    fits = [f for f in (fit_ets(x, spec, lag) for spec in ETS_SPECS) if f]
+    for criterion in ("aic", "aicc") if fits else ():
+        out[criterion] = min(fits, key=lambda f: f[criterion])["spec"][3] != "N"
+    return out
+
+
+SEEN = "acf boolean, q boolean, period int, aic boolean, aicc boolean"
+
+
+def detectors(daily: DataFrame, windows: tuple[int, ...] = WEEKS, lag: int = 7) -> DataFrame:
+    """phrase, days, acf, q, period, aic, aicc: seen_by() of the suffix windows of each series; no of windows that are too long."""
+    each = daily.select("phrase", "day", F.col("count").cast("double").alias("count"), F.explode(F.array(*map(F.lit, windows))).alias("days"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        y, days = g.sort_values("day")["count"].to_numpy(float), int(key[1])
+        seen = seen_by(y[-days:] if len(y) >= days else y[:0], lag)
+        return pd.DataFrame([[key[0], days, *seen.values()]], columns=["phrase", "days", *seen]).astype({"period": "Int32"})
+
+    return each.groupBy("phrase", "days").applyInPandas(run, f"phrase string, days int, {SEEN}")
+
+
 def weekly_verdict(daily: DataFrame, windows: tuple[int, ...] = WEEKS, lag: int = 7, level: float = 0.05) -> DataFrame:
     """phrase, days, acf, q, p, weekly: whether a weekly period shows in each suffix window; short windows say no."""
 
@@ -378,17 +440,61 @@ def weekly_verdict(daily: DataFrame, windows: tuple[int, ...] = WEEKS, lag: int
             if len(y) < days or days <= lag or x.std() == 0:
                 out.append((g["phrase"].iloc[0], days, None, None, None, False))
                 continue
-            c = x - x.mean()
-            rho = np.array([(c[k:] * c[: len(c) - k]).sum() for k in range(1, lag + 1)]) / (c * c).sum()
-            n = len(x)
-            q = float(n * (n + 2) * (rho**2 / (n - np.arange(1, lag + 1))).sum())
+            rho = autocorrelations(x, lag)
+            q = q_statistic(rho, len(x))
             p = chi2_tail(q, lag)
-            out.append((g["phrase"].iloc[0], days, float(rho[-1]), q, p, bool(p < level and rho[-1] > 1.96 / math.sqrt(n))))
+            out.append((g["phrase"].iloc[0], days, float(rho[-1]), q, p, bool(p < level and rho[-1] > 1.96 / math.sqrt(len(x)))))
         return pd.DataFrame(out, columns=["phrase", "days", "acf", "q", "p", "weekly"])
 
     return daily.groupBy("phrase").applyInPandas(run, "phrase string, days int, acf double, q double, p double, weekly boolean")
 
 
+#: Made-up series: the weekly profile kept, flattened, and nothing but noise of the whole series' spread.
+CONDITIONS = ("seasonal", "flat", "noise")
+
+
+def made_up(y: np.ndarray, condition: str, n: int, rng, sp: int = 7) -> np.ndarray:
+    """n points with the level and the noise of y under one of CONDITIONS."""
+    if condition == "noise":
+        return rng.normal(y.mean(), y.std(), n)
+    at = np.arange(len(y)) % sp
+    profile = np.array([y[at == k].mean() for k in range(sp)])
+    noise = math.sqrt(((y - profile[at]) ** 2).sum() / max(1, len(y) - sp))
+    shape = profile / profile.mean() if condition == "seasonal" else np.ones(sp)
+    return y.mean() * shape[np.arange(n) % sp] + rng.normal(0, noise, n)
+
+
+def structure_flips(daily: DataFrame, reps: int = 100, days: tuple[int, int] = (56, 42), sp: int = 7, seed: int = 32) -> DataFrame:
+    """phrase, condition, criterion, reps, seen_long, seen_short, flips: how often ETS has a season on made-up series.
+
+    Each repetition draws a series of days[0] points from the phrase's level, profile and noise and cuts it to days[1]. It has
+    its own seed, so repetitions are independent tasks. Series of fewer than sp + 1 points, or without level, give no row.
+    """
+    series = daily.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("day", F.col("count").cast("double").alias("v")))).alias("s"))
+    rows = series.select("phrase", F.transform("s", lambda x: x["v"]).alias("y"))
+    rows = rows.where((F.size("y") > sp) & F.exists("y", lambda v: v != 0))
+    rows = rows.withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS)))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    rows = rows.withColumn("seed", F.pmod(F.xxhash64("phrase", "condition", "rep", F.lit(seed)), F.lit(2**31)))
+    # a repetition costs two whole model searches: few rows, dealt to all cores by count, as their bytes would fit one task
+    rows = rows.repartition(4 * daily.sparkSession.sparkContext.defaultParallelism, "phrase", "condition", "rep")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for phrase, condition, y, s in zip(pdf["phrase"], pdf["condition"], pdf["y"], pdf["seed"]):
+                x = made_up(np.asarray(y, float), condition, days[0], np.random.default_rng(int(s)), sp)
+                fits = [[f for f in (fit_ets(part, spec, sp) for spec in ETS_SPECS) if f] for part in (x, x[: days[1]])]
+                for criterion in ("aic", "aicc"):
+                    seen = [bool(some) and min(some, key=lambda f: f[criterion])["spec"][3] != "N" for some in fits]
+                    out.append((phrase, condition, criterion, *seen))
+            yield pd.DataFrame(out, columns=["phrase", "condition", "criterion", "long", "short"])
+
+    seen = rows.select("phrase", "condition", "y", "seed").mapInPandas(run, "phrase string, condition string, criterion string, long boolean, short boolean")
+    return seen.groupBy("phrase", "condition", "criterion").agg(
+        F.count(F.lit(1)).alias("reps"), F.count_if("long").alias("seen_long"), F.count_if("short").alias("seen_short"), F.count_if(F.col("long") != F.col("short")).alias("flips")
+    )
+
+
 def results_block(summary: DataFrame, baseline: str = "naive") -> DataFrame:
     """One row: the model with the least median error, the baseline's, and their ratio."""
     best = F.min_by(F.struct("model", "mase_median"), F.struct("mase_median", "model"))

@@ -87,33 +87,3 @@ def cycle_agreement(monthly: DataFrame, sp: int = 12) -> DataFrame:
     full = d.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2 * sp).select("phrase")
     d = d.join(full, "phrase", "left_semi").withColumn("pos", F.col("rn") % sp)
     return compare_profiles(d.where(F.col("rn") >= sp), d.where(F.col("rn") < sp))
-
-
-def simulated_flips(profiles: DataFrame, reps: int = 100, days: int = 28, noise: float = 0.1, seed: int = 32) -> DataFrame:
-    """phrase, kept, verdicts, reps: how often a weekly period is found with the profile kept and flattened.
-
-    profiles: phrase, pos (weekday), value. Every repetition has its own seed, so tasks are independent.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from tidemark.operators.forecast import chi2_tail
-
-    rows = profiles.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
-    rows = rows.withColumn("kept", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    rows = rows.withColumn("seed", F.pmod(F.xxhash64("phrase", "kept", "rep", F.lit(seed)), F.lit(2**31)))
-
-    def run(it):
-        for pdf in it:
-            hits = []
-            for v, kept, s in zip(pdf["v"], pdf["kept"], pdf["seed"]):
-                p = np.asarray(v, float)
-                x = (np.tile(p, days // 7 + 1)[:days] if kept else np.full(days, p.mean())) * (1 + np.random.default_rng(int(s)).normal(0, noise, days))
-                c = x - x.mean()
-                rho = np.array([(c[k:] * c[: len(c) - k]).sum() for k in range(1, 8)]) / max((c * c).sum(), 1e-300)
-                q = days * (days + 2) * (rho**2 / (days - np.arange(1, 8))).sum()
-                hits.append(bool(chi2_tail(float(q), 7) < 0.05 and rho[-1] > 1.96 / days**0.5))
-            yield pd.DataFrame({"phrase": pdf["phrase"], "kept": pdf["kept"], "hit": hits})
-
-    hit = rows.select("phrase", "kept", "v", "seed").mapInPandas(run, "phrase string, kept boolean, hit boolean")
-    return hit.groupBy("phrase", "kept").agg(F.count_if("hit").alias("verdicts"), F.count(F.lit(1)).alias("reps"))

@@ -590,6 +590,11 @@ def ic_deltas(spark, sf):
     return forecast.ic_deltas(forecast.ic_grid(events_daily(spark, sf)))
 
 
+@query()
+def season_detectors(spark, sf):
+    return forecast.detectors(events_daily(spark, sf))
+
+
 @query()
 def weekly_verdict(spark, sf):
     return forecast.weekly_verdict(events_daily(spark, sf))
@@ -684,8 +689,7 @@ def cycle_agreement(spark, sf):
 
 @query()
 def simulated_flips(spark, sf):
-    week = season_vectors(spark, sf).where("block = 'sp7'").select("phrase", "pos", "value")
-    return vectors.simulated_flips(week)
+    return forecast.structure_flips(events_daily(spark, sf))
 
 
 @query()
