@@ -44,6 +44,16 @@ def test_growth_scores(monthly):
     assert not any(r["is_growth"] for r in got.values())
 
 
+def test_growth_score_of_a_given_forecaster(spark, monthly):
+    plain = values(series.growth_score(monthly))
+    naive = values(series.growth_score(monthly, forecaster=forecast.naive))
+    assert {k: round(r["score"], 9) for k, r in naive.items()} == {k: round(r["score"], 9) for k, r in plain.items()}
+    last = values(series.growth_score(monthly, 2, lambda y, h: np.full(h, y[-1])))
+    assert abs(last["mid"]["score"] - (MID[-2] + MID[-1]) / 2 / MID[-3]) < 1e-12 and last["mid"]["forecast"] == MID[-3]
+    odd = frame(spark, short=[1] * 23, zero=[0] * 30).unionByName(frame(spark, hole=[5] * 30).withColumn("queries", F.when(F.month("period") != 3, F.col("queries"))))
+    assert series.growth_score(odd, forecaster=forecast.naive).count() == 0
+
+
 def test_amplitude_peak_and_age(monthly):
     amp = {k: round(r["amplitude"], 6) for k, r in values(series.seasonal_amplitude(monthly)).items()}
     assert amp == {"seasonal": 58.332861, "high": 1.47952, "mid": 1.88787}

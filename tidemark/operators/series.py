@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +71,11 @@ def peak_month(monthly: DataFrame) -> DataFrame:
     return top.join(n, "phrase").join(seasonal_amplitude(monthly), "phrase").select("phrase", F.when(seasonal, F.col("top")).alias("peak"))
 
 
-def growth_score(monthly: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
+def growth_score(monthly: DataFrame, window: int = SCORE_WINDOW, forecaster=None) -> DataFrame:
     """phrase, score, is_growth, forecast, actual, base: last months against the seasonal-naive forecast.
 
-    forecast repeats the season before the window. base is the mean before the window. Series that
+    forecast repeats the season before the window, or is the mean of forecaster(values before the window, window),
+    called once for each series in a grouped pandas function (those of forecast.MODELS fit). base is the mean before the window. Series that
     are too short, have NULL months or no positive forecast are left out: see growth_violations().
     """
     if window < 1:
@@ -90,10 +93,23 @@ def growth_score(monthly: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
         (F.sum(back) / window).alias("forecast"),
         F.avg(F.when(F.col("rn") > window, F.col("q"))).alias("base"),
     )
+    if forecaster is not None:
+        agg = agg.drop("forecast").join(_forecast_means(monthly, window, forecaster), "phrase")
     ok = agg.where((F.col("n") >= F.greatest(F.lit(MIN_HISTORY), F.lit(window + SEASON))) & (F.col("bad") == 0) & (F.col("forecast") > 0))
     return ok.select("phrase", (F.col("actual") / F.col("forecast")).alias("score"), (F.col("actual") / F.col("forecast") >= GROWTH_STEP).alias("is_growth"), "forecast", "actual", "base")
 
 
+def _forecast_means(monthly: DataFrame, window: int, forecaster) -> DataFrame:
+    """phrase, forecast: the mean forecast of the window; NULL for series that are too short or have a month without value."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        y = g.sort_values("period")["q"].to_numpy(float)
+        fit = len(y) >= max(MIN_HISTORY, window + SEASON) and np.isfinite(y).all()
+        return pd.DataFrame({"phrase": [key[0]], "forecast": [float(np.mean(forecaster(y[:-window], window))) if fit else None]})
+
+    return monthly.select("phrase", "period", F.col("queries").cast("double").alias("q")).groupBy("phrase").applyInPandas(run, "phrase string, forecast double")
+
+
 def growth_violations(monthly: DataFrame, window: int = SCORE_WINDOW) -> DataFrame:
     """phrase, check of the series that cannot be scored; the first failing guard, in the reference order."""
     agg = monthly.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("queries").isNull() | F.isnan(F.col("queries").cast("double"))).alias("bad"))
