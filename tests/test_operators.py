@@ -469,3 +469,18 @@ def test_detectors_say_no_where_they_cannot_work(spark):
     got = forecast.detectors(daily).collect()
     assert len(got) == 7 and all(tuple(r)[2:] == (False, False, None, False, False) for r in got)
     assert forecast.detectors(daily.limit(0)).collect() == []
+
+
+def test_translation_cache_file(spark, tmp_path):
+    path = f"{tmp_path}/phrases.json"
+    assert artifact.load_cache(spark, path).collect() == []
+    rows = [("б", "B"), ("а", "A"), ("а", "A"), ("в", None)]
+    artifact.save_cache(spark.createDataFrame(rows, "phrase string, translation string"), path)
+    assert (tmp_path / "phrases.json").read_text() == '{\n  "а": "A",\n  "б": "B"\n}\n'
+    assert [tuple(r) for r in artifact.load_cache(spark, path).orderBy("phrase").collect()] == [("а", "A"), ("б", "B")]
+    artifact.save_cache(artifact.load_cache(spark, path).limit(0), path)
+    assert artifact.load_cache(spark, path).collect() == []
+    for broken in ("{", "[1]", '{"a": 1}'):
+        (tmp_path / "x.json").write_text(broken)
+        with pytest.raises(artifact.ArtifactError):
+            artifact.load_cache(spark, f"{tmp_path}/x.json")

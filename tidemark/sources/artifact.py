@@ -43,19 +43,13 @@ def load_showcase(spark: SparkSession, path: str) -> dict | None:
     return doc
 
 
-def save_state(spark: SparkSession, path: str, state, spent_day: str | None, spent: int) -> None:
-    """Graph state as JSON, written beside and renamed, so that it is whole or absent."""
-    doc = {
-        "version": 1,
-        "visited": state.visited,
-        "frontier": [{"phrase": e.phrase, "frequency": None if e.frequency == float("inf") else e.frequency, "depth": e.depth, "is_seed": not e.late} for e in sorted(state.frontier)],
-        "budget": {"date": spent_day, "spent": spent},
-    }
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small document beside its place and rename it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs = p.getFileSystem(conf)
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(doc, ensure_ascii=False, sort_keys=True).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     # a rename that overwrites: there is an old or a new state at any time
     option = jvm.org.apache.hadoop.fs.Options.Rename
@@ -64,6 +58,17 @@ def save_state(spark: SparkSession, path: str, state, spent_day: str | None, spe
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), choices)
 
 
+def save_state(spark: SparkSession, path: str, state, spent_day: str | None, spent: int) -> None:
+    """Graph state as JSON, written beside and renamed, so that it is whole or absent."""
+    doc = {
+        "version": 1,
+        "visited": state.visited,
+        "frontier": [{"phrase": e.phrase, "frequency": None if e.frequency == float("inf") else e.frequency, "depth": e.depth, "is_seed": not e.late} for e in sorted(state.frontier)],
+        "budget": {"date": spent_day, "spent": spent},
+    }
+    _replace(spark, path, json.dumps(doc, ensure_ascii=False, sort_keys=True))
+
+
 def load_state(spark: SparkSession, path: str):
     """(state, budget), or (None, None) if there is none yet."""
     from tidemark.operators.graph import Entry, State
@@ -114,3 +119,24 @@ def translate(phrases: DataFrame, cache: DataFrame, fetch=None, batch: int = 64)
             yield pdf.assign(origin=["missing" if t is None else "fetched" for t in out])
 
     return known.unionByName(rest.mapInPandas(run, "phrase string, translation string, origin string"))
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """phrase, translation of a JSON map of texts; no rows if there is no file yet. Raises ArtifactError if it is anything else."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kind = "phrase string, translation string"
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], kind)
+    try:
+        doc = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    except json.JSONDecodeError as why:
+        raise ArtifactError(f"broken cache: {why}") from why
+    if not isinstance(doc, dict) or not all(isinstance(v, str) for v in doc.values()):
+        raise ArtifactError("a cache maps phrases to texts")
+    return spark.createDataFrame(sorted(doc.items()), kind)
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    """A JSON map with its keys in order and a final newline; rows without translation are left out. It is as large as that document."""
+    rows = cache.where("phrase IS NOT NULL AND translation IS NOT NULL").groupBy("phrase").agg(F.min("translation").alias("translation")).collect()
+    _replace(cache.sparkSession, path, json.dumps({r["phrase"]: r["translation"] for r in rows}, ensure_ascii=False, sort_keys=True, indent=2) + "\n")
