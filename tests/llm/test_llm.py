@@ -678,6 +678,58 @@ def test_cells_give_rows_in_proportion_to_queries(spark, monkeypatch):
     assert [(leaf, first, parts) for leaf, first, parts in ann._groups({1: 4096, 2: 1, 5: 9000, 7: 3})] == [(1, 0, 1), (2, 1, 1), (5, 2, 3), (7, 5, 1)]
 
 
+def test_walks_without_a_queue(monkeypatch):
+    """The leaves of a plain best-bin-first queue, ties and thin leaves included, with few steps of a queue."""
+    rng = np.random.default_rng(8)
+    pops, real = [0], ann.heapq.heappop
+
+    def plain(tree, d, many, held, least):
+        heap, leaves, seen = [(d[0], 0)], [], 0
+        while heap and (len(leaves) < many or seen < least):
+            _, node = real(heap)
+            if not len(tree.children[node]):
+                leaves.append(node)
+                seen += held[node]
+            heap += [(d[k], k) for k in tree.children[node].tolist()]
+            heap.sort()
+        return leaves
+
+    def counted(heap):
+        pops[0] += 1
+        return real(heap)
+
+    for x in (rng.normal(size=(3000, 12)), rng.integers(-1, 2, (3000, 3)) + 0.0, np.eye(5)):
+        x = x[(x != 0).any(axis=1)]
+        tree = ann.Tree.fit(x, float((x**2).sum(1).max()))
+        q, held = x[:40], np.bincount(tree.file(x[::7]), minlength=len(tree.children))
+        for many in (1, 2, 9, tree.leaves() // 2 or 1, tree.leaves()):
+            want = [plain(tree, d, many, held, 5) for d in tree._far(q)]
+            pops[0] = 0
+            with monkeypatch.context() as m:
+                m.setattr(ann.heapq, "heappop", counted)
+                _, got = tree.visited(q, many, held, 5)
+            assert [np.nonzero(g)[0].tolist() for g in got] == [sorted(w) for w in want]
+    tree = ann.Tree.fit(x := rng.normal(size=(3000, 12)), 100.0)
+    held = np.bincount(tree.file(x), minlength=len(tree.children))
+    monkeypatch.setattr(ann.heapq, "heappop", counted)
+    tree.visited(x[:100], tree.leaves() // 2, held, 5)
+    assert pops[0] < 100 * tree.leaves() // 2 / 4
+
+
+def test_best_of_a_chunk():
+    """The k best in double precision, also among long vectors whose scores nearly cancel, and more ties than k."""
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(2000, 8)), rng.normal(size=(2000, 8)) * 1e6, rng.integers(-1, 2, (2000, 3)) + 0.0):
+        q, ids, seen = x[:30], rng.permutation(len(x)), rng.random((30, len(x))) < 0.6
+        seen[0], seen[1, 5:] = False, False
+        got = ann._best(q, x, ids, seen, 7)
+        want = []
+        for i in range(len(q)):
+            exact = (x * q[i]).sum(axis=1)
+            want += sorted((i, -exact[j], ids[j]) for j in np.nonzero(seen[i])[0])[:7]
+        assert [(i, -s, j) for i, j, s in zip(*(c.tolist() for c in got))] == [tuple(w) for w in want]
+
+
 def test_neighbours_of_odd_rows(spark):
     """Repeated ids and rows, columns whose names clash, queries of another length."""
     rng = np.random.default_rng(6)

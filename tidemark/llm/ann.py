@@ -38,6 +38,8 @@ SAMPLE, PROBES = 32_768, 256
 BRANCH, LEAF = 16, 48
 #: Queries in a group at most; slices of a group's vectors at least; vectors in a slice, about; vectors scored at once.
 GROUP, SLICES, SLICE, CHUNK = 4096, 8, 65_536, 8192
+#: Scores in a block, of which only the largest is compared at first.
+STRIDE = 32
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -99,24 +101,55 @@ class Tree:
                 open_nodes.extend(kids.tolist())
         return at
 
-    def visits(self, q: np.ndarray, many: int, held: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
-        """The first leaves of each query, best bin first: `many`, and on until they hold `least` vectors (held[node] each)."""
+    def _far(self, q: np.ndarray) -> np.ndarray:
         unit = q * (math.sqrt(self.longest) / np.linalg.norm(q, axis=1))[:, None]
         c = self.centers
-        far = (c**2).sum(1)[None, :] - 2 * unit @ c[:, :-1].T
-        out = []
-        for d in far:
-            heap, leaves, seen = [(d[0], 0)], [], 0
-            while heap and (len(leaves) < many or seen < least):
-                _, node = heapq.heappop(heap)
-                kids = self.children[node]
-                if not len(kids):
-                    leaves.append(node)
-                    seen += int(held[node]) if held is not None else 0
-                for k in kids.tolist():
-                    heapq.heappush(heap, (d[k], k))
-            out.append(leaves)
-        return out
+        return (c**2).sum(1)[None, :] - 2 * unit @ c[:, :-1].T
+
+    def _walk(self, d: np.ndarray, begin: list[int], many: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        heap, leaves, seen = [(d[i], i) for i in begin], [], 0
+        heapq.heapify(heap)
+        while heap and (len(leaves) < many or seen < least):
+            _, node = heapq.heappop(heap)
+            kids = self.children[node]
+            if not len(kids):
+                leaves.append(node)
+                seen += int(held[node]) if held is not None else 0
+            for k in kids.tolist():
+                heapq.heappush(heap, (d[k], k))
+        return leaves
+
+    def visits(self, q: np.ndarray, many: int) -> list[list[int]]:
+        """The first leaves of each query, best bin first."""
+        return [self._walk(d, [0], many) for d in self._far(q)]
+
+    def visited(self, q: np.ndarray, many: int, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """A leaf among the first of each query, and which nodes are the first `many` leaves it visits, more until they hold `least` vectors (held[node] each).
+
+        A node comes out of the queue when the largest distance on its path does, so the leaves with smaller ones
+        than the last are known without a queue; only those behind the same node as the last are walked.
+        """
+        far, ends = self._far(q), np.array([i for i, k in enumerate(self.children) if not len(k)])
+        above, level = np.full(far.shape, -np.inf), [0]
+        while level:
+            below = []
+            for node in level:
+                if len(kids := self.children[node]):
+                    above[:, kids] = np.maximum(far[:, node], above[:, node])[:, None]
+                    below += kids.tolist()
+            level = below
+        walls, out = np.maximum(far, above)[:, ends], np.zeros(far.shape, dtype=bool)
+        if many >= len(ends):
+            out[:, ends] = True
+            return ends[walls.argmin(1)], out
+        last = np.partition(walls, many - 1, axis=1)[:, many - 1 : many]
+        out[:, ends] = walls < last
+        for i in range(len(q)):
+            begin = np.nonzero((far[i] == last[i]) & (above[i] < last[i]))[0]
+            out[i, self._walk(far[i], begin.tolist(), many - int(out[i].sum()))] = True
+        for i in np.nonzero(out @ held < least)[0]:
+            out[i, self._walk(far[i], [0], many, held, least)] = True
+        return ends[walls.argmin(1)], out
 
     def leaves(self) -> int:
         return sum(1 for k in self.children if not len(k))
@@ -156,18 +189,53 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's k best of the seen vectors, ties to smaller ids, scores summed in one fixed order."""
-    rough = np.where(seen, q @ x.T, -np.inf)
-    out = []
-    for i, row in enumerate(rough):
-        rows = np.nonzero(seen[i])[0]
-        if len(rows) > k:
-            kth = np.partition(row, len(row) - k)[len(row) - k]
-            rows = np.nonzero(row >= kth - 1e-9 * (1 + abs(kth)))[0]
-        exact = (x[rows] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[rows], -exact))[:k]
-        out.append((ids[rows][best], exact[best]))
+def _bits(leaves: pa.ChunkedArray | pa.Array, least: int = 0) -> np.ndarray:
+    """A row for each query, true at the leaves it visits, which come as bits or as lists; `least` columns or more."""
+    if pa.types.is_binary(leaves.type):
+        packed = np.frombuffer(b"".join(leaves.to_pylist()), dtype=np.uint8).reshape(len(leaves), -1)
+        out = np.unpackbits(packed, axis=1).view(bool)
+        return out if out.shape[1] >= least else np.pad(out, ((0, 0), (0, least - out.shape[1])))
+    lists = leaves.to_pylist()
+    out = np.zeros((len(lists), max([least, *(max(x, default=-1) + 1 for x in lists)])), dtype=bool)
+    for i, x in enumerate(lists):
+        out[i, x] = True
+    return out
+
+
+def _first(k: int, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row number, by row, score descending and id."""
+    best = np.lexsort((ids, -scores, rows))
+    rows = rows[best]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[best][keep], scores[best][keep]
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of each query's k best of the seen vectors, ties to smaller ids, scores summed in one fixed order.
+
+    Columns are dealt into blocks; the k-th largest of the blocks' maxima is no more than the k-th largest score.
+    """
+    wide = -len(x) % STRIDE
+    rough = np.full((len(q), len(x) + wide), -np.inf)
+    rough[:, : len(x)] = q @ x.T
+    rough[:, : len(x)][~seen] = -np.inf
+    most = rough.reshape(len(q), STRIDE, -1).max(axis=1)
+    if most.shape[1] > k:
+        kth = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
+        off = 4 * np.finfo(float).eps * x.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        seen = seen & ~(rough[:, : len(x)] < (kth - off)[:, None])
+    rows, cols = np.nonzero(seen)
+    out = [_first(k, rows[a:b], ids[cols[a:b]], (x[cols[a:b]] * q[rows[a:b]]).sum(axis=1)) for a, b in _pieces(rows)]
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (rows, ids[:0], np.empty(0))
+
+
+def _pieces(rows: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts of sorted row numbers between rows, so that few vectors are copied at once."""
+    out, a = [], 0
+    while a < len(rows):
+        b = int(np.searchsorted(rows, rows[min(a + CHUNK, len(rows)) - 1], "right"))
+        out.append((a, b))
+        a = b
     return out
 
 
@@ -187,32 +255,26 @@ _FOUND = pa.schema([("twin", pa.int64()), ("vec_id", pa.int64()), ("score", pa.f
 
 
 def _meet(k: int):
-    """A cell's vectors and queries -> the k best of each query, kept while chunks of vectors pass."""
+    """A cell's vectors and queries -> the k best of each query, kept while chunks of vectors pass; leaves of queries as bits or lists."""
 
     def run(vs: pa.Table, qs: pa.Table) -> pa.Table:
         if not vs.num_rows or not qs.num_rows:
             return _FOUND.empty_table()
         x, ids, leaf = _matrix(vs.column("embedding")), vs.column("vec_id").to_numpy(), vs.column("leaf").to_numpy()
-        twins, visited = qs.column("twin").to_numpy(), qs.column("leaves").to_pylist()
+        order = np.argsort(leaf, kind="stable")
+        x, ids, leaf = x[order], ids[order], leaf[order]
+        twins, visited = qs.column("twin").to_numpy(), qs.column("leaves")
         q = _matrix(qs.column("embedding"))
-        here, code = np.unique(leaf, return_inverse=True)
         out_t, out_i, out_s = [], [], []
         for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            hit = np.zeros((len(part), len(here)), dtype=bool)
-            for i, ls in enumerate(visited[a : a + 256]):
-                hit[i] = np.isin(here, ls)
-            kept = [(np.empty(0, np.int64), np.empty(0))] * len(part)
+            part, bits = q[a : a + 256], _bits(visited.slice(a, 256), int(leaf[-1]) + 1)
+            kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
             for b in range(0, len(x), CHUNK):
-                new = _best(part, x[b : b + CHUNK], ids[b : b + CHUNK], hit[:, code[b : b + CHUNK]], k)
-                for i, ((i0, s0), (i1, s1)) in enumerate(zip(kept, new)):
-                    i1, s1 = np.concatenate([i0, i1]), np.concatenate([s0, s1])
-                    best = np.lexsort((i1, -s1))[:k]
-                    kept[i] = i1[best], s1[best]
-            for t, (i1, s1) in zip(twins[a : a + 256], kept):
-                out_t.append(np.full(len(i1), t))
-                out_i.append(i1)
-                out_s.append(s1)
+                here, n = np.unique(leaf[b : b + CHUNK], return_counts=True)
+                new = _best(part, x[b : b + CHUNK], ids[b : b + CHUNK], np.repeat(bits[:, here], n, axis=1), k)
+                kept = _first(k, *(np.concatenate(c) for c in zip(kept, new)))
+            for out, c in zip((out_t, out_i, out_s), (twins[a : a + 256][kept[0]], *kept[1:])):
+                out.append(c)
         return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip((out_t, out_i, out_s), _FOUND)], schema=_FOUND)
 
     return run
@@ -259,13 +321,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
-                leaves = tree.visits(_matrix(b.column("embedding")), many, held, k + 1)
+                leaf, leaves = tree.visited(_matrix(b.column("embedding")), many, held, k + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("twin"), b.column("embedding"), pa.array([x[0] for x in leaves], pa.int64()), pa.array([[y for y in x if held[y]] for x in leaves], pa.list_(pa.int32()))],
+                    [b.column("twin"), b.column("embedding"), pa.array(leaf, pa.int64()), pa.array([x.tobytes() for x in np.packbits(leaves & (held > 0), axis=1)], pa.binary())],
                     names=["twin", "embedding", "leaf", "leaves"],
                 )
 
-    walked = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, leaf bigint, leaves array<int>")
+    walked = asked.where("vec_id = twin").select("twin", "embedding").mapInArrow(walks, "twin bigint, embedding array<double>, leaf bigint, leaves binary")
     walked = cut(walked, "ann-walks")
     asks = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}  # no more than leaves
     groups = spark.createDataFrame(_groups(asks), "leaf bigint, first bigint, parts bigint")
@@ -273,9 +335,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     def visited(batches):
         for b in batches:
-            pairs = {(g, x) for g, ls in zip(b.column("grp").to_pylist(), b.column("leaves").to_pylist()) for x in ls}
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(pairs))], names=["grp", "leaf"])
+            if b.num_rows:
+                grp, bits = b.column("grp").to_numpy(), _bits(b.column("leaves"))
+                for g in np.unique(grp):
+                    leaf = np.nonzero(bits[grp == g].any(axis=0))[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), g), pa.int64()), pa.array(leaf, pa.int64())], names=["grp", "leaf"])
 
     needs = cut(walked.select("grp", "leaves").mapInArrow(visited, "grp bigint, leaf bigint").distinct(), "ann-needs")
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate(held.tolist()) if n], "leaf bigint, n bigint")
