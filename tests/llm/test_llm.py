@@ -902,6 +902,31 @@ def test_bpe_equals_library(spec):
         assert text == lib.decode(ids, skip_special_tokens=False) == mine.decode(ids)
 
 
+def test_frequent_words_are_learned_once(spec, monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, mine = Tokenizer.from_str(spec), bpe.PairIndexBPE(spec)
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    rng, learned, real = random.Random(3), [], mine.learn
+    monkeypatch.setattr(mine, "learn", lambda words: (learned.extend(words), real(words)))
+    for _ in range(30):
+        texts = ["the water <|endoftext|> " + "".join(rng.choice("aabcdeéß") for _ in range(rng.randrange(1, 12))) for _ in range(20)]
+        for t, (raw, text) in zip(texts, mine.encode_batch(texts)):
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == ids and text == lib.decode(ids, skip_special_tokens=False)
+        assert len(mine.known) <= 60 + 23
+    assert learned.count("the") == learned.count("water") == 1 and len(set(learned)) > 300
+
+
+def test_near_pattern_finds_the_same_words(spec):
+    mine, rng = bpe.PairIndexBPE(spec), random.Random(4)
+    assert mine.near is not mine.word
+    for text in [f"{a}{chr(c)}{b}" for c in range(0x370) for a, b in (("", ""), ("a", "b"), ("1", "!"), ("'", "s"))] + ["".join(rng.choice("'stre a1_é²ʰ̈\x85\x1c\xa0") for _ in range(9)) for _ in range(3000)]:
+        assert mine.near.findall(text) == mine.word.findall(text)
+    assert mine.words("a\u03231") == ["\u1ea1", "1"]  # composed beyond what the near pattern knows
+    assert all(bpe.near_pattern(p) is None for p in (r"\p{L}+", r"(?i)a", r"[\d]+", r"[a-z]+", r"\bx"))
+
+
 def test_bpe_tables(spark, odd, spec):
     from tokenizers import Tokenizer
 

@@ -4,7 +4,8 @@ The words of a batch that are not known yet are laid out together. An index maps
 neighbouring pair to all its positions in that layout; a heap gives the active ranks in ascending
 order, and applying one rank merges every occurrence at once and updates only the index entries of
 the touched neighbours. The outcome for each word equals merging it alone, as the smallest rank of
-the whole layout is also the smallest of each word that holds it.
+the whole layout is also the smallest of each word that holds it. Known words are kept in two
+generations, so that frequent ones stay when rare ones go.
 
 The tokenizer file (tokenizers JSON: BPE model, end-of-word suffix, byte-level pre-tokenizer) is a
 parameter. Added tokens in a text are found before anything else, as that library does. Null and
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import columns, map_batches, only
 
-#: Words kept per Python worker; the table is emptied when full, which costs time only.
+#: Words of a generation in a Python worker; when it is full, the one before goes, which costs time only.
 CACHE = 150_000
 #: No Unicode version differs in what comes before.
 BEYOND = re.compile("[\u0370-\U0010ffff]")
@@ -47,6 +48,21 @@ def blanks_as_listed(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}")
 
 
+def near_pattern(pattern: str) -> re.Pattern | None:
+    r"""The pattern for texts without BEYOND, \p{..} spelt out for the faster engine; None where the two might not agree."""
+    bare = re.sub(r"\\p\{\w+\}", "", pattern)
+    if not re.fullmatch(r"(?:[\w' |+]|\[\^?\])*", bare):
+        return None
+
+    def spelt(m: re.Match) -> str:
+        one = regex.compile(m[0])
+        return "".join(re.escape(chr(c)) for c in range(0x370) if one.match(chr(c)))
+
+    if re.search(r"\\p", re.sub(r"\[[^]]*\]", "", pattern)):
+        return None
+    return re.compile(re.sub(r"\\p\{\w+\}", spelt, pattern))
+
+
 @functools.cache
 def unassigned() -> re.Pattern:
     """Characters that this Python's Unicode tables lack: only here can other engines' classes differ."""
@@ -72,11 +88,16 @@ class PairIndexBPE:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.text_of = {i: t for t, i in self.vocab.items()}
-        # pair key left << 20 | right -> rank << 20 | merged symbol
-        self.rank: dict[int, int] = {}
+        # left, right and merged symbol by rank; ranks of the pairs of a left symbol by right one, and the other way
+        self.merges: list[tuple[int, int, int]] = []
+        self.after: dict[int, dict[int, int]] = {}
+        self.before: dict[int, dict[int, int]] = {}
         for r, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.rank[self.vocab[a] << 20 | self.vocab[b]] = r << 20 | self.vocab[a + b]
+            left, right = self.vocab[a], self.vocab[b]
+            self.merges.append((left, right, self.vocab[a + b]))
+            self.after.setdefault(left, {})[right] = r
+            self.before.setdefault(right, {})[left] = r
         self.added: dict[str, int] = {}
         for t in spec.get("added_tokens") or []:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
@@ -86,17 +107,20 @@ class PairIndexBPE:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.steps = self._normalizers(spec["normalizer"])
         self.word = self._pattern(spec["pre_tokenizer"])
+        self.near = near_pattern(self.word.pattern) or self.word
         if not any(self.word.search(c) or self.word.fullmatch(f"{x}{c}{x}") for c in SPACES for x in "a1!"):
             # words hold no white space, so turning white space into a space leaves them as they are
             self.steps = [x for x in self.steps if x[0] != "Replace" or x[1].pattern != r"\p{White_Space}+" or x[2] not in SPACES]
         if spec.get("decoder") is not None:
             raise ValueError("decoders are not supported: tokens are joined by spaces")
         letters = byte_letters()
-        self.inside = [self.vocab[c] for c in letters]
-        self.final = [self.vocab[c + self.suffix] for c in letters]
+        # codes: a byte, 256 + the last byte of a word, 512 between words
+        self.symbols = np.array([self.vocab[c] for c in letters] + [self.vocab[c + self.suffix] for c in letters] + [-1])
+        self.first = np.array([[self.after.get(a, {}).get(b, -1) for b in self.symbols.tolist()] for a in self.symbols.tolist()], dtype=np.int32)
         self.library = tokenizer_json
         self._pre = None
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _normalizers(spec: dict | None) -> list[tuple]:
@@ -134,7 +158,8 @@ class PairIndexBPE:
     def words(self, text: str) -> list[str]:
         """Normalize and split a text without added tokens."""
         if text.isascii() or not BEYOND.search(text) or not unassigned().search(text):
-            return self.word.findall(self.normalize(text))
+            text = self.normalize(text)
+            return (self.word if BEYOND.search(text) else self.near).findall(text)
         # letters of other Unicode versions: the classes of the tokenizers library decide
         if self._pre is None:
             from tokenizers import Tokenizer
@@ -161,77 +186,70 @@ class PairIndexBPE:
 
     def learn(self, words: list[str]) -> None:
         """Encode these words together through the pair occurrence index and keep the results."""
-        inside, final, rank = self.inside, self.final, self.rank
-        # Words end with the symbol -1, which is in no pair; merged symbols become -2.
-        sym: list[int] = [-1]
-        for w in words:
-            raw = w.encode()
-            sym += [inside[b] for b in raw]
-            sym[-1] = final[raw[-1]]
-            sym.append(-1)
-        n = len(sym)
+        # A symbol -1, which is in no pair, stands around words; what was merged into its left neighbour becomes -2.
+        # No byte of UTF-8 is 255.
+        code = np.frombuffer(b"\xff".join([b"", *(w.encode() for w in words), b""]), dtype=np.uint8).astype(np.int64)
+        around = np.nonzero(code == 255)[0]
+        code[around[1:] - 1] += 256
+        code[around] = 512
+        ranks = self.first[code[:-1], code[1:]]
+        places = np.nonzero(ranks >= 0)[0]
+        places = places[np.argsort(ranks[places], kind="stable")]
+        active, begin = np.unique(ranks[places], return_index=True)
+        heap, places = active.tolist(), places.tolist()  # in ascending order, which is a heap
+        where = {r: places[a:b] for r, a, b in zip(heap, begin.tolist(), [*begin.tolist()[1:], len(places)])}
+        sym, n = self.symbols[code].tolist(), len(code)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
-        left = -1
-        for i, right in enumerate(sym):
-            if left >= 0 and right >= 0 and (p := left << 20 | right) in rank:
-                if p in where:
-                    where[p].append(i - 1)
-                else:
-                    where[p] = [i - 1]
-            left = right
-        heap = [rank[p] << 40 | p for p in where]
-        heapq.heapify(heap)
-        push, pop, low = heapq.heappush, heapq.heappop, (1 << 40) - 1
+        merges, after, before, none = self.merges, self.after, self.before, {}
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            top = pop(heap)
-            pair = top & low
-            found = where.pop(pair, None)
-            if found is None:
-                continue
-            left, right, made = pair >> 20, pair & 0xFFFFF, top >> 40 & 0xFFFFF
-            if len(found) > 1:
-                found.sort()
+            rank = pop(heap)
+            found = where.pop(rank)
+            left, right, made = merges[rank]
+            follow, lead = after.get(made, none), before.get(made, none)
+            if left == right:
+                found.sort()  # only these overlap: the leftmost first
             for i in found:
                 j = nxt[i]
                 if sym[i] != left or sym[j] != right:
                     continue  # a neighbour was merged meanwhile
                 k = nxt[j]
                 sym[i], sym[j], nxt[i], prv[k] = made, -2, k, i
-                if (s := sym[k]) >= 0 and (p := made << 20 | s) in rank:
-                    if p in where:
-                        where[p].append(i)
+                if follow and (r := follow.get(sym[k])) is not None:
+                    if r in where:
+                        where[r].append(i)
                     else:
-                        where[p] = [i]
-                        push(heap, rank[p] << 40 | p)
-                h = prv[i]
-                if (s := sym[h]) >= 0 and (p := s << 20 | made) in rank:
-                    if p in where:
-                        where[p].append(h)
+                        where[r] = [i]
+                        push(heap, r)
+                if lead and (r := lead.get(sym[h := prv[i]])) is not None:
+                    if r in where:
+                        where[r].append(h)
                     else:
-                        where[p] = [h]
-                        push(heap, rank[p] << 40 | p)
-        known, text_of, at = self.known, self.text_of, 1
-        for w in words:
-            ids = []
-            while (s := sym[at]) != -1:
-                ids.append(s)
-                at = nxt[at]
-            at += 1
-            known[w] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([text_of[i] for i in ids]))
+                        where[r] = [h]
+                        push(heap, r)
+        ids = np.array(sym)
+        ids = ids[ids != -2]
+        around = np.nonzero(ids == -1)[0].tolist()
+        raw, text_of, known = ids.astype("<u4").tobytes(), self.text_of, self.known
+        texts = [text_of.get(i) for i in ids.tolist()]
+        for w, a, b in zip(words, around, around[1:]):
+            known[w] = (raw[4 * a + 4 : 4 * b], " ".join(texts[a + 1 : b]))
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
         split = [self.pieces(t) for t in texts]
-        known = self.known
-        if len(known) >= CACHE:
-            known.clear()
-        new = dict.fromkeys(w for ws in split for w in ws if w not in known)
-        for w in [w for w in new if w[0] == " "]:
-            known[w] = (struct.pack("<I", self.added[w[1:]]), w[1:])
-            del new[w]
+        if len(self.known) >= CACHE:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in set().union(*split).difference(known):
+            if w in older:
+                known[w] = older[w]
+            elif w[0] == " ":
+                known[w] = (struct.pack("<I", self.added[w[1:]]), w[1:])
+            else:
+                new.append(w)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         out = []
         for ws in split:
             got = [known[w] for w in ws]
